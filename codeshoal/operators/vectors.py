@@ -111,13 +111,18 @@ def with_vectors(similar: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def hashing_embeddings(
-    texts: DataFrame, text: str = "text", dimension: int = 384, out: str = "embedding"
+    texts: DataFrame, text: str = "text", dimension: int = 384, out: str = "embedding",
+    max_chars: int | None = 5000,
 ) -> DataFrame:
-    """Default offline encoder: hashed term frequencies, L2-normalised, in the JVM."""
+    """Default offline encoder: hashed term frequencies, L2-normalised, in the JVM.
+
+    ``max_chars`` is the encoder's input cap; None encodes whole texts.
+    """
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = texts.withColumn("__tokens", F.split(F.lower(F.left(text, F.lit(5000))), r"\W+"))
+    body = F.col(text) if max_chars is None else F.left(F.col(text), F.lit(max_chars))
+    tokens = texts.withColumn("__tokens", F.split(F.lower(body), r"\W+"))
     hashed = HashingTF(
         inputCol="__tokens", outputCol="__tf", numFeatures=dimension
     ).transform(tokens)

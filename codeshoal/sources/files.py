@@ -35,8 +35,7 @@ def is_binary(content: Column) -> Column:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 text of a BINARY column without its undecodable bytes."""
-    return F.replace(F.decode(F.to_binary(F.hex(content), F.lit("hex")), "UTF-8"),
-                     F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def read_tree(
@@ -52,7 +51,6 @@ def read_tree(
     Path rules are predicates on the file's path, so files they exclude are
     pruned before being read.  ``skip_rules=False`` walks everything.
     """
-    spark.conf.set("spark.sql.legacy.charsetDecoder", "false")
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -7,9 +7,9 @@ status.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,9 @@ class RateLimiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState(
-            "recent", T.StructType([T.StructField("us", T.LongType())])
+            "recent", T.StructType([T.StructField("us", T.LongType())]),
+            # Idle clients are forgotten; the margin keeps replays exact.
+            ttlDurationMs=max(2 * self.window_us // 1000, 3_600_000),
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -45,7 +47,7 @@ class RateLimiter(StatefulProcessor):
             earlier = len(past) - head
             if not self.accepted_only:
                 # Requests of the same instant do not count against each other.
-                earlier -= len(past) - int(np.searchsorted(past, us))
+                earlier -= len(past) - bisect_left(past, us)
             ok = earlier < self.limit
             decisions.append(ok)
             if ok or not self.accepted_only:

@@ -7,7 +7,7 @@ from importlib import import_module
 MODULES = (
     "text_queries",
     "scan_queries",
-    # "finding_queries",
+    "finding_queries",
     # "graph_queries",
     # "request_queries",
     # "corpus_queries",

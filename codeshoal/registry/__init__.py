@@ -8,7 +8,7 @@ MODULES = (
     "text_queries",
     "scan_queries",
     "finding_queries",
-    # "graph_queries",
+    "graph_queries",
     # "request_queries",
     # "corpus_queries",
     # "stream_queries",

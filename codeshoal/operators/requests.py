@@ -232,3 +232,29 @@ def latency_stats(
         .select(key, F.col("__value").alias("quantile_value"))
     )
     return overall.drop("__band", "__rank").join(at_rank, key)
+
+
+def backlog(flow: DataFrame, limit: int = 1000) -> DataFrame:
+    """Running queue length per window from its net growth, with an alert flag.
+
+    The running sum is taken in two steps, inside each day and over the days'
+    totals, so one task never holds more windows than a day has, or days.
+    """
+    day = F.date_trunc("day", "window_start")
+    inside = W.partitionBy("__day").orderBy("window_start").rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    # One row per day: a century is 36,525 rows.
+    before = W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    daily = flow.withColumn("__day", day)
+    totals = (
+        daily.groupBy("__day").agg(F.sum("net").alias("__net"))
+        .withColumn("__carried", F.coalesce(F.sum("__net").over(before), F.lit(0)))
+        .drop("__net")
+    )
+    return (
+        daily.join(totals, "__day")
+        .withColumn("backlog", F.col("__carried") + F.sum("net").over(inside))
+        .withColumn("alert", F.col("backlog") > limit)
+        .drop("__day", "__carried")
+    )

@@ -9,9 +9,9 @@ MODULES = (
     "scan_queries",
     "finding_queries",
     "graph_queries",
-    # "request_queries",
-    # "corpus_queries",
-    # "stream_queries",
+    "request_queries",
+    "corpus_queries",
+    "stream_queries",
 )
 
 

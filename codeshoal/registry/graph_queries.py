@@ -435,10 +435,6 @@ FROM conversations GROUP BY conv_id, role"""
 # --- vectors ----------------------------------------------------------------------
 
 
-def _first_vectors(vectors, n):
-    return vectors.orderBy("id").limit(n)
-
-
 def d15(spark, sf):
     vectors = _vectors(spark, sf)
     query = vectors.groupBy().agg(F.min_by("embedding", "id").alias("e")).first()["e"]

@@ -25,15 +25,15 @@ class RateLimiter(StatefulProcessor):
     ``accepted_only`` chooses which earlier requests occupy the window.
     """
 
-    def __init__(self, limit: int, window_us: int, accepted_only: bool):
+    def __init__(self, limit: int, window_us: int, accepted_only: bool, expire: bool):
         self.limit, self.window_us, self.accepted_only = limit, window_us, accepted_only
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState(
-            "recent", T.StructType([T.StructField("us", T.LongType())]),
-            # Idle clients are forgotten; the margin keeps replays exact.
-            ttlDurationMs=max(2 * self.window_us // 1000, 3_600_000),
+            "recent", T.StructType([T.StructField("us", T.LongType())])
         )
+        self.handle = handle
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"])
@@ -53,11 +53,21 @@ class RateLimiter(StatefulProcessor):
             if ok or not self.accepted_only:
                 past.append(int(us))
         self.recent.put([(us,) for us in past[head:]])
+        if self.expire:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            last = max(past, default=0)
+            self.handle.registerTimer((last + self.window_us) // 1000 + 1)
         yield pd.DataFrame(
             {"client": key[0], "event_id": batch["event_id"].values,
              "us": batch["us"].values, "allowed": decisions}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The watermark has passed the whole window: nothing in it can count.
+        self.recent.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -67,15 +77,24 @@ def limit_stream(
     limit: int = C.RATE_LIMIT,
     window_seconds: int = C.RATE_WINDOW_SECONDS,
     accepted_only: bool = False,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Rate-limit decisions on a stream of (client, event_id, ts)."""
-    keyed = requests.select(
-        "client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    )
+    """Rate-limit decisions on a stream of (client, event_id, ts).
+
+    With ``delay`` the stream gets a watermark and idle clients are forgotten
+    once it has passed their window; without it each client keeps the
+    timestamps that were inside the window at its last request.
+    """
+    if delay is not None:
+        requests = requests.withWatermark("ts", delay)
+    keyed = requests.select("client", "event_id", "ts", F.unix_micros("ts").alias("us"))
     schema = f"client {dict(keyed.dtypes)['client']}, event_id bigint, us bigint, allowed boolean"
     return keyed.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=RateLimiter(limit, window_seconds * 1_000_000, accepted_only),
-        outputStructType=schema, outputMode="Append", timeMode="ProcessingTime",
+        statefulProcessor=RateLimiter(
+            limit, window_seconds * 1_000_000, accepted_only, delay is not None
+        ),
+        outputStructType=schema, outputMode="Append",
+        timeMode="None" if delay is None else "EventTime",
     )
 
 

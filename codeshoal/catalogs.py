@@ -26,7 +26,8 @@ class LineRule:
     """A regex applied to single lines (or to a window of 2-3 lines).
 
     ``gate`` is a literal that every match must contain; testing it first is a
-    cheap substring search that spares most lines the regex.
+    cheap substring search that spares most lines the regex.  Security rules
+    ignore case and report every match; performance rules report a line once.
     """
 
     rule_id: str
@@ -40,6 +41,7 @@ class LineRule:
     confidence: str | None = None
     cwe_id: str | None = None
     window: int = 1
+    kind: str = "security"
 
 
 # --- fixed values: security rules (case-insensitive) ------------------------
@@ -113,48 +115,56 @@ PERFORMANCE_RULES = (
         "Using '+' to concatenate lists is inefficient (O(n^2))",
         "Use list.append() or list.extend() instead",
         ("python",), r"\+\s*\[", "[",
+        kind="performance",
     ),
     LineRule(
         "PERF-P002", "String Concatenation in Loop", "medium",
         "String concatenation in a loop is inefficient",
         "Use str.join() or io.StringIO instead",
         ("python",), r"for.*:\s*\n.*\+\s*=", "for", window=2,
+        kind="performance",
     ),
     LineRule(
         "PERF-P003", "Inefficient Dictionary Lookup", "low",
         "Using .keys() for membership testing is inefficient",
         "Use 'key in dict' instead of 'key in dict.keys()'",
         ("python",), r"\.keys\(\)\s*.*in", ".keys()",
+        kind="performance",
     ),
     LineRule(
         "PERF-P004", "List Comprehension Alternative", "low",
         "Consider using list comprehension for better performance",
         "Replace loop with list comprehension",
         ("python",), r"for\s+\w+\s+in\s+\w+:\s*\n\s*\w+\.append\(", "for", window=2,
+        kind="performance",
     ),
     LineRule(
         "PERF-P005", "Repeated Attribute Access", "low",
         "Repeated attribute access in loop can be slow",
         "Cache the attribute in a local variable",
         ("python",), r"(\w\.\w).*\n.*\1.*\n.*\1", ".", window=3,
+        kind="performance",
     ),
     LineRule(
         "PERF-J001", "Inefficient DOM Access", "medium",
         "Repeated DOM access can be slow",
         "Cache DOM references in variables",
         _JS, r"document\.getElementById|document\.querySelector", "document.",
+        kind="performance",
     ),
     LineRule(
         "PERF-J002", "console.log in Production", "low",
         "Console statements can slow down performance",
         "Remove console statements in production code",
         _JS, r"console\.(log|debug|info)\(", "console.",
+        kind="performance",
     ),
     LineRule(
         "PERF-J003", "Inefficient Loop", "low",
         "Accessing .length on each iteration is inefficient",
         "Cache the length: for (var i = 0, len = arr.length; i < len; i++)",
         _JS, r"for\s*\(\s*var\s+i\s*=\s*0;\s*i\s*<\s*\w+\.length", ".length",
+        kind="performance",
     ),
 )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,29 @@ def occurrences(text: Column, char: str) -> Column:
 
 def struct_of(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def removed(text: Column, chars: str) -> Column:
+    """How many of the given characters a text holds."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep large expressions for as long as their Spark context lives.
+
+    Expressions refer to columns by name only, so one object serves any number
+    of queries; building it anew takes thousands of calls into the JVM.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args) -> Column:
+        context = id(SparkContext._active_spark_context)
+        if kept and next(iter(kept))[0] != context:
+            kept.clear()
+        key = (context, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get

@@ -57,41 +57,45 @@ def hot_paths(metrics: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def threshold_findings(
-    metrics: DataFrame,
+def finding(
+    rule: str, title: str, severity: str, message: Column, advice: str,
+    expected: str | None = None, score: Column | None = None,
+) -> Column:
+    """Fields of a finding that concerns a whole function."""
+    return F.struct(
+        F.lit(rule).alias("rule_id"), F.lit(title).alias("rule_name"),
+        F.lit(severity).alias("severity"), message.alias("message"),
+        F.lit(advice).alias("suggestion"),
+        F.lit(expected).cast("string").alias("expected_improvement"),
+        (F.lit(None) if score is None else score).cast("double").alias("complexity_score"),
+    )
+
+
+def threshold_array(
+    complexity: Column,
+    span: Column,
     high: int = C.COMPLEXITY_HIGH,
     medium: int = C.COMPLEXITY_MEDIUM,
     max_span: int = C.MAX_FUNCTION_SPAN,
     max_nesting: int = C.MAX_NESTING,
-) -> DataFrame:
-    """PERF-C001/C002/S001/N001: up to three findings per function."""
-    keys = [c for c in KEYS if c in metrics.columns]
-    cc, span, name = F.col("cyclomatic"), F.col("loc"), F.col("name")
-    deep = nesting(cc)
-
-    def finding(rule, title, severity, message, advice, expected=None, score=None) -> Column:
-        return F.struct(
-            F.lit(rule).alias("rule_id"), F.lit(title).alias("rule_name"),
-            F.lit(severity).alias("severity"), message.alias("message"),
-            F.lit(advice).alias("suggestion"),
-            F.lit(expected).cast("string").alias("expected_improvement"),
-            (F.lit(None) if score is None else score).cast("double").alias("complexity_score"),
-        )
-
+) -> Column:
+    """Up to three findings of a function row with a ``name``."""
+    name, deep = F.col("name"), nesting(complexity)
     complex_ = F.when(
-        cc > high,
+        complexity > high,
         finding(
             "PERF-C001", "Very High Cyclomatic Complexity", "high",
-            F.format_string("Function '%s' has very high cyclomatic complexity (%d)", name, cc),
+            F.format_string(
+                "Function '%s' has very high cyclomatic complexity (%d)", name, complexity),
             "Refactor the function into smaller, more manageable functions",
-            "Improved testability and maintainability", cc,
+            "Improved testability and maintainability", complexity,
         ),
     ).when(
-        cc > medium,
+        complexity > medium,
         finding(
             "PERF-C002", "High Cyclomatic Complexity", "medium",
-            F.format_string("Function '%s' has high cyclomatic complexity (%d)", name, cc),
-            "Consider simplifying the function logic", None, cc,
+            F.format_string("Function '%s' has high cyclomatic complexity (%d)", name, complexity),
+            "Consider simplifying the function logic", None, complexity,
         ),
     )
     long_ = F.when(
@@ -111,14 +115,26 @@ def threshold_findings(
             "Consider extracting nested logic into separate functions",
         ),
     )
-    return (
-        metrics.withColumn("__f", F.explode(F.array_compact(F.array(complex_, long_, nested))))
-        .select(
-            F.lit("performance").alias("finding_type"),
-            "__f.rule_id", "__f.rule_name", "__f.severity", "__f.message",
-            *keys,
-            F.col("start_line").alias("line_start"),
-            F.col("end_line").alias("line_end"),
-            "__f.suggestion", "__f.expected_improvement", "__f.complexity_score",
-        )
+    return F.array_compact(F.array(complex_, long_, nested))
+
+
+def threshold_findings(
+    metrics: DataFrame,
+    high: int = C.COMPLEXITY_HIGH,
+    medium: int = C.COMPLEXITY_MEDIUM,
+    max_span: int = C.MAX_FUNCTION_SPAN,
+    max_nesting: int = C.MAX_NESTING,
+) -> DataFrame:
+    """PERF-C001/C002/S001/N001: up to three findings per function."""
+    keys = [c for c in KEYS if c in metrics.columns]
+    found = threshold_array(
+        F.col("cyclomatic"), F.col("loc"), high, medium, max_span, max_nesting
+    )
+    return metrics.withColumn("__f", F.explode(found)).select(
+        F.lit("performance").alias("finding_type"),
+        "__f.rule_id", "__f.rule_name", "__f.severity", "__f.message",
+        *keys,
+        F.col("start_line").alias("line_start"),
+        F.col("end_line").alias("line_end"),
+        "__f.suggestion", "__f.expected_improvement", "__f.complexity_score",
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogs as C
 from ..functions import text as X
+from ..functions.bind import built_once
 
 KEYS = ("file_id", "repo_id", "path", "language")
 
@@ -56,20 +57,21 @@ def _window_text(size: int) -> Column:
     return reduce(lambda a, b: F.concat(a, F.lit("\n"), b), parts)
 
 
-def _flags(ignore_case: bool) -> str:
+def _regex(rule: C.LineRule) -> str:
     # U also makes case folding Unicode-aware.
-    return "(?iudU)" if ignore_case else "(?dU)"
+    return ("(?iudU)" if rule.kind == "security" else "(?dU)") + rule.pattern
 
 
-def _hits(rule: C.LineRule, ignore_case: bool) -> Column:
+def _hits(rule: C.LineRule) -> Column:
     """Cheapest test first: language, then literal, then regex."""
     language, line = F.col("language"), F.col("line")
     text = _window_text(rule.window) if rule.window > 1 else line
-    regex = F.rlike(text, F.lit(_flags(ignore_case) + rule.pattern))
+    regex = F.rlike(text, F.lit(_regex(rule)))
     return applies(rule, language) & line.contains(rule.gate) & regex
 
 
-def _constant(rules: Sequence[C.LineRule], field: str) -> Column:
+@built_once
+def _constant(rules: tuple[C.LineRule, ...], field: str) -> Column:
     """CASE rule_id WHEN ... over a catalog field."""
     expr = None
     for rule in rules:
@@ -79,24 +81,27 @@ def _constant(rules: Sequence[C.LineRule], field: str) -> Column:
     return expr
 
 
-def matching_lines(
-    files: DataFrame, rules: Sequence[C.LineRule], ignore_case: bool
-) -> DataFrame:
+@built_once
+def _matched(rules: tuple[C.LineRule, ...]) -> Column:
+    return F.array_compact(
+        F.array(*[F.when(_hits(rule), F.lit(rule.rule_id)) for rule in rules])
+    )
+
+
+def matching_lines(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
     """(keys..., line_no, line, rule_id): one row per line and matching rule."""
     lookahead = max(rule.window for rule in rules) - 1
     lines = explode_lines(files.filter(F.col("language").isNotNull()), lookahead)
-    matched = F.array_compact(
-        F.array(*[F.when(_hits(rule, ignore_case), F.lit(rule.rule_id)) for rule in rules])
-    )
     return (
-        lines.withColumn("__rules", matched)
+        lines.withColumn("__rules", _matched(tuple(rules)))
         .filter(F.size("__rules") > 0)
         .withColumn("rule_id", F.explode("__rules"))
         .drop("__rules", "next1", "next2")
     )
 
 
-def _spans(rules: Sequence[C.LineRule]) -> Column:
+@built_once
+def _spans(rules: tuple[C.LineRule, ...]) -> Column:
     """Spans (begin, end) of every match of the row's rule, 0-based.
 
     The pieces between matches and the matches themselves alternate, so a fold
@@ -104,19 +109,23 @@ def _spans(rules: Sequence[C.LineRule]) -> Column:
     """
     pieces = gaps = None
     for rule in rules:
-        regex = F.lit(_flags(True) + rule.pattern)
+        if rule.kind != "security":
+            continue
         cond = F.col("rule_id") == rule.rule_id
-        found = F.regexp_extract_all(F.col("line"), regex, 0)
-        between = F.split(F.col("line"), _flags(True) + rule.pattern, -1)
+        found = F.regexp_extract_all(F.col("line"), F.lit(_regex(rule)), 0)
+        between = F.split(F.col("line"), _regex(rule), -1)
         pieces = F.when(cond, found) if pieces is None else pieces.when(cond, found)
         gaps = F.when(cond, between) if gaps is None else gaps.when(cond, between)
+    span_type = "array<struct<begin:int,end:int>>"
+    once = F.array(F.struct(F.lit(None).alias("begin"), F.lit(None).alias("end"))).cast(span_type)
+    if pieces is None:
+        return once
     lengths = F.zip_with(
         gaps, pieces,
         lambda gap, hit: F.struct(
             F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(-1)).alias("hit")
         ),
     )
-    span_type = "array<struct<begin:int,end:int>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("spans"))
 
     def step(state: Column, item: Column) -> Column:
@@ -129,51 +138,49 @@ def _spans(rules: Sequence[C.LineRule]) -> Column:
             .otherwise(state["spans"]).alias("spans"),
         )
 
-    return F.aggregate(lengths, start, step, lambda state: state["spans"])
+    return F.coalesce(F.aggregate(lengths, start, step, lambda state: state["spans"]), once)
 
 
-def security_scan(
-    files: DataFrame, rules: Sequence[C.LineRule] = C.SECURITY_RULES
-) -> DataFrame:
-    """Every match of every applicable rule on every line, as findings rows."""
+def scan(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
+    """Findings of any mix of line rules, in one pass over the files."""
+    rules = tuple(rules)
+    constant = lambda field: _constant(rules, field)
     return (
-        matching_lines(files, rules, ignore_case=True)
+        matching_lines(files, rules)
         .withColumn("__span", F.explode(_spans(rules)))
         .select(
-            F.lit("security").alias("finding_type"),
+            constant("kind").alias("finding_type"),
             "rule_id",
-            _constant(rules, "name").alias("rule_name"),
-            _constant(rules, "severity").alias("severity"),
-            _constant(rules, "confidence").alias("confidence"),
-            _constant(rules, "message").alias("message"),
+            constant("name").alias("rule_name"),
+            constant("severity").alias("severity"),
+            constant("confidence").alias("confidence"),
+            constant("message").alias("message"),
             *[c for c in KEYS if c in files.columns],
             F.col("line_no").alias("line_start"),
             F.col("line_no").alias("line_end"),
             F.col("__span.begin").alias("column_start"),
             F.col("__span.end").alias("column_end"),
             X.strip(F.col("line")).alias("code_snippet"),
-            _constant(rules, "remediation").alias("suggestion"),
-            _constant(rules, "cwe_id").alias("cwe_id"),
-            owasp_of(_constant(rules, "cwe_id")).alias("owasp_category"),
+            constant("remediation").alias("suggestion"),
+            constant("cwe_id").alias("cwe_id"),
+            owasp_of(constant("cwe_id")).alias("owasp_category"),
         )
     )
 
 
+def security_scan(
+    files: DataFrame, rules: Sequence[C.LineRule] = C.SECURITY_RULES
+) -> DataFrame:
+    """Every match of every applicable rule on every line, as findings rows."""
+    return scan(files, rules)
+
+
 def performance_scan(
     files: DataFrame, rules: Sequence[C.LineRule] = C.PERFORMANCE_RULES
 ) -> DataFrame:
     """At most one finding per rule and line, windows starting on that line."""
-    return matching_lines(files, rules, ignore_case=False).select(
-        F.lit("performance").alias("finding_type"),
-        "rule_id",
-        _constant(rules, "name").alias("rule_name"),
-        _constant(rules, "severity").alias("severity"),
-        _constant(rules, "message").alias("message"),
-        *[c for c in KEYS if c in files.columns],
-        F.col("line_no").alias("line_start"),
-        F.col("line_no").alias("line_end"),
-        X.strip(F.col("line")).alias("code_snippet"),
-        _constant(rules, "remediation").alias("suggestion"),
+    return scan(files, rules).drop(
+        "confidence", "column_start", "column_end", "cwe_id", "owasp_category"
     )
 
 
@@ -241,7 +248,7 @@ def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:
 def compile_java(spark: SparkSession, pattern: str) -> None:
     """Raise ValueError when the executors' regex engine rejects a pattern."""
     try:
-        spark.range(1).select(F.rlike(F.lit(""), F.lit(_flags(True) + pattern))).collect()
+        spark.range(1).select(F.rlike(F.lit(""), F.lit("(?iudU)" + pattern))).collect()
     except Exception as error:  # noqa: BLE001 - the engine's own error class varies
         first = str(error).splitlines()[0] if str(error) else type(error).__name__
         raise ValueError(f"invalid pattern: {first[:200]}") from None

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogs as C
 from ..functions import text as X
-from ..functions.bind import let, occurrences, struct_of, tally
+from ..functions.bind import built_once, let, removed, struct_of, tally
 from .rules import KEYS
 
 BRACE_LANGUAGES = ("javascript", "java", "go")
@@ -66,14 +66,20 @@ def _blank_strings(text: Column) -> Column:
     return F.regexp_replace(bare, r'''"[^"\n]*"|'[^'\n]*\'''', '""')
 
 
+def _mask_python(content: Column) -> Column:
+    text = _blank_between(_blank_between(content, '"""'), "'''")
+    return F.regexp_replace(_blank_strings(text), r"#[^\n]*", "")
+
+
+def _mask_braces(content: Column) -> Column:
+    text = _blank_block_comments(_blank_strings(_blank_between(content, "`")))
+    return F.regexp_replace(text, r"//[^\n]*", "")
+
+
 def mask(content: Column, language: Column) -> Column:
     """Content without string bodies and comments; line numbers unchanged."""
-    python = _blank_between(_blank_between(content, '"""'), "'''")
-    python = F.regexp_replace(_blank_strings(python), r"#[^\n]*", "")
-    braces = _blank_block_comments(_blank_strings(_blank_between(content, "`")))
-    braces = F.regexp_replace(braces, r"//[^\n]*", "")
-    return F.when(language == "python", python).when(
-        language.isin(*BRACE_LANGUAGES), braces
+    return F.when(language == "python", _mask_python(content)).when(
+        language.isin(*BRACE_LANGUAGES), _mask_braces(content)
     )
 
 
@@ -81,23 +87,27 @@ def mask(content: Column, language: Column) -> Column:
 
 PY_DECISION = r"^\s*(?:async\s+)?(?:if|for|while|except|with|assert)\b"
 PY_KEYWORD = r"^\s*(?:async\s+)?(?:if|elif|while|assert)\b"
+PY_ANY = r"\b(?:if|for|while|except|with|assert)\b"
 PY_TERNARY = r"\bif\b.+?\belse\b"
 JS_DECISION = r"\bif\s*\(|\bwhile\s*\(|\bwith\s*\("
 JS_DO_TAIL = r"\}\s*while\s*\("
 JS_FOR = r"\bfor\s*\([^;)]*;"
 
 
-def decision_hits(line: Column, language: Column) -> Column:
-    """Decision points on a masked line (elif and boolean operators are none)."""
-    python = F.rlike(line, F.lit(PY_DECISION)).cast("int") + tally(
-        F.regexp_replace(line, PY_KEYWORD, ""), PY_TERNARY
-    )
-    script = tally(line, JS_DECISION) + tally(line, JS_FOR) - tally(line, JS_DO_TAIL)
-    return (
-        F.when(language == "python", python)
-        .when(language == "javascript", script)
-        .otherwise(F.lit(0))
-    )
+def decision_hits(line: Column, language: str) -> Column:
+    """Decision points on a masked line (elif and boolean operators are none).
+
+    One cheap test decides whether the line is worth counting.
+    """
+    if language == "python":
+        counted = F.rlike(line, F.lit(PY_DECISION)).cast("int") + F.when(
+            line.contains("else"), tally(F.regexp_replace(line, PY_KEYWORD, ""), PY_TERNARY)
+        ).otherwise(0)
+        return F.when(F.rlike(line, F.lit(PY_ANY)), counted).otherwise(0)
+    if language == "javascript":
+        counted = tally(line, JS_DECISION) + tally(line, JS_FOR) - tally(line, JS_DO_TAIL)
+        return F.when(line.contains("("), counted).otherwise(0)
+    return F.lit(0)
 
 
 # --- definitions on a line ------------------------------------------------------
@@ -120,44 +130,48 @@ def _one(kind: str, name: Column, when: Column) -> Column:
     return F.when(when, struct_of(kind=F.lit(kind), name=name))
 
 
-def definitions(line: Column, language: Column) -> Column:
-    """Array of (kind, name) that start on a masked line."""
+def definitions(line: Column, language: str) -> Column:
+    """Array of (kind, name) that start on a masked line, NULL where none can."""
     def group(pattern: str, index: int = 1) -> Column:
         return F.regexp_extract(line, pattern, index)
 
-    python = F.array(
-        _one("function", group(PY_DEF), group(PY_DEF) != ""),
-        _one("class", group(PY_CLASS), group(PY_CLASS) != ""),
-    )
-    named = group(JS_DECL) != ""
-    method = (group(JS_METHOD) != "") & ~F.rlike(group(JS_METHOD), F.lit(NOT_METHODS))
-    anonymous = tally(line, JS_ANONYMOUS) - named.cast("int")
-    script = F.concat(
-        F.array(
-            _one("function", group(JS_DECL), named),
-            _one("function", group(JS_METHOD), method),
-            _one("class", group(JS_CLASS), group(JS_CLASS) != ""),
-        ),
-        F.array_repeat(
+    def named(kind: str, pattern: str, index: int = 1) -> Column:
+        return let(group(pattern, index), lambda name: _one(kind, name, name != ""))
+
+    if language == "python":
+        found = F.array(named("function", PY_DEF), named("class", PY_CLASS))
+        possible = line.contains("def ") | line.contains("class ") | line.contains("\t")
+    elif language == "javascript":
+        method = let(
+            group(JS_METHOD),
+            lambda n: _one("function", n, (n != "") & ~F.rlike(n, F.lit(NOT_METHODS))),
+        )
+        declared = (group(JS_DECL) != "").cast("int")
+        anonymous = F.array_repeat(
             struct_of(kind=F.lit("function"), name=F.lit("<anonymous>")),
-            F.greatest(anonymous, F.lit(0)),
-        ),
-    )
-    java = F.array(
-        _one(
-            "function", group(JAVA_METHOD, 2),
-            (group(JAVA_METHOD, 2) != "")
-            & ~F.rlike(group(JAVA_METHOD), F.lit(NOT_TYPES))
-            & ~F.rlike(group(JAVA_METHOD, 2), F.lit(NOT_METHODS)),
-        ),
-        _one("class", group(JAVA_CLASS), group(JAVA_CLASS) != ""),
-    )
-    go = F.array(_one("function", group(GO_FUNC), group(GO_FUNC) != ""))
-    return F.array_compact(
-        F.when(language == "python", python)
-        .when(language == "javascript", script)
-        .when(language == "java", java)
-        .when(language == "go", go)
+            F.greatest(tally(line, JS_ANONYMOUS) - declared, F.lit(0)),
+        )
+        found = F.concat(
+            F.array(named("function", JS_DECL), method, named("class", JS_CLASS)), anonymous
+        )
+        possible = line.contains("(") | line.contains("class") | line.contains("=>")
+    elif language == "java":
+        method = let(
+            struct_of(type=group(JAVA_METHOD), name=group(JAVA_METHOD, 2)),
+            lambda m: _one(
+                "function", m["name"],
+                (m["name"] != "")
+                & ~F.rlike(m["type"], F.lit(NOT_TYPES))
+                & ~F.rlike(m["name"], F.lit(NOT_METHODS)),
+            ),
+        )
+        found = F.array(method, named("class", JAVA_CLASS))
+        possible = line.contains("(") | line.contains("class")
+    else:
+        found = F.array(named("function", GO_FUNC))
+        possible = line.startswith("func")
+    return F.when(possible, F.array_compact(found)).otherwise(
+        F.array().cast("array<struct<kind:string,name:string>>")
     )
 
 
@@ -168,29 +182,34 @@ ENTRY = (
     "header_end:int,balance:int,decorated:boolean,opened:boolean,parent:int,parent_kind:string>"
 )
 
-def _marks(masked: Column, language: Column) -> Column:
-    """One struct per non-blank masked line."""
-    def describe(line: Column, i: Column) -> Column:
-        body = F.ltrim(F.translate(line, "\t\r\f", "    "))
-        opened = occurrences(line, "(") + occurrences(line, "[") + occurrences(line, "{")
-        closed = occurrences(line, ")") + occurrences(line, "]") + occurrences(line, "}")
-        return F.when(
-            F.trim(body) != "",
-            struct_of(
-                ln=i + 1,
-                indent=F.length(line) - F.length(body),
-                continues=F.left(body, F.lit(1)).isin(")", "]", "}", RESUMED),
-                braces_open=occurrences(line, "{"),
-                braces_close=occurrences(line, "}"),
-                balance=opened - closed,
-                hits=decision_hits(line, language),
-                defs=definitions(line, language),
-                decorator=body.startswith("@"),
-                ends_statement=F.rtrim(body).endswith(";"),
-            ),
+def _marks(masked: Column, language: str) -> Column:
+    """One struct per non-blank masked line, with what its language needs."""
+    python = language == "python"
+    zero, no = F.lit(0), F.lit(False)
+
+    def describe(line: Column, body: Column, number: Column) -> Column:
+        first = F.left(body, F.lit(1))
+        return struct_of(
+            ln=number,
+            indent=F.length(line) - F.length(body) if python else zero,
+            continues=first.isin(")", "]", "}", RESUMED) if python else no,
+            braces_open=zero if python else removed(line, "{"),
+            braces_close=zero if python else removed(line, "}"),
+            balance=removed(line, "([{") - removed(line, ")]}") if python else zero,
+            hits=decision_hits(line, language),
+            defs=definitions(line, language),
+            decorator=first == "@" if python else no,
+            ends_statement=no if python else F.rtrim(body).endswith(";"),
+        )
+
+    def mark(line: Column, i: Column) -> Column:
+        # Only spaces and tabs indent; a blank line has nothing left.
+        return let(
+            F.ltrim(F.translate(line, "\t\r\f", "    ")),
+            lambda body: F.when(F.length(body) > 0, describe(line, body, i + 1)),
         )
 
-    return F.array_compact(F.transform(X.split_lines(masked), describe))
+    return F.array_compact(F.transform(X.split_lines(masked), mark))
 
 
 def _opened_entries(mark: Column, state: Column, level: Column, braces: bool) -> Column:
@@ -320,12 +339,15 @@ def entries(content: Column, language: Column) -> Column:
     def finish(state: Column) -> Column:
         return F.array_sort(F.concat(state["done"], _close(state["open"], state["last"])))
 
-    marks = _marks(mask(content, language), language)
-    return (
-        F.when(language == "python", F.aggregate(marks, start, _python_step, finish))
-        .when(language.isin(*BRACE_LANGUAGES), F.aggregate(marks, start, _brace_step, finish))
-        .otherwise(none)
-    )
+    def fold(name: str) -> Column:
+        masked = _mask_python(content) if name == "python" else _mask_braces(content)
+        step = _python_step if name == "python" else _brace_step
+        return F.aggregate(_marks(masked, name), start, step, finish)
+
+    expr = F.when(language == "python", fold("python"))
+    for name in BRACE_LANGUAGES:
+        expr = expr.when(language == name, fold(name))
+    return expr.otherwise(none)
 
 
 # --- tables -------------------------------------------------------------------
@@ -335,8 +357,10 @@ BRACE_HEADER = r"(?s)^[^(]*\((.*?)\)"
 TOP_LEVEL_COMMA = r",(?![^\[\]]*\])(?![^()]*\))(?![^{}]*\})"
 
 
-def _parameters(header: Column, language: Column) -> Column:
+@built_once
+def _parameters() -> Column:
     """Plain, typed or defaulted parameters; splats and typed defaults are left out."""
+    header, language = F.col("e.header"), F.col("language")
     inner = F.when(language == "python", F.regexp_extract(header, PY_HEADER, 1)).otherwise(
         F.regexp_extract(header, BRACE_HEADER, 1)
     )
@@ -360,7 +384,9 @@ def _parameters(header: Column, language: Column) -> Column:
     )
 
 
-def _return_type(header: Column, language: Column) -> Column:
+@built_once
+def _return_type() -> Column:
+    header, language = F.col("e.header"), F.col("language")
     python = F.regexp_extract(header, PY_HEADER, 2)
     java = X.strip(F.regexp_extract(header, JAVA_METHOD, 1))
     return F.nullif(
@@ -376,7 +402,12 @@ def parse(files: DataFrame) -> DataFrame:
     file, so that exploding entries later does not copy whole files.
     """
     parsed = files.filter(F.col("language").isin("python", *BRACE_LANGUAGES))
-    with_header = let(
+    return parsed.withColumn("entries", _entries_with_header())
+
+
+@built_once
+def _entries_with_header() -> Column:
+    return let(
         X.split_lines(F.col("content")),
         lambda lines: F.transform(
             entries(F.col("content"), F.col("language")),
@@ -392,7 +423,6 @@ def parse(files: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return parsed.withColumn("entries", with_header)
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -429,8 +459,8 @@ def functions(files: DataFrame, with_snippet: bool = False) -> DataFrame:
         F.col("e.name").alias("name"),
         F.col("e.start").alias("start_line"),
         F.col("e.stop").alias("end_line"),
-        _parameters(F.col("e.header"), language).alias("parameters"),
-        _return_type(F.col("e.header"), language).alias("return_type"),
+        _parameters().alias("parameters"),
+        _return_type().alias("return_type"),
         F.when(language.isin("python", "javascript"), F.col("e.complexity"))
         .otherwise(1).alias("complexity"),
         *([F.col("e.snippet").alias("snippet")] if with_snippet else []),
@@ -565,32 +595,57 @@ def imports(files: DataFrame) -> DataFrame:
     )
 
 
-def imports_in_functions(files: DataFrame) -> DataFrame:
-    """PERF-P006: one finding per import line and enclosing function."""
-    keys = _keys(files)
-    starts = F.transform(
+@built_once
+def _functions_with_imports() -> Column:
+    """Functions (name, start, stop, complexity) with the import lines inside them."""
+    lines = F.transform(
         X.split_lines(F.col("content")),
-        lambda line, i: F.when(
-            X.strip(line).startswith("import ") | X.strip(line).startswith("from "),
-            struct_of(line_no=i + 1, text=X.strip(line)),
+        lambda line, i: let(
+            X.strip(line),
+            lambda text: F.when(
+                text.startswith("import ") | text.startswith("from "),
+                struct_of(line_no=i + 1, text=text),
+            ),
         ),
     )
-    found = let(
-        F.array_compact(starts),
-        lambda lines: F.transform(
+    python = F.when(F.col("language") == "python", F.array_compact(lines)).otherwise(
+        F.array().cast("array<struct<line_no:int,text:string>>")
+    )
+    return let(
+        python,
+        lambda found: F.transform(
             F.filter("entries", lambda e: e["kind"] == "function"),
             lambda e: struct_of(
                 name=e["name"],
-                lines=F.filter(
-                    lines, lambda i: (i["line_no"] >= e["start"]) & (i["line_no"] <= e["stop"])
+                start_line=e["start"],
+                end_line=e["stop"],
+                complexity=e["complexity"],
+                imports=F.filter(
+                    found, lambda i: (i["line_no"] >= e["start"]) & (i["line_no"] <= e["stop"])
                 ),
             ),
         ),
     )
+
+
+def functions_with_imports(files: DataFrame) -> DataFrame:
+    """One row per function with the import lines inside it as an array."""
+    keys = _keys(files)
+    counted = F.col("language").isin("python", "javascript")
+    return (
+        parse(files)
+        .select(*keys, F.explode(_functions_with_imports()).alias("f"))
+        .select(*keys, "f.name", "f.start_line", "f.end_line", "f.imports",
+                F.when(counted, F.col("f.complexity")).otherwise(1).alias("complexity"))
+    )
+
+
+def imports_in_functions(files: DataFrame) -> DataFrame:
+    """PERF-P006: one finding per import line and enclosing function."""
+    keys = _keys(files)
     return (
-        parse(files.filter(F.col("language") == "python"))
-        .select(*keys, F.explode(found).alias("f"))
-        .select(*keys, "f.name", F.explode("f.lines").alias("i"))
+        functions_with_imports(files.filter(F.col("language") == "python"))
+        .select(*keys, "name", F.explode("imports").alias("i"))
         .select(
             F.lit("performance").alias("finding_type"),
             F.lit("PERF-P006").alias("rule_id"),
@@ -601,9 +656,7 @@ def imports_in_functions(files: DataFrame) -> DataFrame:
             F.col("i.line_no").alias("line_start"),
             F.col("i.line_no").alias("line_end"),
             F.col("i.text").alias("code_snippet"),
-            F.lit(
-                "Consider moving import to module level unless lazy loading is intentional"
-            ).alias("suggestion"),
+            F.lit(IMPORT_ADVICE).alias("suggestion"),
         )
     )
 
@@ -639,14 +692,22 @@ def covering(
     )
 
 
+IMPORT_ADVICE = "Consider moving import to module level unless lazy loading is intentional"
+DANGEROUS_ADVICE = "Avoid using dangerous functions; use safer alternatives"
+
+
+def is_dangerous() -> Column:
+    """Whether a function row is defined under a dangerous name."""
+    hit = F.lit(False)
+    for language, names in C.DANGEROUS_FUNCTIONS.items():
+        hit = hit | ((F.col("language") == language) & F.col("name").isin(*names))
+    return hit
+
+
 def dangerous_definitions(files: DataFrame) -> DataFrame:
     """CS-AST001: functions defined under a dangerous name."""
     keys = _keys(files)
-    hit = None
-    for language, names in C.DANGEROUS_FUNCTIONS.items():
-        cond = (F.col("language") == language) & F.col("name").isin(*names)
-        hit = cond if hit is None else hit | cond
-    return functions(files).filter(hit).select(
+    return functions(files).filter(is_dangerous()).select(
         F.lit("security").alias("finding_type"),
         F.lit("CS-AST001").alias("rule_id"),
         F.lit("Dangerous Function Usage").alias("rule_name"),
@@ -656,7 +717,7 @@ def dangerous_definitions(files: DataFrame) -> DataFrame:
         *keys,
         F.col("start_line").alias("line_start"),
         F.col("end_line").alias("line_end"),
-        F.lit("Avoid using dangerous functions; use safer alternatives").alias("suggestion"),
+        F.lit(DANGEROUS_ADVICE).alias("suggestion"),
         F.lit("CWE-94").alias("cwe_id"),
         F.lit("A03").alias("owasp_category"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogs as C
 from ..functions import text as X
-from ..functions.bind import let, struct_of
+from ..functions.bind import built_once, let, struct_of
 from .rules import KEYS
 
 
@@ -90,14 +90,26 @@ def _tracked(files: DataFrame) -> DataFrame:
     return files.filter(F.col("language").isin(*C.TAINT_SOURCES))
 
 
+@built_once
+def _sources(whole: bool) -> Column:
+    return let(
+        X.split_lines(F.col("content")),
+        lambda lines: _located(lines, F.col("language"), C.TAINT_SOURCES, _source, whole),
+    )
+
+
+@built_once
+def _sinks(whole: bool) -> Column:
+    return let(
+        X.split_lines(F.col("content")),
+        lambda lines: _located(lines, F.col("language"), C.TAINT_SINKS, _sink, whole),
+    )
+
+
 def taint_sources(files: DataFrame, word_boundary: bool = False) -> DataFrame:
     """One row per source pattern contained in a line, with its variable."""
     keys = _keys(files)
-    found = let(
-        X.split_lines(F.col("content")),
-        lambda lines: _located(lines, F.col("language"), C.TAINT_SOURCES, _source, word_boundary),
-    )
-    return _tracked(files).select(*keys, F.explode(found).alias("s")).select(
+    return _tracked(files).select(*keys, F.explode(_sources(word_boundary)).alias("s")).select(
         *keys, F.col("s.name").alias("source_name"), F.col("s.line").alias("source_line"),
         F.col("s.col").alias("source_col"), F.col("s.level").alias("level"),
         F.col("s.type").alias("source_type"), F.col("s.variable").alias("variable"),
@@ -107,11 +119,7 @@ def taint_sources(files: DataFrame, word_boundary: bool = False) -> DataFrame:
 def taint_sinks(files: DataFrame, word_boundary: bool = False) -> DataFrame:
     """One row per sink pattern contained in a line."""
     keys = _keys(files)
-    found = let(
-        X.split_lines(F.col("content")),
-        lambda lines: _located(lines, F.col("language"), C.TAINT_SINKS, _sink, word_boundary),
-    )
-    return _tracked(files).select(*keys, F.explode(found).alias("s")).select(
+    return _tracked(files).select(*keys, F.explode(_sinks(word_boundary)).alias("s")).select(
         *keys, F.col("s.name").alias("sink_name"), F.col("s.line").alias("sink_line"),
         F.col("s.col").alias("sink_col"), F.col("s.type").alias("sink_type"),
         F.col("s.required").alias("required_level"),
@@ -130,19 +138,10 @@ def _sanitizers_on(line: Column, language: Column, whole: bool) -> Column:
     return expr
 
 
-def taint_flows(
-    files: DataFrame, word_boundary: bool = False, check_level: bool = False
-) -> DataFrame:
-    """One row per source and later sink of a file.
-
-    The path lists the lines from the source up to the sink that mention the
-    variable; a sanitizer on any of them makes the flow safe.  With
-    ``check_level`` a flow also needs a source at least as tainted as the sink
-    requires.
-    """
-    keys = _keys(files)
+@built_once
+def _followed(whole: bool) -> Column:
+    """Array of sources with a variable: their later sinks and its mentions."""
     language = F.col("language")
-    levels = F.array(*[F.lit(v) for v in ("low", "medium", "high", "critical")])
 
     def mentions(lines: Column, source: Column) -> Column:
         """Lines from the source on that mention its variable."""
@@ -155,7 +154,7 @@ def taint_flows(
                     struct_of(
                         line=source["line"] + i,
                         col=F.instr(line, source["variable"]),
-                        cleaned=_sanitizers_on(line, language, word_boundary),
+                        cleaned=_sanitizers_on(line, language, whole),
                     ),
                 ),
             )
@@ -163,10 +162,10 @@ def taint_flows(
 
     def followed(lines: Column) -> Column:
         sources = F.filter(
-            _located(lines, language, C.TAINT_SOURCES, _source, word_boundary),
+            _located(lines, language, C.TAINT_SOURCES, _source, whole),
             lambda s: s["variable"].isNotNull(),
         )
-        sinks = _located(lines, language, C.TAINT_SINKS, _sink, word_boundary)
+        sinks = _located(lines, language, C.TAINT_SINKS, _sink, whole)
         return F.when(
             F.size(sources) > 0,
             let(
@@ -182,11 +181,27 @@ def taint_flows(
             ),
         )
 
+    return let(X.split_lines(F.col("content")), followed)
+
+
+def taint_flows(
+    files: DataFrame, word_boundary: bool = False, check_level: bool = False
+) -> DataFrame:
+    """One row per source and later sink of a file.
+
+    The path lists the lines from the source up to the sink that mention the
+    variable; a sanitizer on any of them makes the flow safe.  With
+    ``check_level`` a flow also needs a source at least as tainted as the sink
+    requires.
+    """
+    keys = _keys(files)
+    levels = F.array(*[F.lit(v) for v in ("low", "medium", "high", "critical")])
+
     # Files without any assignment from a source never build the arrays.
     per_source = (
         _tracked(files)
         .filter(F.col("content").contains("="))
-        .select(*keys, F.explode(let(X.split_lines(F.col("content")), followed)).alias("f"))
+        .select(*keys, F.explode(_followed(word_boundary)).alias("f"))
         .select(*keys, "f.source", "f.mentions", F.explode("f.sinks").alias("sink"))
     )
     before = F.filter("mentions", lambda m: m["line"] < F.col("sink.line"))

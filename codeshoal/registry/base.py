@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import detect_language
+from ..sources.splits import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,7 +149,7 @@ PATH = f"concat('src/', source, '/f', {_ID}, {EXTENSIONS})"
 def code_files(spark: SparkSession, sf_dir: str, catalog: str = "scanner") -> DataFrame:
     """(file_id, repo_id, path, language, content), one row per document."""
     return (
-        table(spark, sf_dir, "documents")
+        spread_small(table(spark, sf_dir, "documents"), os.path.join(sf_dir, "documents.parquet"))
         .select(
             F.col("doc_id").alias("file_id"),
             F.expr(REPO).alias("repo_id"),

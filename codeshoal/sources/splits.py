@@ -1,0 +1,23 @@
+"""Splitting of small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame, path: str, limit: int = SMALL_BYTES) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A small file often has one row group and would be parsed by one core.
+    Large inputs have more splits than cores and are left as they are, so no
+    shuffle is added where it would cost anything.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    size = target.getFileSystem(conf).getContentSummary(target).getLength()
+    if size >= limit:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)

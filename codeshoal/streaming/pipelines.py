@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import performance_scan, security_scan
-from ..operators.findings import union_findings
+from ..catalogs import PERFORMANCE_RULES, SECURITY_RULES
+from ..operators.rules import scan
 from ..session import DEFAULTS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -42,7 +42,7 @@ def run_available(stream: DataFrame, out: str) -> DataFrame:
 
 def scan_stream(files: DataFrame) -> DataFrame:
     """Findings of new files: stateless, each file scanned once."""
-    return union_findings(security_scan(files), performance_scan(files))
+    return scan(files, SECURITY_RULES + PERFORMANCE_RULES)
 
 
 def append_changes(stream: DataFrame, path: str, checkpoint: str):

@@ -12,13 +12,18 @@ from .upserts import latest_by
 CONTAINS, DEFINES, CALLS = "CONTAINS", "DEFINES", "CALLS"
 
 
-def build_index(
-    files: DataFrame, functions: DataFrame, classes: DataFrame, calls: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+def build_index(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of repositories, files, functions, classes and calls.
 
-    The same name twice in a file is one node: the later definition wins.
+    ``extracted`` is structure.extract's table, best read back from where it
+    was written.  The same name twice in a file is one node: the later
+    definition wins.
     """
+    files = extracted
+    functions = structure.functions_of(extracted)
+    classes = structure.classes_of(extracted)
+    calls = structure.call_edges_of(extracted)
+
     def node(df: DataFrame, label: str, **columns) -> DataFrame:
         empty = {
             "name": "string", "path": "string", "language": "string",
@@ -34,14 +39,13 @@ def build_index(
 
     file_id = X.stable_id(F.col("repo_id"), F.col("path"))
     member_id = X.stable_id(F.col("repo_id"), F.col("path"), F.col("name"))
-    text = F.col("content")
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     repo_nodes = node(
         files.select("repo_id").distinct(), "Repository", id=F.col("repo_id"),
         name=F.col("repo_id"),
     )
     file_nodes = node(
-        files, "File", id=file_id, path=F.col("path"), language=F.col("language"), lines=n_lines
+        files, "File", id=file_id, path=F.col("path"), language=F.col("language"),
+        lines=F.col("n_lines"),
     )
     last = latest_by(
         functions, ["repo_id", "path", "name"], F.desc("start_line"), F.desc("end_line")
@@ -72,11 +76,8 @@ def build_index(
         edge(files, F.col("repo_id"), file_id, CONTAINS)
         .unionByName(edge(last, file_id, member_id, DEFINES))
         .unionByName(edge(last_class, file_id, member_id, DEFINES))
+        .unionByName(edge(calls, F.col("src"), F.col("dst"), CALLS, F.col("type")))
     )
-    if calls is not None:
-        edges = edges.unionByName(
-            edge(calls, F.col("src"), F.col("dst"), CALLS, F.col("type"))
-        )
     return nodes, edges
 
 
@@ -89,17 +90,30 @@ def index_counts(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> Data
     ).withColumn("vectors_indexed", vectors.agg(F.count(F.lit(1)).alias("c")).scalar())
 
 
-def index_repository(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Whole index of a set of files: nodes, edges and snippets to embed."""
-    functions = structure.functions(files)
-    classes = structure.classes(files)
-    nodes, edges = build_index(files, functions, classes, structure.call_edges(files))
-    return nodes, edges, function_snippets(files)
+def index_repository(
+    files: DataFrame, store: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole index of a set of files: nodes, edges and snippets to embed.
+
+    With ``store`` (a folder all executors share) the parse is written there
+    once and everything is derived from it, also after executors are lost;
+    without it every derived table parses the files again.
+    """
+    extracted = structure.extract(files)
+    if store is not None:
+        extracted.write.mode("overwrite").parquet(store)
+        extracted = files.sparkSession.read.schema(extracted.schema).parquet(store)
+    nodes, edges = build_index(extracted)
+    return nodes, edges, snippets_of(extracted)
 
 
 def function_snippets(files: DataFrame) -> DataFrame:
+    return snippets_of(structure.extract(files))
+
+
+def snippets_of(extracted: DataFrame) -> DataFrame:
     """Snippet rows of functions, keyed like the vectors, last definition winning."""
-    own = structure.functions(files, with_snippet=True)
+    own = structure.functions_of(extracted, with_snippet=True)
     last = latest_by(own, ["repo_id", "path", "name"], F.desc("start_line"), F.desc("end_line"))
     return last.select(
         X.snippet_id(F.col("repo_id"), F.col("path"), F.col("name"), F.col("start_line"))

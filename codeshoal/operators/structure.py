@@ -429,31 +429,50 @@ def _keys(df: DataFrame) -> list[str]:
     return [c for c in KEYS if c in df.columns]
 
 
-def functions(files: DataFrame, with_snippet: bool = False) -> DataFrame:
-    """One row per function or method, nested ones included."""
-    parsed = parse(files)
-    keys = _keys(files)
-    language = F.col("language")
-    if with_snippet:
-        parsed = parsed.withColumn(
-            "entries",
-            let(
-                X.split_lines(F.col("content")),
-                lambda lines: F.transform(
-                    F.col("entries"),
-                    lambda e: e.withField(
-                        "snippet",
-                        F.array_join(
-                            F.slice(lines, e["start"], e["stop"] - e["start"] + 1), "\n"
-                        ),
-                    ),
+@built_once
+def _full_entries() -> Column:
+    """Entries with header, text and distinct called names, from one parse."""
+    def complete(texts: Column) -> Column:
+        return F.transform(
+            _entries_with_header(),
+            lambda e: e.withField(
+                "snippet",
+                F.array_join(
+                    F.slice(texts["raw"], e["start"], e["stop"] - e["start"] + 1), "\n"
                 ),
-            ),
+            ).withField("callees", _callees(texts["masked"], e)),
         )
+
+    masked = F.coalesce(mask(F.col("content"), F.col("language")), F.lit(""))
+    return let(
+        struct_of(raw=X.split_lines(F.col("content")), masked=X.split_lines(masked)), complete
+    )
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """One row per file with its line count and complete entries, text dropped.
+
+    Whoever needs several of the tables below should write this once and
+    derive them from what was written: the parse is the expensive part.
+    """
+    text = F.col("content")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return files.select(*_keys(files), n_lines.alias("n_lines"), _full_entries().alias("entries"))
+
+
+def functions(files: DataFrame, with_snippet: bool = False) -> DataFrame:
+    """One row per function or method, nested ones included."""
+    return functions_of(extract(files) if with_snippet else parse(files), with_snippet)
+
+
+def functions_of(parsed: DataFrame, with_snippet: bool = False) -> DataFrame:
+    """Function rows of parsed files (from parse or extract)."""
+    keys = _keys(parsed)
     exploded = parsed.select(
         *keys,
         F.explode(F.filter("entries", lambda e: e["kind"] == "function")).alias("e"),
     )
+    counted = F.col("language").isin("python", "javascript")
     return exploded.select(
         *keys,
         F.col("e.name").alias("name"),
@@ -461,8 +480,7 @@ def functions(files: DataFrame, with_snippet: bool = False) -> DataFrame:
         F.col("e.stop").alias("end_line"),
         _parameters().alias("parameters"),
         _return_type().alias("return_type"),
-        F.when(language.isin("python", "javascript"), F.col("e.complexity"))
-        .otherwise(1).alias("complexity"),
+        F.when(counted, F.col("e.complexity")).otherwise(1).alias("complexity"),
         *([F.col("e.snippet").alias("snippet")] if with_snippet else []),
     )
 
@@ -473,7 +491,12 @@ JS_PARENT = r"\bextends\s+([\w$.]+)"
 
 def classes(files: DataFrame) -> DataFrame:
     """One row per class with parents and its direct methods."""
-    keys = _keys(files)
+    return classes_of(parse(files))
+
+
+def classes_of(parsed: DataFrame) -> DataFrame:
+    """Class rows of parsed files (from parse or extract)."""
+    keys = _keys(parsed)
     language = F.col("language")
 
     def methods(cls: Column) -> Column:
@@ -517,8 +540,7 @@ def classes(files: DataFrame) -> DataFrame:
         F.array(F.regexp_extract(F.col("c.header"), JS_PARENT, 1)), lambda p: p != ""
     )
     return (
-        parse(files)
-        .select(*keys, F.explode(with_methods).alias("c"))
+        parsed.select(*keys, F.explode(with_methods).alias("c"))
         .select(
             *keys,
             F.col("c.name").alias("name"),
@@ -730,40 +752,29 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class",
              "with", "except", "elif", "and", "or", "not", "in", "func")
 
 
+def _callees(masked: Column, entry: Column) -> Column:
+    """Distinct names called inside an entry, definitions left out."""
+    body = F.array_join(
+        F.slice(masked, entry["start"], entry["stop"] - entry["start"] + 1), "\n"
+    )
+    names = F.regexp_extract_all(F.regexp_replace(body, DEFINED, ""), F.lit(CALL), 1)
+    return F.array_distinct(F.filter(names, lambda n: ~n.isin(*NOT_CALLS)))
+
+
 def called_names(files: DataFrame) -> DataFrame:
+    return called_names_of(extract(files))
+
+
+def called_names_of(extracted: DataFrame) -> DataFrame:
     """(keys..., name, start_line, callee): distinct names called in each function.
 
     Calls of nested functions count for the outer function as well.
     """
-    keys = _keys(files)
-    language = F.col("language")
-    body = let(
-        X.split_lines(mask(F.col("content"), language)),
-        lambda lines: F.transform(
-            F.filter("entries", lambda e: e["kind"] == "function"),
-            lambda e: struct_of(
-                name=e["name"],
-                start=e["start"],
-                callees=F.array_distinct(
-                    F.filter(
-                        F.regexp_extract_all(
-                            F.regexp_replace(
-                                F.array_join(
-                                    F.slice(lines, e["start"], e["stop"] - e["start"] + 1), "\n"
-                                ),
-                                DEFINED, "",
-                            ),
-                            F.lit(CALL), 1,
-                        ),
-                        lambda n: ~n.isin(*NOT_CALLS),
-                    )
-                ),
-            ),
-        ),
-    )
+    keys = _keys(extracted)
     return (
-        parse(files)
-        .select(*keys, F.explode(body).alias("f"))
+        extracted.select(
+            *keys, F.explode(F.filter("entries", lambda e: e["kind"] == "function")).alias("f")
+        )
         .select(
             *keys, F.col("f.name").alias("name"), F.col("f.start").alias("start_line"),
             F.explode("f.callees").alias("callee"),
@@ -772,28 +783,51 @@ def called_names(files: DataFrame) -> DataFrame:
 
 
 def call_edges(files: DataFrame) -> DataFrame:
+    return call_edges_of(extract(files))
+
+
+def call_edges_of(extracted: DataFrame) -> DataFrame:
     """Distinct (src, dst, type) between function ids of a repository.
 
     A called name resolves to one definition: the file's own, else the first
     by path in the repository.  Definitions are reduced to one row per name
     before the join, so a popular name never multiplies rows.
     """
-    own = functions(files).select("repo_id", "path", "name").distinct()
-    by_file = own.select(
-        "repo_id", F.col("path").alias("path"), F.col("name").alias("callee"),
-        F.lit(True).alias("__local"),
+    named = extracted.select(
+        "repo_id", "path",
+        F.array_distinct(
+            F.transform(
+                F.filter("entries", lambda e: e["kind"] == "function"), lambda e: e["name"]
+            )
+        ).alias("own"),
+        F.filter("entries", lambda e: e["kind"] == "function").alias("functions"),
+    )
+    first = (
+        named.select("repo_id", "path", F.explode("own").alias("callee"))
+        .groupBy("repo_id", "callee").agg(F.min("path").alias("__first"))
     )
-    by_repo = own.groupBy("repo_id", F.col("name").alias("callee")).agg(
-        F.min("path").alias("__first")
+    # Whether the file itself defines the name is known inside its row.
+    calls = (
+        named.select("repo_id", "path", "own", F.explode("functions").alias("f"))
+        .select(
+            "repo_id", "path", F.col("f.name").alias("name"),
+            F.explode(
+                F.transform(
+                    "f.callees",
+                    lambda c: struct_of(callee=c, local=F.array_contains("own", c)),
+                )
+            ).alias("c"),
+        )
+        .select("repo_id", "path", "name", "c.callee", "c.local")
+        .distinct()
     )
-    calls = called_names(files).select("repo_id", "path", "name", "callee").distinct()
-    resolved = (
-        calls.join(by_repo, ["repo_id", "callee"])
-        .join(by_file, ["repo_id", "path", "callee"], "left")
-        .withColumn("__target", F.when(F.col("__local"), F.col("path")).otherwise(F.col("__first")))
+    local = calls.filter("local").withColumn("__target", F.col("path"))
+    other = calls.filter(~F.col("local")).join(first, ["repo_id", "callee"]).withColumnRenamed(
+        "__first", "__target"
     )
-    return resolved.select(
+    edge = lambda df: df.select(
         X.stable_id(F.col("repo_id"), F.col("path"), F.col("name")).alias("src"),
         X.stable_id(F.col("repo_id"), F.col("__target"), F.col("callee")).alias("dst"),
         F.lit("direct").alias("type"),
-    ).distinct()
+    )
+    return edge(local).unionByName(edge(other)).distinct()

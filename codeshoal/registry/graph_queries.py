@@ -9,6 +9,7 @@ from ..operators import search as SE
 from ..operators import structure as S
 from ..operators import upserts as U
 from ..operators import vectors as V
+from ..session import scratch_dir
 from .base import code_files, table, with_files
 from .scan_queries import CALLS, FUNCTIONS
 
@@ -37,12 +38,13 @@ INDEX_CTES = (*FUNCTIONS, CALLS, INDEX)
 
 
 def _index(spark, sf):
-    nodes, edges, _ = G.index_repository(code_files(spark, sf))
+    nodes, edges, _ = G.index_repository(code_files(spark, sf), scratch_dir(spark, "index"))
     return nodes, edges
 
 
 def a18(spark, sf):
-    nodes, edges, snippets = G.index_repository(code_files(spark, sf))
+    store = scratch_dir(spark, "index")
+    nodes, edges, snippets = G.index_repository(code_files(spark, sf), store)
     return G.index_counts(nodes, edges, snippets)
 
 

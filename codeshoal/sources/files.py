@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +41,68 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
+ENTRY = "rel string, is_dir boolean, length bigint, modified bigint"
+
+
+def _expand(base: str, recursive: bool):
+    """Replace directory rows by what they hold; file rows pass."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = pafs.FileSystem.from_uri(base)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if not row.is_dir:
+                    yield _rows([(row.rel, False, row.length, row.modified)])
+                    continue
+                found = fs.get_file_info(pafs.FileSelector(f"{top}/{row.rel}", recursive=recursive))
+                kept = [i for i in found if not (recursive and i.type == pafs.FileType.Directory)]
+                for at in range(0, len(kept), 10_000):
+                    yield _rows([_described(i, top) for i in kept[at:at + 10_000]])
+    return run
+
+
+def _described(info: pafs.FileInfo, top: str) -> tuple:
+    is_dir = info.type == pafs.FileType.Directory
+    rel = info.path[len(top.rstrip("/")) + 1:]
+    return rel, is_dir, info.size or 0, (info.mtime_ns or 0) // 1000
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["rel", "is_dir", "length", "modified"])
+
+
+def list_tree(spark: SparkSession, root: str, skip_rules: bool = True) -> DataFrame:
+    """(rel, length, modified) of every file below a folder.
+
+    Spark's own file listing leaves out names that start with '_' or '.', so
+    it would lose files like __init__.py.  Only the top level is listed here;
+    the next level and then the subtrees are listed by tasks.
+    """
+    base = root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
+    fs, top = pafs.FileSystem.from_uri(base)
+    first = [_described(i, top) for i in fs.get_file_info(pafs.FileSelector(top))]
+    entries = spark.createDataFrame(first, ENTRY)
+    keep = ~skipped(F.col("rel")) if skip_rules else F.lit(True)
+    for recursive in (False, True):
+        spread = entries.filter(keep).repartition(spark.sparkContext.defaultParallelism)
+        entries = spread.mapInPandas(_expand(base, recursive), ENTRY)
+    return entries.filter(keep & ~F.col("is_dir")).drop("is_dir")
+
+
+def _read_files(base: str):
+    """Add the bytes of each file, one file at a time; errors become text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = pafs.FileSystem.from_uri(base)
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.iloc[at:at + 1]
+                try:
+                    with fs.open_input_stream(f"{top}/{row['rel'].iloc[0]}") as stream:
+                        yield row.assign(content=[stream.read()], error=[None])
+                except OSError as problem:
+                    yield row.assign(content=[None], error=[str(problem)])
+    return run
+
+
 def read_tree(
     spark: SparkSession,
     root: str,
@@ -48,39 +113,30 @@ def read_tree(
 ) -> DataFrame:
     """Files below a folder: one row per file with text, or an error.
 
-    Path rules are predicates on the file's path, so files they exclude are
-    pruned before being read.  ``skip_rules=False`` walks everything.
+    Path rules filter the listing, so excluded files are never opened.
+    ``skip_rules=False`` walks everything.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(root)
+    base = root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
+    listed = list_tree(spark, root, skip_rules).filter(included(F.col("rel"), include_patterns))
+    # By hash of the path: files of a large folder are read by many tasks.
+    spread = listed.repartition(F.col("rel"))
+    raw = spread.mapInPandas(
+        _read_files(base), "rel string, length bigint, modified bigint, content binary, error string"
     )
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.col("path"), r"^.*?" + _quote(base) + "/", "")
-    files = raw.withColumn("rel", relative)
-    if skip_rules:
-        files = files.filter(~skipped(F.col("rel"))).filter(
-            included(F.col("rel"), include_patterns)
-        )
     binary = is_binary(F.col("content"))
-    return files.select(
-        F.xxhash64(F.lit(repo_id or base), F.col("rel")).alias("file_id"),
-        F.lit(repo_id or base.rsplit("/", 1)[-1]).alias("repo_id"),
+    name = repo_id or base.rsplit("/", 1)[-1]
+    return raw.select(
+        F.xxhash64(F.lit(name), F.col("rel")).alias("file_id"),
+        F.lit(name).alias("repo_id"),
         F.col("rel").alias("path"),
         detect_language(F.col("rel"), catalog).alias("language"),
         F.when(~binary, decode_text(F.col("content"))).alias("content"),
         F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("last_modified"),
-        F.when(binary, F.lit("binary file")).alias("error"),
+        F.timestamp_micros("modified").alias("last_modified"),
+        F.coalesce("error", F.when(binary, F.lit("binary file"))).alias("error"),
     ).withColumn("hash", F.md5(F.col("content")))
 
 
-def _quote(text: str) -> str:
-    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
-
-
 def cap_files(
     files: DataFrame,
     max_bytes: int = C.MAX_FILE_BYTES,

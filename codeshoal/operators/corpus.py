@@ -40,44 +40,39 @@ def take_fraction(df: DataFrame, key: str, weight: float, seed: int = SEED) -> D
     first = F.substring("__h", 1, RADIX_DIGITS)
     second = F.substring("__h", RADIX_DIGITS + 1, RADIX_DIGITS)
 
-    def cut(counts: DataFrame, wanted: Column) -> DataFrame:
-        """The prefix in which position ``wanted`` falls, and what precedes it."""
+    def cut(counts: DataFrame) -> DataFrame:
+        """The prefix in which position ``wanted`` falls, and what is left to take in it."""
         w = W.orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = F.col("upto") - F.col("c")
         return (
             counts.withColumn("upto", F.sum("c").over(w))
-            .withColumn("before", F.col("upto") - F.col("c"))
-            .filter((F.col("before") <= wanted) & (F.col("upto") > wanted))
+            .filter((before <= F.col("wanted")) & (F.col("upto") > F.col("wanted")))
+            .select("p", (F.col("wanted") - before).alias("rest"))
         )
 
-    # At most 4096 rows from here on: one small window, one small broadcast.
+    # Windows here see at most 4096 counters, whatever the table holds.
     by_first = hashed.groupBy(first.alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    total = by_first.withColumn("n", F.sum("c").over(W.partitionBy()))
-    wanted = F.floor(F.col("n") * F.lit(float(weight))).cast("bigint")
-    level1 = cut(total, wanted).select(
-        F.col("p").alias("__p1"), (wanted - F.col("before")).alias("__rest1")
-    )
-    inside = hashed.select("__h").join(F.broadcast(level1), first == F.col("__p1"))
-    by_second = inside.groupBy("__p1", "__rest1", second.alias("p")).agg(
+    share = F.floor(F.sum("c").over(W.partitionBy()) * F.lit(float(weight))).cast("bigint")
+    level1 = cut(by_first.withColumn("wanted", share))
+    p1, rest1 = level1.select("p").scalar(), level1.select("rest").scalar()
+    by_second = hashed.filter(first == p1).groupBy(second.alias("p")).agg(
         F.count(F.lit(1)).alias("c")
     )
-    level2 = cut(by_second, F.col("__rest1")).select(
-        "__p1", F.col("p").alias("__p2"), (F.col("__rest1") - F.col("before")).alias("__rest2")
-    )
-    # weight >= 1 keeps everything: no cut is found then, hence the left join.
-    bounded = hashed.withColumn("__one", F.lit(1)).join(
-        F.broadcast(level2.withColumn("__one", F.lit(1))), "__one", "left"
-    )
+    level2 = cut(by_second.withColumn("wanted", rest1))
+    p2, rest2 = level2.select("p").scalar(), level2.select("rest").scalar()
     prefix = F.substring("__h", 1, 2 * RADIX_DIGITS)
-    border = F.concat("__p1", "__p2")
-    at_border = prefix == border
-    rank = F.row_number().over(W.partitionBy("__p2").orderBy("__h", key))
-    below = bounded.filter(F.col("__p1").isNull() | (prefix < border))
+    border = F.concat(p1, p2)
+    # A weight of 1 or more has no cut: every prefix lies below 'g' then.
+    below = hashed.filter(prefix < F.coalesce(border, F.lit("g")))
+    rank = F.row_number().over(W.partitionBy("__p").orderBy("__h", key))
     edge = (
-        bounded.filter(at_border).withColumn("__rank", rank)
-        .filter(F.col("__rank") <= F.col("__rest2")).drop("__rank")
+        hashed.filter(prefix == border)
+        .withColumn("__p", prefix)
+        .withColumn("__rank", rank)
+        .filter(F.col("__rank") <= rest2)
+        .drop("__p", "__rank")
     )
-    extra = ("__h", "__one", "__p1", "__p2", "__rest2")
-    return below.unionByName(edge).drop(*extra)
+    return below.unionByName(edge).drop("__h")
 
 
 def concat_sources(*sources: DataFrame) -> DataFrame:

@@ -61,14 +61,16 @@ def test_status_changes_end_at_latest_status(spark, tmp_path):
 
 
 def test_windows_drop_late_rows(spark, tmp_path):
+    """Lateness is judged by the watermark the previous batch ran with."""
     rows = [(1, "t", "success", START), (2, "t", "success", START + timedelta(hours=5)),
+            (5, "t", "success", START + timedelta(hours=6)),
             (3, "t", "success", START + timedelta(minutes=1)),
             (4, "t", "success", START + timedelta(hours=9))]
     schema = "event_id bigint, task_type string, status string, ts timestamp"
-    stream = in_batches(spark, tmp_path / "in", rows, schema, 4)
+    stream = in_batches(spark, tmp_path / "in", rows, schema, 5)
     out = P.run_available(SW.task_counts(stream), str(tmp_path / "out"))
     got = sorted((r["window_start"], r["n"]) for r in out.collect())
-    assert got == [(START, 1), (START + timedelta(hours=5), 1)]
+    assert got == [(START + timedelta(hours=h), 1) for h in (0, 5, 6)]
 
 
 def test_index_log_replaces_changed_files(spark, tmp_path):

@@ -175,6 +175,13 @@ def j9(spark, sf):
     return P.run_available(rate, scratch_dir(spark, "stream"))
 
 
+J9_SQL = """SELECT epoch_us(m) AS minute, task_type, CAST(sum(n) AS BIGINT) AS requests,
+  max(n) AS peak_per_second
+FROM (SELECT date_trunc('minute', ts) AS m, date_trunc('second', ts) AS s, event_type AS task_type,
+    count(*) AS n FROM events GROUP BY ALL)
+WHERE m + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES
+GROUP BY m, task_type"""
+
 QUERIES = {
     "j1_rate_limit_stream": (
         _limited(False), f"SELECT request_id, client, allowed FROM ({F5_SQL})"),
@@ -187,5 +194,5 @@ QUERIES = {
     "j6_debounce_stream": (j6, J6_SQL),
     "j7_status_stream": (j7, J7_SQL),
     "j8_alert_stream": (j8, J8_SQL),
-    "j9_throughput_stream": (j9, None),
+    "j9_throughput_stream": (j9, J9_SQL),
 }

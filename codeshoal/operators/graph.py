@@ -294,20 +294,32 @@ def function_detail(nodes: DataFrame, edges: DataFrame, function_id: str) -> Dat
     )
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def reachable(
+    edges: DataFrame, roots: DataFrame, depth: int = 3, salts: int = 8
+) -> DataFrame:
     """(id, hop): nodes within ``depth`` calls of the roots, with their least hop.
 
-    One join and one aggregation per level.  Each level reads the previous one
-    once (a row yields itself and, if new, its neighbours), so the plan grows
-    linearly; reduced by key each time, cycles and hubs do not multiply rows.
+    Each level reads the previous one once (a row yields itself and, if new,
+    its neighbours), so the plan grows linearly; reduced by key each time,
+    cycles do not multiply rows.  Edges are spread by a salt of their target
+    and the new nodes copied to each salt, so one hub's edges are read by
+    several tasks: an outer join could not be split at run time.
     """
     if not 1 <= depth <= 10:
         raise ValueError("depth is 1 to 10")
-    links = edges.select("src", "dst").distinct()
+    links = edges.select(
+        "src", "dst", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int").alias("__e")
+    ).distinct()
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
     reached = roots.select("id", F.lit(0).alias("hop")).distinct()
     for level in range(depth):
-        expanded = reached.join(
-            links, (F.col("id") == F.col("src")) & (F.col("hop") == level), "left"
+        fresh = F.col("hop") == level
+        spread = reached.select(
+            "id", "hop", F.explode(F.when(fresh, every).otherwise(F.array(F.lit(0)))).alias("__s")
+        )
+        expanded = spread.join(
+            links,
+            (F.col("id") == F.col("src")) & (F.col("__s") == F.col("__e")) & fresh, "left",
         ).select(
             F.inline(
                 F.array_compact(
@@ -341,46 +353,39 @@ def first_paths(
     """The first call paths from a root in the order of their node lists.
 
     Prefixes of a kept path sort before it, so keeping the first ``limit``
-    paths at every level is exact.  No edge is used twice in a path.
+    paths at every level is exact.  The kept paths, never more than that, are
+    broadcast to the edges level by level.  No edge is used twice in a path.
     """
-    links = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
+    spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    paths = edges.sparkSession.range(1).select(
-        F.array(F.lit(root).cast(kind)).alias("path")
-    )
+    schema = f"path array<{kind}>"
+    kept = [[root]]
     for level in range(1, depth + 1):
-        last = F.element_at("path", -1)
-        step = F.transform(
-            F.sequence(F.lit(1), F.size("path") - 1),
+        longest = [(p,) for p in kept if len(p) == level]
+        if not longest:
+            break
+        steps = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))),
             lambda i: F.struct(
-                F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b")
+                F.element_at("path", i).alias("a"), F.try_element_at("path", i + 1).alias("b")
             ),
         )
-        used = F.when(F.size("path") > 1, step).otherwise(
-            F.array().cast(f"array<struct<a:{kind},b:{kind}>>")
-        )
-        joined = paths.join(
-            links, (last == F.col("__s")) & (F.size("path") == level), "left"
-        )
-        fresh = F.col("__d").isNotNull() & ~F.exists(
-            used, lambda e: (e["a"] == F.col("__s")) & (e["b"] == F.col("__d"))
-        )
-        paths = (
-            joined.select(
-                F.explode(
-                    F.array_compact(
-                        F.array(
-                            F.col("path"),
-                            F.when(fresh, F.concat("path", F.array(F.col("__d")))),
-                        )
-                    )
-                ).alias("path")
+        used = F.exists(steps, lambda e: (e["a"] == F.col("src")) & (e["b"] == F.col("dst")))
+        longer = (
+            edges.select("src", "dst")
+            .join(
+                F.broadcast(spark.createDataFrame(longest, schema)),
+                F.col("src") == F.element_at("path", -1),
             )
+            .filter(~F.coalesce(used, F.lit(False)))
+            .select(F.concat("path", F.array("dst")).alias("path"))
             .distinct()
             .orderBy("path")
-            .limit(limit + 1)
+            .limit(limit)
         )
-    return paths.filter(F.size("path") > 1).orderBy("path").limit(limit)
+        found = [list(r["path"]) for r in longer.collect()]
+        kept = sorted(kept + found)[: limit + 1]
+    return spark.createDataFrame([(p,) for p in kept if len(p) > 1], schema)
 
 
 def list_repositories(nodes: DataFrame) -> DataFrame:

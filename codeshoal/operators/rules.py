@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,14 +214,13 @@ RULE_SCHEMA = (
     "message string, remediation string, cwe_id string, languages array<string>, enabled boolean"
 )
 # A rule table is configuration.  Beyond this many rows it is not one.
-MAX_USER_RULES = 10_000
+MAX_USER_RULES = 1_000
 
 
 def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:
     """Split a user rule table into usable rules and a table of rejected ones.
 
-    Patterns are compiled where they will run: each is tried by Spark's own
-    regex engine on one empty line.
+    Patterns are tried by the regex engine that will run them.
     """
     spark: SparkSession = rules.sparkSession
     rows = rules.limit(MAX_USER_RULES + 1).collect()
@@ -248,10 +248,10 @@ def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:
 def compile_java(spark: SparkSession, pattern: str) -> None:
     """Raise ValueError when the executors' regex engine rejects a pattern."""
     try:
-        spark.range(1).select(F.rlike(F.lit(""), F.lit("(?iudU)" + pattern))).collect()
-    except Exception as error:  # noqa: BLE001 - the engine's own error class varies
-        first = str(error).splitlines()[0] if str(error) else type(error).__name__
-        raise ValueError(f"invalid pattern: {first[:200]}") from None
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile("(?iudU)" + pattern)
+    except IllegalArgumentException as error:
+        reason = str(error).splitlines()[0]
+        raise ValueError(f"invalid pattern: {reason}") from None
 
 
 def rules_dataframe(spark: SparkSession, rules: Sequence[C.LineRule]) -> DataFrame:

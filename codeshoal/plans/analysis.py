@@ -136,25 +136,32 @@ def analyze(
     return FN.union_findings(*parts)
 
 
-def analyze_snippets(snippets: DataFrame, types: Sequence[str] = ("security", "performance")):
-    """One result row per snippet (filename, code, language)."""
+def analyze_snippets(
+    snippets: DataFrame, types: Sequence[str] = ("security", "performance")
+) -> DataFrame:
+    """One result row per snippet (filename, code, language).
+
+    Snippets have no id, so equal ones share one: their findings are counted
+    together and divided by the number of copies.
+    """
     files = snippets.select(
-        F.xxhash64("filename", "code").alias("file_id"),
+        F.xxhash64("filename", "language", "code").alias("file_id"),
         F.lit("").alias("repo_id"),
         F.col("filename").alias("path"),
         "language",
         F.col("code").alias("content"),
     )
-    counts = analyze(files, types).groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("findings_count")
+    found = analyze(files, types).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    copies = files.groupBy("file_id").agg(F.count(F.lit(1)).alias("copies"))
+    counts = copies.join(found, "file_id", "left").select(
+        "file_id", F.floor(F.coalesce("n", F.lit(0)) / F.col("copies")).alias("findings_count")
     )
     return (
         files.select("file_id", F.col("path").alias("filename"), "language",
                      F.size(X.split_lines(F.col("content"))).alias("lines_of_code"))
-        .join(counts, "file_id", "left")
+        .join(counts, "file_id")
         .select(
-            "filename", "language", "lines_of_code",
-            F.coalesce("findings_count", F.lit(0)).alias("findings_count"),
+            "filename", "language", "lines_of_code", "findings_count",
             F.lit("completed").alias("status"),
         )
     )

@@ -18,6 +18,8 @@ from ..sources.splits import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Timestamps of the tables carry no zone; they are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 

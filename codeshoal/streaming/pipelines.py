@@ -16,6 +16,7 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder as a stream, with its own schema."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
     return (
         spark.readStream.schema(schema)

@@ -161,3 +161,10 @@ def test_report_round_trip(make_files, tmp_path, spark):
     assert row["compliant_a03"] and not row["compliant_a08"]
     sinks.export_report(report, str(tmp_path / "r"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "r")).count() == 1
+
+
+def test_equal_snippets_count_alone(spark):
+    rows = [("a.py", "python", "eval(x)"), ("a.py", "python", "eval(x)"), ("b.py", "python", "pass")]
+    df = spark.createDataFrame(rows, "filename string, language string, code string")
+    got = sorted((r["filename"], r["findings_count"]) for r in A.analyze_snippets(df).collect())
+    assert got == [("a.py", 1), ("a.py", 1), ("b.py", 0)]

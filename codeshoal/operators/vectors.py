@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Bytes of query vectors shipped with one pass over the vectors.
 QUERY_BYTES = 16 * 1024 * 1024
+# Queries scored against a batch at a time.
+QUERY_SLICE = 256
 # Ranking ignores noise below this many digits; ids break ties.
 DIGITS = 9
 
@@ -26,6 +28,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest scores, earlier positions first among equals."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        candidates = np.flatnonzero(scores >= least)
+    else:
+        candidates = np.arange(len(scores))
+    return candidates[np.argsort(-scores[candidates], kind="stable")][:k]
+
+
 def _scored(vectors: DataFrame, query_ids: list, queries: np.ndarray, k: int) -> DataFrame:
     """Per batch, the k best vectors of each query: what leaves a task is small."""
     units = _unit(queries)
@@ -35,20 +47,23 @@ def _scored(vectors: DataFrame, query_ids: list, queries: np.ndarray, k: int) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = np.round(_unit(_matrix(batch.column("embedding"))) @ units.T, DIGITS)
             ids = batch.column("id")
-            rank = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            rows = _unit(_matrix(batch.column("embedding")))[by_id]
             take, of, value = [], [], []
-            for q in range(scores.shape[1]):
-                order = rank[np.argsort(-scores[rank, q], kind="stable")][:k]
-                take.extend(order.tolist())
-                of.extend([q] * len(order))
-                value.extend(scores[order, q].tolist())
+            # Queries in slices: the scores in memory stay a few megabytes.
+            for at in range(0, len(units), QUERY_SLICE):
+                scores = np.round(rows @ units[at:at + QUERY_SLICE].T, DIGITS)
+                for q in range(scores.shape[1]):
+                    order = _top(scores[:, q], k)
+                    take.append(by_id[order])
+                    of.append(np.full(len(order), at + q, dtype=np.int32))
+                    value.append(scores[order, q])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(of, pa.int32()),
-                    ids.take(pa.array(take, pa.int64())),
-                    pa.array(value, pa.float64()),
+                    pa.array(np.concatenate(of)),
+                    ids.take(pa.array(np.concatenate(take))),
+                    pa.array(np.concatenate(value)),
                 ],
                 names=["q", "id", "score"],
             )

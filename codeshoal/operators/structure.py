@@ -175,6 +175,9 @@ def definitions(line: Column, language: str) -> Column:
     )
 
 
+# Lines folded at a time.
+BLOCK_LINES = 200
+
 # --- the fold -------------------------------------------------------------------
 
 ENTRY = (
@@ -342,7 +345,23 @@ def entries(content: Column, language: Column) -> Column:
     def fold(name: str) -> Column:
         masked = _mask_python(content) if name == "python" else _mask_braces(content)
         step = _python_step if name == "python" else _brace_step
-        return F.aggregate(_marks(masked, name), start, step, finish)
+
+        def block_step(state: Column, block: Column) -> Column:
+            return let(
+                F.aggregate(block, state.withField("done", none), step),
+                lambda s: s.withField("done", F.concat(state["done"], s["done"])),
+            )
+
+        # A fold copies its state at every step.  Folding block by block keeps
+        # the finished entries of a long file out of the inner, per-line state.
+        blocks = let(
+            _marks(masked, name),
+            lambda marks: F.transform(
+                F.sequence(F.lit(0), F.floor(F.size(marks) / BLOCK_LINES).cast("int")),
+                lambda i: F.slice(marks, i * BLOCK_LINES + 1, BLOCK_LINES),
+            ),
+        )
+        return F.aggregate(blocks, start, block_step, finish)
 
     expr = F.when(language == "python", fold("python"))
     for name in BRACE_LANGUAGES:

@@ -104,7 +104,7 @@ def performance_findings(files: DataFrame) -> DataFrame:
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
-    return taint.taint_findings(taint.taint_flows(files))
+    return taint.taint_findings(taint.vulnerable_flows(files))
 
 
 ANALYSES = {

@@ -534,7 +534,7 @@ def d9(spark, sf):
 
 
 def d10(spark, sf):
-    return T.taint_findings(T.taint_flows(code_files(spark, sf))).select(
+    return T.taint_findings(T.vulnerable_flows(code_files(spark, sf))).select(
         "file_id", "path", "vulnerability_type", "severity", "message", "line_start", "line_end",
         "suggestion", "cwe_id",
     )

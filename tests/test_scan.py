@@ -168,3 +168,16 @@ def test_equal_snippets_count_alone(spark):
     df = spark.createDataFrame(rows, "filename string, language string, code string")
     got = sorted((r["filename"], r["findings_count"]) for r in A.analyze_snippets(df).collect())
     assert got == [("a.py", 1), ("a.py", 1), ("b.py", 0)]
+
+
+def test_vulnerable_flows_agree_with_full_flows(make_files):
+    text = "\n".join(
+        ["a = input()", "b = sys.argv", "os.system(a)", "b = float(b)", "eval(b)", "exec(a)",
+         "a = input()", "open(a)"] * 3)
+    files = make_files({"a.py": text, "b.js": "var q = prompt();\nel.innerHTML = q;"})
+    columns = ["path", "source_name", "source_line", "variable", "sink_name", "sink_line"]
+    for options in ({}, {"word_boundary": True}, {"check_level": True}):
+        full = T.taint_flows(files, **options).filter("is_vulnerable").select(columns)
+        lean = T.vulnerable_flows(files, **options).select(columns)
+        assert full.count() > 0
+        assert full.exceptAll(lean).count() == 0 and lean.exceptAll(full).count() == 0

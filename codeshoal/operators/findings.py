@@ -254,9 +254,9 @@ def security_report(findings: DataFrame, top: int = 5) -> DataFrame:
     ranked = by_rule.withColumn("category", F.coalesce(category, F.lit("other"))).withColumn(
         "rank", X.severity_rank(F.col("severity"))
     )
-    entry = F.struct("rank", (-F.col("n")).alias("minus_n"), "rule_id", "suggestion")
-    per_severity = _counts(ranked, "severity")
-    per_category = _counts(ranked, "category")
+    entry = F.struct(
+        "rank", (-F.col("n")).alias("minus_n"), "rule_id", "suggestion", "severity", "category", "n"
+    )
     lists = ranked.groupBy("repo_id").agg(
         F.sum("n").alias("findings"),
         F.array_sort(F.collect_list(entry)).alias("__rules"),
@@ -265,28 +265,28 @@ def security_report(findings: DataFrame, top: int = 5) -> DataFrame:
             for code in C.OWASP_TITLES
         ],
     )
-    return (
-        lists.join(per_severity, "repo_id")
-        .join(per_category, "repo_id")
-        .withColumn(
-            "top_vulnerabilities",
-            F.transform(F.slice("__rules", 1, top), lambda r: r["rule_id"]),
-        )
-        .withColumn(
-            "remediation_priority",
-            F.array_distinct(F.transform("__rules", lambda r: r["suggestion"])),
-        )
-        .drop("__rules")
+    return lists.select(
+        *[c for c in lists.columns if c != "__rules"],
+        _counts("severity").alias("by_severity"),
+        _counts("category").alias("by_category"),
+        F.transform(F.slice("__rules", 1, top), lambda r: r["rule_id"]).alias(
+            "top_vulnerabilities"
+        ),
+        F.array_distinct(F.transform("__rules", lambda r: r["suggestion"])).alias(
+            "remediation_priority"
+        ),
     )
 
 
-def _counts(ranked: DataFrame, key: str) -> DataFrame:
-    return (
-        ranked.groupBy("repo_id", key)
-        .agg(F.sum("n").alias("n"))
-        .groupBy("repo_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n"))))
-             .alias(f"by_{key}"))
+def _counts(field: str) -> Column:
+    """Map of a field's values to findings, from the few rule rows of a report."""
+    values = F.array_distinct(F.transform("__rules", lambda r: r[field]))
+    total = lambda v: F.aggregate(
+        F.filter("__rules", lambda r: r[field] == v), F.lit(0).cast("bigint"),
+        lambda acc, r: acc + r["n"],
+    )
+    return F.map_from_entries(
+        F.transform(values, lambda v: F.struct(v.alias("key"), total(v).alias("n")))
     )
 
 

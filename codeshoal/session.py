@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -42,11 +44,18 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "codeshoal") ->
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used when it is set; only
-    when it is not (a local test run) is a temporary folder taken.
+    The folder is the one that ``spark.checkpoint.dir`` names.  Only a local master may
+    leave it unset; a temporary folder of this machine is taken then, once per session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="codeshoal-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_scratch()
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="codeshoal-")

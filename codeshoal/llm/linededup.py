@@ -139,11 +139,17 @@ def line_rows(docs: DataFrame) -> DataFrame:
     Lines are cut at \\n and stripped.  ``route`` is a hash that finds candidates; what a line is
     rests on the line or its md5.
     """
+    line = F.col("line")
+    padded = F.lit(False)
+    for char in BLANK:
+        padded = padded | line.startswith(char) | line.endswith(char)
     return (
         docs.where("text IS NOT NULL")
+        # Before the lines are spread, so that it is done once for a text.
         .select("doc_id", F.unhex(F.md5("text")).alias("text_key"),
-                F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        .withColumn("line", F.btrim("line", F.lit(BLANK)))
+                F.split("text", "\n", -1).alias("lines"))
+        .select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line"))
+        .withColumn("line", F.when(padded, F.btrim("line", F.lit(BLANK))).otherwise(line))
         .where("line <> ''")
         .withColumn("route", F.xxhash64("line"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,8 +19,8 @@ MARK = "▁"
 MARKED = re.compile(rf"{MARK}?[^{MARK}\s]+|{MARK}|\s")
 # Stands for a mark that the text itself holds.
 LITERAL = "\0\0mark"
-# A task forgets its words once it knows more than this.
-MEMO = 300_000
+# A task forgets its words once it knows more than MEMO, and cuts STEP characters at a time.
+MEMO, STEP = 200_000, 1 << 21
 
 
 class Vocabulary:
@@ -127,22 +128,39 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the offset where each text's begin (and the end)."""
-        cut = [_words(t) for t in texts]
+        """All ids end to end, and the offset where each text's begin (and the end).
+
+        Words are held for STEP characters at a time, whatever a batch or a text holds.
+        """
+        sizes = np.zeros(len(texts), np.int64)
+        found, waiting, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                waiting.append((i, part))
+                size += len(part)
+                if size >= STEP:
+                    found.append(self._encode(waiting, sizes))
+                    waiting, size = [], 0
+        found.append(self._encode(waiting, sizes))
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, parts: list[tuple[int, str]], sizes: np.ndarray) -> np.ndarray:
+        """Ids of some parts of texts; their numbers are added to the texts' ``sizes``."""
+        cut = [_words(part) for _, part in parts]
         words = set(chain.from_iterable(cut))
         if not words <= self.rank.keys():
             self._learn(words)
             if not words <= self.rank.keys():
                 self._learn(words)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
         ranks = np.fromiter(
-            map(self.rank.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+            map(self.rank.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         lengths = self.lengths[ranks]
         ends = np.cumsum(lengths)
         shift = np.repeat(self.starts[ranks] - ends + lengths, lengths)
-        ids = self.flat[shift + np.arange(len(shift))]
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, offsets
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        np.add.at(sizes, [i for i, _ in parts], np.diff(offsets))
+        return self.flat[shift + np.arange(len(shift))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; exact for what ``encode`` made."""
@@ -150,15 +168,25 @@ class Encoder:
         return spelled.decode("utf-8", "replace")[1:]
 
 
-def _words(text: str | None) -> list[str]:
-    """Marked words of a text; a mark in the text itself is spelled in bytes."""
+def _parts(text: str | None) -> Iterator[str]:
+    """A text with its mark in front, cut before spaces into parts of STEP characters or more."""
     if not text:
-        return []
-    parts = text.split(MARK)
-    words = MARKED.findall(MARK + parts[0].replace(" ", MARK))
-    for part in parts[1:]:
+        return
+    text, start = " " + text, 0
+    while start < len(text):
+        end = text.find(" ", start + STEP)
+        end = len(text) if end < 0 else end
+        yield text[start:end]
+        start = end
+
+
+def _words(part: str) -> list[str]:
+    """Marked words of a part; a mark in the text itself is spelled in bytes."""
+    first, *rest = part.split(MARK)
+    words = MARKED.findall(first.replace(" ", MARK))
+    for piece in rest:
         words.append(LITERAL)
-        words.extend(MARKED.findall(part.replace(" ", MARK)))
+        words.extend(MARKED.findall(piece.replace(" ", MARK)))
     return words
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, fresh, held_out
+from .common import append_columns, fresh, held_out, stash
 
 ORDERS = (4, 5, 6)
 SLOT_BITS = 20
@@ -49,33 +52,20 @@ class Model:
         return float(1 / (1 + np.exp(-(margin + self.bias))))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, max_features: int = 1 << 15,
+def fit(rows: list[np.ndarray], toxic: np.ndarray, slots: np.ndarray, ratio: np.ndarray,
         penalty: float = 0.1, steps: int = 150) -> Model:
-    """A model from the slots of each row and whether it is toxic.
+    """A model from the features of each row, as places in ``slots``, and whether it is toxic.
 
-    A feature's value is the log of the ratio of its shares in the two classes; kept are
-    the ``max_features`` whose ratio is largest against its standard error.  Rows are scaled
-    to length one, classes weigh the same, and the logistic loss with an L2 penalty is
-    minimised by accelerated gradient steps.  With one class only, or none, every score
-    is that class's smoothed share.
+    A feature's value is its ``ratio``.  Rows are scaled to length one, classes weigh the
+    same, and the logistic loss with an L2 penalty is minimised by accelerated gradient
+    steps.  With one class only, or none, every score is that class's smoothed share.
     """
     n, positives = len(rows), int(toxic.sum())
-    none = np.zeros(0)
     if positives in (0, n):
         share = (positives + 1) / (n + 2)
-        return Model(none.astype(int), none, none, float(np.log(share / (1 - share))))
-    seen = [np.ones(SLOTS), np.ones(SLOTS)]
-    for present, label in zip(rows, toxic):
-        seen[int(label)][present] += 1
-    ratio = np.log(seen[1] / (positives + 2)) - np.log(seen[0] / (n - positives + 2))
-    evidence = np.abs(ratio) / np.sqrt(1 / seen[0] + 1 / seen[1])
-    slots = np.sort(np.argsort(-evidence, kind="stable")[:max_features])
-    place = np.full(SLOTS, -1)
-    place[slots] = np.arange(len(slots))
-    kept = [place[r] for r in rows]
-    kept = [r[r >= 0] for r in kept]
-    owner = np.repeat(np.arange(n), [len(r) for r in kept])
-    flat, ratio = np.concatenate(kept), ratio[slots]
+        return Model(slots[:0], ratio[:0], ratio[:0], float(np.log(share / (1 - share))))
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int64)
     length = np.sqrt(np.maximum(np.bincount(owner, ratio[flat] ** 2, n), 1e-12))
     value = ratio[flat] / length[owner]
     weigh = np.where(toxic, 0.5 / positives, 0.5 / (n - positives))
@@ -95,18 +85,21 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, max_features: int = 1 << 15,
     return Model(slots, ratio, coef, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
+          max_features: int = 1 << 15) -> Model:
     """A model from documents and their ``labels(doc_id, toxic)``.
 
     About ``per_class`` labelled documents of each class are used, chosen by a hash of
-    doc_id (all, if there are fewer): that bounds what is joined, gathered and fitted.
-    Labels that are null, ids that are null or labelled twice with different values and
-    documents without a text teach nothing; a repeated document counts once.
+    doc_id (all, if there are fewer): that bounds what is joined and fitted.  Of the n-grams the
+    ``max_features`` are kept whose log ratio of shares in the two classes is largest
+    against its standard error; only they reach the driver.  Labels that are null, ids that
+    are null or labelled twice with different values and documents without a text teach
+    nothing; a repeated document counts once (with its least text).
     """
     marks = (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
-        .where("toxic = other").select("doc_id", "toxic")
+        .where("toxic = other").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     )
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = F.create_map(*(
@@ -114,12 +107,40 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> Model:
         for x in (label, min(1.0, per_class / max(counts.get(label, 0), 1)))))
     part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / F.lit(1 << 20)
     # At most about two times per_class rows, whatever the size of the tables.
-    chosen = F.broadcast(marks.where(part < share[F.col("toxic").cast("int")]))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
-    found = append_columns(texts, "slots array<int>", lambda: lambda part: [
-        [features(t) for t in part]]).select("doc_id", "slots", "toxic").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    return fit(list(found["slots"]), found["toxic"].to_numpy().astype(float))
+    chosen = F.broadcast(marks.where(part < share[F.col("toxic")]))
+    texts = (
+        docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    )
+    found = stash(append_columns(texts, "slots array<int>", lambda: lambda part: [
+        [features(t) for t in part]]).select("doc_id", "slots", "toxic"), "toxicity")
+    size = found.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    toxic, clean = size["toxic"] or 0, size["n"] - (size["toxic"] or 0)
+    hit, miss = F.col("hit") + 1, F.col("n") - F.col("hit") + 1
+    kept = (
+        found.select("toxic", F.explode("slots").alias("slot"))
+        .groupBy("slot").agg(F.sum("toxic").alias("hit"), F.count("*").alias("n"))
+        .select("slot", (F.log(hit / (toxic + 2)) - F.log(miss / (clean + 2))).alias("ratio"),
+                F.sqrt(1 / hit + 1 / miss).alias("error"))
+        .orderBy((F.abs("ratio") / F.col("error")).desc(), "slot").limit(max_features)
+        .select("slot", "ratio").toPandas().sort_values("slot")
+    )
+    slots, ratio = kept["slot"].to_numpy(), kept["ratio"].to_numpy()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(SLOTS, -1, np.int32)
+        place[slots] = np.arange(len(slots))
+        for batch in batches:
+            rows = [place[np.array(r, np.int64)] for r in batch.column("slots").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"),
+                 pa.array([r[r >= 0] for r in rows], pa.list_(pa.int32()))],
+                names=["doc_id", "toxic", "places"])
+
+    rows = found.mapInArrow(keep, "doc_id long, toxic int, places array<int>").toPandas()
+    rows = rows.sort_values("doc_id")
+    return fit([np.asarray(r, np.int64) for r in rows["places"]],
+               rows["toxic"].to_numpy().astype(float), slots, ratio)
 
 
 def rate(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:

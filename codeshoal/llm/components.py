@@ -9,7 +9,7 @@ from .common import stash
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, component): the least node that each node of ``edges(a, b)`` reaches.
+    """(node, component): the least node that each node of ``edges(a, b)`` reaches, itself included.
 
     Every edge points from its larger to its smaller end.  A round first hangs each
     node on the least parent of its parents (large star), then joins all parents of
@@ -31,7 +31,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         ).limit(1).count()
         several = pairs.groupBy("node").count().where("count > 1").limit(1).count()
         if not state and not several:
-            return pairs.withColumnRenamed("parent", "component")
+            roots = pairs.select(F.col("parent").alias("node"), "parent").distinct()
+            return pairs.unionByName(roots).withColumnRenamed("parent", "component")
         low = _lowest(pairs)
         hung = (
             pairs.join(low.select(F.col("node").alias("parent"), "low"), "parent", "left")

@@ -99,6 +99,8 @@ def _count(orders: tuple[int, ...]):
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 words = Counter(chain.from_iterable(LETTERS.findall(t.lower()) for t in texts))
+                if not words:
+                    continue
                 yield _frame(lang, 0, words)
                 for n in orders:
                     grams: Counter = Counter()
@@ -106,7 +108,8 @@ def _count(orders: tuple[int, ...]):
                         padded = f" {word} "
                         for i in range(len(padded) - n + 1):
                             grams[padded[i:i + n]] += c
-                    yield _frame(lang, n, grams)
+                    if grams:
+                        yield _frame(lang, n, grams)
 
     return run
 

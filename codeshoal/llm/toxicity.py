@@ -53,7 +53,7 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, slots: np.ndarray, ratio: np.ndarray,
-        penalty: float = 0.1, steps: int = 150) -> Model:
+        penalty: float = 0.3, steps: int = 150) -> Model:
     """A model from the features of each row, as places in ``slots``, and whether it is toxic.
 
     A feature's value is its ``ratio``.  Rows are scaled to length one, classes weigh the

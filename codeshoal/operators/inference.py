@@ -16,6 +16,13 @@ MAX_BATCH = 4
 Model = Callable[[list[str]], list[str]]
 
 
+def _as_many(answers: Sequence, n: int) -> Sequence:
+    """The answers, if there is one for each input; rows would be lost or mixed up else."""
+    if len(answers) != n:
+        raise ValueError(f"{len(answers)} answers for {n} inputs")
+    return answers
+
+
 def generate(
     prompts: DataFrame,
     load: Callable[[str], Model],
@@ -53,11 +60,12 @@ def generate(
                     part = group.iloc[at:at + max_batch_size]
                     ids, texts = part[key].tolist(), part["prompt"].tolist()
                     try:
-                        rows += [(i, t, used, None) for i, t in zip(ids, model(texts))]
+                        answers = _as_many(model(texts), len(texts))
+                        rows += [(i, t, used, None) for i, t in zip(ids, answers)]
                     except Exception:  # noqa: BLE001
                         for i, text in zip(ids, texts):
                             try:
-                                rows.append((i, model([text])[0], used, None))
+                                rows.append((i, _as_many(model([text]), 1)[0], used, None))
                             except Exception as error:  # noqa: BLE001
                                 rows.append((i, None, used, str(error)))
             yield pd.DataFrame(rows, columns=[key, "text", "model_used", "error"])
@@ -75,8 +83,13 @@ def embed(
     key: str = "id",
     text: str = "text",
     batch: int = 100,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """(key, embedding): vectors of texts, 100 per call, encoder loaded per task."""
+    """(key, embedding): vectors of texts, 100 per call, encoder loaded per task.
+
+    Whole texts are encoded.  ``max_chars`` cuts them, for an encoder that takes no more
+    and a caller who does not pass chunks.
+    """
     key_type = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,10 +98,12 @@ def embed(
             vectors: list[list[float]] = []
             for at in range(0, len(pdf), batch):
                 part = pdf[text].iloc[at:at + batch].tolist()
-                vectors.extend([float(x) for x in v] for v in encode(part))
+                found = _as_many(encode(part), len(part))
+                vectors.extend([float(x) for x in v] for v in found)
             yield pd.DataFrame({key: pdf[key], "embedding": vectors})
 
-    return texts.select(key, F.left(F.col(text), F.lit(5000)).alias(text)).mapInPandas(
+    body = F.col(text) if max_chars is None else F.left(F.col(text), F.lit(max_chars))
+    return texts.select(key, body.alias(text)).mapInPandas(
         run, f"{key} {key_type}, embedding array<float>"
     )
 
@@ -103,7 +118,7 @@ def score(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rate = load()
         for pdf in batches:
-            rewards = rate(pdf["__text"].tolist())
+            rewards = _as_many(rate(pdf["__text"].tolist()), len(pdf))
             yield pdf[list(keys)].assign(reward=[float(r) for r in rewards])
 
     text = F.concat(F.col("query"), F.col("response")).alias("__text")

@@ -215,7 +215,7 @@ def latency_stats(
         key, "__rank", band_low.alias("__low"), band_high.alias("__high")
     )
     counted = (
-        requests.join(banded, key)
+        requests.join(banded.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
         .withColumn("__below", F.col(value) < F.col("__low"))
         .filter(F.col(value) <= F.col("__high"))
         .groupBy(key, "__rank", F.when(~F.col("__below"), F.col(value)).alias("__value"))
@@ -229,9 +229,11 @@ def latency_stats(
             & (F.col("__upto") > F.col("__rank"))
             & (F.col("__upto") - F.col("__c") <= F.col("__rank"))
         )
-        .select(key, F.col("__value").alias("quantile_value"))
+        .select(F.col(key).alias("__key"), F.col("__value").alias("quantile_value"))
     )
-    return overall.drop("__band", "__rank").join(at_rank, key)
+    # A null key is a group, and a key without values has no quantile.
+    return overall.drop("__band", "__rank").join(
+        at_rank, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def backlog(flow: DataFrame, limit: int = 1000) -> DataFrame:

@@ -74,7 +74,7 @@ def _hits(rule: C.LineRule) -> Column:
 @built_once
 def _constant(rules: tuple[C.LineRule, ...], field: str) -> Column:
     """CASE rule_id WHEN ... over a catalog field."""
-    expr = None
+    expr = None if rules else F.lit(None).cast("string")
     for rule in rules:
         value = F.lit(getattr(rule, field)).cast("string")
         cond = F.col("rule_id") == rule.rule_id
@@ -91,10 +91,12 @@ def _matched(rules: tuple[C.LineRule, ...]) -> Column:
 
 def matching_lines(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
     """(keys..., line_no, line, rule_id): one row per line and matching rule."""
-    lookahead = max(rule.window for rule in rules) - 1
+    lookahead = max((rule.window for rule in rules), default=1) - 1
     lines = explode_lines(files.filter(F.col("language").isNotNull()), lookahead)
+    groups = [tuple(rules[i:i + RULE_GROUP]) for i in range(0, len(rules), RULE_GROUP)]
+    matched = F.concat(*map(_matched, groups)) if groups else F.array().cast("array<string>")
     return (
-        lines.withColumn("__rules", _matched(tuple(rules)))
+        lines.withColumn("__rules", matched)
         .filter(F.size("__rules") > 0)
         .withColumn("rule_id", F.explode("__rules"))
         .drop("__rules", "next1", "next2")
@@ -213,8 +215,8 @@ RULE_SCHEMA = (
     "rule_id string, name string, pattern string, severity string, confidence string, "
     "message string, remediation string, cwe_id string, languages array<string>, enabled boolean"
 )
-# A rule table is configuration.  Beyond this many rows it is not one.
-MAX_USER_RULES = 1_000
+# Rules of one expression; longer tables are tried in groups of so many in the same row.
+RULE_GROUP = 200
 
 
 def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:
@@ -223,9 +225,7 @@ def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:
     Patterns are tried by the regex engine that will run them.
     """
     spark: SparkSession = rules.sparkSession
-    rows = rules.limit(MAX_USER_RULES + 1).collect()
-    if len(rows) > MAX_USER_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_USER_RULES} rules")
+    rows = rules.collect()
     good: list[C.LineRule] = []
     bad: list[tuple[str, str]] = []
     for row in rows:

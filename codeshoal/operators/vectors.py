@@ -39,40 +39,61 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scored(vectors: DataFrame, query_ids: list, queries: np.ndarray, k: int) -> DataFrame:
-    """Per batch, the k best vectors of each query: what leaves a task is small."""
+    """Per task, the k best vectors of each query: what leaves a task is small.
+
+    Vectors that are null, hold a null or have another length than the queries take no
+    part.  The best so far are kept from batch to batch.
+    """
     units = _unit(queries)
     id_type = dict(vectors.dtypes)["id"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[pa.Array, np.ndarray] | None] = [None] * len(units)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("id")
             by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
             rows = _unit(_matrix(batch.column("embedding")))[by_id]
-            take, of, value = [], [], []
             # Queries in slices: the scores in memory stay a few megabytes.
             for at in range(0, len(units), QUERY_SLICE):
                 scores = np.round(rows @ units[at:at + QUERY_SLICE].T, DIGITS)
                 for q in range(scores.shape[1]):
                     order = _top(scores[:, q], k)
-                    take.append(by_id[order])
-                    of.append(np.full(len(order), at + q, dtype=np.int32))
-                    value.append(scores[order, q])
+                    kept[at + q] = _merged(
+                        kept[at + q], ids.take(pa.array(by_id[order])), scores[order, q], k)
+        found = [(q, *x) for q, x in enumerate(kept) if x is not None]
+        if found:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(of)),
-                    ids.take(pa.array(np.concatenate(take))),
-                    pa.array(np.concatenate(value)),
+                    pa.array(np.concatenate(
+                        [np.full(len(scores), q, np.int32) for q, _, scores in found])),
+                    pa.concat_arrays([ids for _, ids, _ in found]),
+                    pa.array(np.concatenate([scores for _, _, scores in found])),
                 ],
                 names=["q", "id", "score"],
             )
 
-    return vectors.select("id", "embedding").mapInArrow(
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    usable = vectors.filter(
+        F.col("embedding").isNotNull() & whole & (F.size("embedding") == units.shape[1]))
+    return usable.select("id", "embedding").mapInArrow(
         best, f"q int, id {id_type}, score double"
     )
 
 
+def _merged(
+    old: tuple[pa.Array, np.ndarray] | None, ids: pa.Array, scores: np.ndarray, k: int
+) -> tuple[pa.Array, np.ndarray]:
+    """The k best of two lists; smaller ids first among equals."""
+    if old is None:
+        return ids, scores
+    ids, scores = pa.concat_arrays([old[0], ids]), np.concatenate([old[1], scores])
+    by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+    order = by_id[_top(scores[by_id], k)]
+    return ids.take(pa.array(order)), scores[order]
+
+
 def find_similar(
     vectors: DataFrame,
     embedding: Sequence[float],
@@ -127,7 +148,7 @@ def with_vectors(similar: DataFrame, snippets: DataFrame) -> DataFrame:
 
 def hashing_embeddings(
     texts: DataFrame, text: str = "text", dimension: int = 384, out: str = "embedding",
-    max_chars: int | None = 5000,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Default offline encoder: hashed term frequencies, L2-normalised, in the JVM.
 

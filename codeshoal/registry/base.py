@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import detect_language
-from ..sources.splits import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,7 +150,9 @@ PATH = f"concat('src/', source, '/f', {_ID}, {EXTENSIONS})"
 def code_files(spark: SparkSession, sf_dir: str, catalog: str = "scanner") -> DataFrame:
     """(file_id, repo_id, path, language, content), one row per document."""
     return (
-        spread_small(table(spark, sf_dir, "documents"), os.path.join(sf_dir, "documents.parquet"))
+        # A small file is one row group; it is dealt out, as a large one is, at every size.
+        table(spark, sf_dir, "documents")
+        .repartition(spark.sparkContext.defaultParallelism)
         .select(
             F.col("doc_id").alias("file_id"),
             F.expr(REPO).alias("repo_id"),

@@ -234,7 +234,7 @@ def k3(spark, sf):
 K3_SQL = """SELECT doc_id AS id, CAST(length(t) AS DOUBLE) AS x0,
   CAST(length(t) - length(replace(t, 'a', '')) AS DOUBLE) AS x1,
   CAST(length(t) - length(replace(t, chr(10), '')) AS DOUBLE) AS x2
-FROM (SELECT doc_id, left(text, 5000) AS t FROM documents)"""
+FROM (SELECT doc_id, text AS t FROM documents)"""
 
 
 def _lengths():

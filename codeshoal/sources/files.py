@@ -139,8 +139,8 @@ def read_tree(
 
 def cap_files(
     files: DataFrame,
-    max_bytes: int = C.MAX_FILE_BYTES,
-    max_files: int = C.MAX_FILES_PER_REPO,
+    max_bytes: int,
+    max_files: int,
     languages: Sequence[str] | None = None,
 ) -> DataFrame:
     """Files small enough, of a supported language, first ones by path per repository.

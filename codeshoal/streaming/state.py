@@ -7,7 +7,7 @@ status.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,7 +51,8 @@ class RateLimiter(StatefulProcessor):
             ok = earlier < self.limit
             decisions.append(ok)
             if ok or not self.accepted_only:
-                past.append(int(us))
+                # In order also for a row that is late.
+                insort(past, int(us), lo=head)
         self.recent.put([(us,) for us in past[head:]])
         if self.expire:
             for timer in list(self.handle.listTimers()):

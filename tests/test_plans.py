@@ -51,7 +51,7 @@ def test_cut_listings_are_top_k(files):
 
 def test_ranks_are_limited_before_the_shuffle(files):
     assert "WindowGroupLimit" in plan(U.latest_by(files, ["repo_id"], F.desc("file_id")))
-    assert "WindowGroupLimit" in plan(SRC.cap_files(files))
+    assert "WindowGroupLimit" in plan(SRC.cap_files(files, max_bytes=10_000, max_files=100))
 
 
 def test_reachability_grows_linearly(spark):

@@ -29,58 +29,54 @@ RESUMED = "\x01"
 # --- masking ------------------------------------------------------------------
 
 
-def _blank_between(text: Column, quote: str) -> Column:
-    """Blank text between pairs of a multi-line quote, keeping newlines.
-
-    The closing quote becomes a marker: what follows it on its line continues
-    an expression.  Text whose quotes do not pair up is left alone.
-    """
-    def blank(pieces: Column) -> Column:
-        kept = F.transform(
-            pieces,
-            lambda piece, i: F.when(
-                i % 2 == 1,
-                F.concat(F.lit('""'), F.regexp_replace(piece, r"[^\n]+", ""), F.lit(RESUMED)),
-            ).otherwise(piece),
-        )
-        return F.when(F.size(pieces) % 2 == 1, F.array_join(kept, "")).otherwise(
-            F.array_join(pieces, quote)
-        )
-
-    return let(F.split(text, quote, -1), blank)
+# Tokens that hold no code, tried at each place from left to right once escapes are gone.  A quote
+# or mark inside another token is thus never taken for a start of its own.
+PY_TOKENS = r'''(?d)"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*'|#[^\n]*'''
+BRACE_TOKENS = r"""(?d)`[^`]*`|"[^"\n]*"|'[^'\n]*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"""
+# A regex literal comes where a value is expected; a slash in a class does not end it.
+JS_TOKENS = BRACE_TOKENS + (
+    r"|(?<=[=(,:;!&|?{}\[][ \t]{0,3}|\breturn[ \t]{1,3})"
+    r"/[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+){0,50}+/"
+)
 
 
-def _blank_block_comments(text: Column) -> Column:
-    def blank(piece: Column, i: Column) -> Column:
-        inside = F.substring_index(piece, "*/", 1)
-        after = F.substring(piece, F.length(inside) + 3, F.length(piece))
-        return F.when(i == 0, piece).otherwise(
-            F.concat(F.regexp_replace(inside, r"[^\n]+", ""), after)
-        )
-
-    return F.array_join(F.transform(F.split(text, r"/\*", -1), blank), "")
+def _blank_token(token: Column) -> Column:
+    """What stands for a token: its newlines, and an empty string where it is a value.
 
+    A string over several lines ends in a marker: what follows it on its line continues
+    an expression.
+    """
+    newlines = F.regexp_replace(token, r"[^\n]+", "")
+    several = token.startswith("`") | F.rlike(token, F.lit(r"""^(?:"{3}|'{3})"""))
+    return (
+        F.when(several, F.concat(F.lit('""'), newlines, F.lit(RESUMED)))
+        .when(token.startswith("#") | token.startswith("//"), F.lit(""))
+        .when(token.startswith("/*"), newlines)
+        .otherwise(F.lit('""'))
+    )
 
-def _blank_strings(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?d)\\.", "")
-    return F.regexp_replace(bare, r'''"[^"\n]*"|'[^'\n]*\'''', '""')
 
+def _blank_tokens(content: Column, tokens: str) -> Column:
+    def blank(text: Column) -> Column:
+        return F.array_join(F.zip_with(
+            F.split(text, tokens, -1), F.regexp_extract_all(text, F.lit(tokens), 0),
+            lambda code, token: F.concat(code, F.coalesce(_blank_token(token), F.lit(""))),
+        ), "")
 
-def _mask_python(content: Column) -> Column:
-    text = _blank_between(_blank_between(content, '"""'), "'''")
-    return F.regexp_replace(_blank_strings(text), r"#[^\n]*", "")
+    return let(F.regexp_replace(content, r"(?d)\\.", "_"), blank)
 
 
-def _mask_braces(content: Column) -> Column:
-    text = _blank_block_comments(_blank_strings(_blank_between(content, "`")))
-    return F.regexp_replace(text, r"//[^\n]*", "")
+def _mask(content: Column, language: str) -> Column:
+    return _blank_tokens(content, {"python": PY_TOKENS, "javascript": JS_TOKENS}.get(
+        language, BRACE_TOKENS))
 
 
 def mask(content: Column, language: Column) -> Column:
     """Content without string bodies and comments; line numbers unchanged."""
-    return F.when(language == "python", _mask_python(content)).when(
-        language.isin(*BRACE_LANGUAGES), _mask_braces(content)
-    )
+    masked = F.when(language == "python", _mask(content, "python"))
+    for name in BRACE_LANGUAGES:
+        masked = masked.when(language == name, _mask(content, name))
+    return masked
 
 
 # --- decisions ----------------------------------------------------------------
@@ -343,7 +339,7 @@ def entries(content: Column, language: Column) -> Column:
         return F.array_sort(F.concat(state["done"], _close(state["open"], state["last"])))
 
     def fold(name: str) -> Column:
-        masked = _mask_python(content) if name == "python" else _mask_braces(content)
+        masked = _mask(content, name)
         step = _python_step if name == "python" else _brace_step
 
         def block_step(state: Column, block: Column) -> Column:

@@ -202,3 +202,68 @@ def test_call_edges_resolve_once(make_files):
     }
     assert sorted((names[r["src"]], names[r["dst"]]) for r in edges.collect()) == [
         ("a.py:f", "a.py:g"), ("a.py:f", "b.py:h"), ("a.py:g", "a.py:g"), ("b.py:h", "a.py:f")]
+
+
+MISLEADING_PYTHON = """# uses ''' quotes, and it's fine
+x = "# no comment: '''"
+
+
+def outer(a):
+    '''A docstring that holds \\"\\"\\" and
+
+    def phantom(): if a: while a:
+    '''
+    # don't open a string: \"\"\" or '
+    url = 'http://x/#a\\\\'  # "
+    return 1 if a else 2
+
+
+def last(b):
+    return f"{b}'"
+"""
+
+MISLEADING_JS = r"""// build src/*.js, don't stop
+function first(a) {
+  const re = /\/\*["'`{]/;  // "
+  const cls = a.match(/[/"{]/g);
+  if (a) { return `x ${a} { // no comment /* nor this
+    function phantom() {`; }
+  return "/*" + '//' + a / 2 / 3;
+}
+/* it's a block, with `one mark
+function gone() { */
+function second(b) {
+  return /'/.test(b) ? 1 : 2;
+}
+"""
+
+MISLEADING_JAVA = r"""// src/*.java isn't a block
+class A {
+  char quote = '"', back = '\\', single = '\'';
+  int one(int a) { // "
+    if (a > 0) { return 1; }
+    return "/*".length();
+  }
+  /* a " in a block */
+  int two() {
+    return 2;
+  }
+}
+"""
+
+
+def test_marks_in_comments_strings_and_patterns_open_nothing(make_files):
+    got = S.functions(make_files({"a.py": MISLEADING_PYTHON}))
+    assert rows(got, "name", "start_line", "end_line", "complexity") == expected_python(
+        MISLEADING_PYTHON)
+    got = S.functions(make_files({"a.js": MISLEADING_JS}))
+    assert rows(got, "name", "start_line", "end_line") == [("first", 2, 8), ("second", 11, 13)]
+    got = S.functions(make_files({"A.java": MISLEADING_JAVA}))
+    assert rows(got, "name", "start_line", "end_line") == [("one", 4, 7), ("two", 9, 11)]
+
+
+def test_long_tokens_need_no_deep_stack(make_files):
+    body = "a" * 300_000
+    text = f'/* {body} */\nfunction f(a) {{\n  const s = "{body}", r = /{body}/, t = `{body}`;\n}}\n'
+    got = S.functions(make_files({"a.js": text}))
+    assert rows(got, "name", "start_line", "end_line") == [("f", 2, 4)]

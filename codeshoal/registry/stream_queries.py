@@ -68,9 +68,12 @@ UNION ALL SELECT file_id, rule_id, CAST(line_start AS INT) FROM performance""",
 def j3(spark, sf):
     """Functions of files kept as a log of batches, read at their latest batch."""
     log, checkpoint = scratch_dir(spark, "log"), scratch_dir(spark, "checkpoint")
-    functions = S.functions(_files(spark, sf)).select("file_id", "name", "start_line")
-    P.append_changes(functions, log, checkpoint).awaitTermination()
-    return P.current_rows(spark.read.parquet(log)).select("file_id", "name", "start_line")
+    P.append_changes(
+        _files(spark, sf), log, checkpoint,
+        lambda batch: S.functions(batch).select("file_id", "name", "start_line"),
+    ).awaitTermination()
+    rows = P.current_rows(spark.read.parquet(log), touched=P.touched_keys(spark, log))
+    return rows.select("file_id", "name", "start_line")
 
 
 J3_SQL = with_files("SELECT file_id, name, start_line FROM measured WHERE kind = 'function'",

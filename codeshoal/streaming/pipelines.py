@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +47,21 @@ def scan_stream(files: DataFrame) -> DataFrame:
     return scan(files, SECURITY_RULES + PERFORMANCE_RULES)
 
 
-def append_changes(stream: DataFrame, path: str, checkpoint: str):
+def append_changes(stream: DataFrame, path: str, checkpoint: str, derive: Callable | None = None,
+                   key: str = "file_id"):
     """Keep an index as a log: every micro-batch is one partition of it.
 
+    ``derive`` makes the rows of a batch (none: the batch itself).  The keys of the batch are
+    logged beside them, so that a key that has no rows any more loses its older ones; they
+    are written last, so a reader never finds a batch's keys without its rows.
     Writing a batch replaces its own partition, so a retried batch does not
-    duplicate rows; readers use current_rows.
+    duplicate rows; readers use current_rows with touched_keys.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = os.path.join(path, f"batch={batch_id}")
-        batch.write.mode("overwrite").parquet(target)
+        rows = derive(batch) if derive else batch
+        rows.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        batch.select(key).distinct().write.mode("overwrite").parquet(
+            os.path.join(_keys_path(path), f"batch={batch_id}"))
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -64,7 +71,20 @@ def append_changes(stream: DataFrame, path: str, checkpoint: str):
     )
 
 
-def current_rows(log: DataFrame, key: str = "file_id") -> DataFrame:
-    """Rows of the last batch that touched each key: older ones are gone."""
-    last = log.groupBy(key).agg(F.max("batch").alias("batch"))
+def _keys_path(path: str) -> str:
+    return path.rstrip("/") + "-keys"
+
+
+def touched_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key, batch): the keys of each micro-batch that append_changes logged at ``path``."""
+    return spark.read.parquet(_keys_path(path))
+
+
+def current_rows(log: DataFrame, key: str = "file_id", touched: DataFrame | None = None
+                 ) -> DataFrame:
+    """Rows of the last batch that touched each key: older ones are gone.
+
+    Without ``touched`` a key counts as touched only by batches in which it has rows.
+    """
+    last = (log if touched is None else touched).groupBy(key).agg(F.max("batch").alias("batch"))
     return log.join(last, [key, "batch"], "left_semi").drop("batch")

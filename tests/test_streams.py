@@ -7,6 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from test_tables import brute_force
 
 from codeshoal.operators.jobs import latest_status
@@ -81,3 +82,18 @@ def test_index_log_replaces_changed_files(spark, tmp_path):
     P.append_changes(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     now = P.current_rows(spark.read.parquet(str(tmp_path / "log")))
     assert sorted((r["file_id"], r["name"]) for r in now.collect()) == [(1, "new"), (2, "kept")]
+
+
+def test_index_log_forgets_rows_of_an_emptied_file(spark, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for texts in ({"a": "x y", "b": "z"}, {"a": ""}):
+        spark.createDataFrame(list(texts.items()), "file_id string, text string").coalesce(
+            1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("file_id string, text string").parquet(source)
+        P.append_changes(
+            stream, log, str(tmp_path / "cp"),
+            lambda batch: batch.select("file_id", F.explode(F.split("text", " ")).alias("word"))
+            .where("word <> ''"),
+        ).awaitTermination()
+    now = P.current_rows(spark.read.parquet(log), touched=P.touched_keys(spark, log))
+    assert [tuple(r) for r in now.collect()] == [("b", "z")]

@@ -22,6 +22,8 @@ BINS = BANDS * ROWS
 # Characters of line text hashed at a time, lines remembered by a task, and lines compared
 # in one go (larger buckets are cut into pairs of such pieces).
 STEP, SEEN, PIECE = 1 << 21, 1 << 20, 512
+# Shingles whose bits are compared at a time.
+WIDE = 1 << 14
 # Rows of two longs that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 BLANK = " \t\r\x0b\x0c\x85\xa0  　"
@@ -105,32 +107,50 @@ def shingles(line: str) -> frozenset:
 
 
 def similar(a: frozenset, b: frozenset, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
     both = len(a & b)
     return both >= least * (len(a) + len(b) - both)
 
 
+def shared_counts(sets: list[frozenset]) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each set, and how many members each has in common with each earlier one.
+
+    Members that two sets have at least become bits, WIDE of them at a time.
+    """
+    numbers: dict = {}
+    flat = np.array([numbers.setdefault(x, len(numbers)) for s in sets for x in s])
+    sizes = np.array([len(s) for s in sets])
+    shared = np.bincount(flat) > 1
+    kept = shared[flat]
+    row = np.repeat(np.arange(len(sets)), sizes)[kept]
+    column = (np.cumsum(shared) - 1)[flat[kept]]
+    order = np.argsort(column)
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(shared.sum()), WIDE):
+        low, high = np.searchsorted(column, (start, start + WIDE))
+        width = min(WIDE, int(column[high - 1]) + 1 - start)
+        marks = np.zeros((len(sets), -(-width // 64) * 64), bool)
+        marks[row[low:high], column[low:high] - start] = True
+        bits = np.packbits(marks, axis=1).view(np.uint64)
+        for i in range(1, len(sets)):
+            both[i, :i] += np.bitwise_count(bits[:i] & bits[i]).sum(axis=1, dtype=np.int64)
+    return sizes, both
+
+
 def line_links(items: list[tuple[bytes, str]], least: float) -> list[tuple[bytes, bytes]]:
-    """Links that connect the similar ones of ``(key, line)``; not all pairs.
+    """Links that connect the similar ones of ``(key, line)``: each line to its class's first.
 
-    A line is compared with the lines of each class found so far until one is
-    similar, so a class that it joins is not compared any further.
+    Exact, as every two lines are compared by all their shingles.
     """
-    classes: list[list[tuple[bytes, frozenset]]] = []
-    links = []
-    for key, line in items:
-        own = shingles(line)
-        joined, apart = [], []
-        for members in classes:
-            match = next((m for m, s in members if similar(own, s, least)), None)
-            if match is None:
-                apart.append(members)
-            else:
-                links.append((match, key))
-                joined.extend(members)
-        classes = [*apart, [*joined, (key, own)]]
-    return links
+    sizes, both = shared_counts([shingles(line) for _, line in items])
+    classes = np.arange(len(items))
+    for i in range(1, len(items)):
+        near = both[i, :i] >= least * (sizes[i] + sizes[:i] - both[i, :i])
+        if near.any():
+            met = np.unique(classes[:i][near])
+            classes[:i][np.isin(classes[:i], met)] = met[0]
+            classes[i] = met[0]
+    return [(items[c][0], items[i][0]) for i, c in enumerate(classes.tolist()) if c != i]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ BINS = BANDS * ROWS
 # Characters of line text hashed at a time, lines remembered by a task, and lines compared
 # in one go (larger buckets are cut into pairs of such pieces).
 STEP, SEEN, PIECE = 1 << 21, 1 << 20, 512
-# Shingles whose bits are compared at a time.
-WIDE = 1 << 14
+# Lines compared set by set at most, and shingles whose bits are compared at a time.
+FEW, WIDE = 12, 1 << 14
 # Rows of two longs that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 BLANK = " \t\r\x0b\x0c\x85\xa0  　"
@@ -140,17 +140,24 @@ def shared_counts(sets: list[frozenset]) -> tuple[np.ndarray, np.ndarray]:
 def line_links(items: list[tuple[bytes, str]], least: float) -> list[tuple[bytes, bytes]]:
     """Links that connect the similar ones of ``(key, line)``: each line to its class's first.
 
-    Exact, as every two lines are compared by all their shingles.
+    Exact, as every two lines are compared by all their shingles; counting bits pays
+    for more than FEW lines.
     """
-    sizes, both = shared_counts([shingles(line) for _, line in items])
-    classes = np.arange(len(items))
-    for i in range(1, len(items)):
-        near = both[i, :i] >= least * (sizes[i] + sizes[:i] - both[i, :i])
-        if near.any():
-            met = np.unique(classes[:i][near])
-            classes[:i][np.isin(classes[:i], met)] = met[0]
-            classes[i] = met[0]
-    return [(items[c][0], items[i][0]) for i, c in enumerate(classes.tolist()) if c != i]
+    sets = [shingles(line) for _, line in items]
+    if len(sets) <= FEW:
+        near = ([j for j in range(i) if similar(own, sets[j], least)] for i, own in enumerate(sets))
+    else:
+        sizes, both = shared_counts(sets)
+        near = (np.flatnonzero(row[:i] >= least * (sizes[i] + sizes[:i] - row[:i])).tolist()
+                for i, row in enumerate(both))
+    classes = list(range(len(sets)))
+    for i, found in enumerate(near):
+        met = {classes[j] for j in found}
+        if met:
+            classes[i] = min(met)
+        if len(met) > 1:
+            classes = [classes[i] if c in met else c for c in classes]
+    return [(items[c][0], items[i][0]) for i, c in enumerate(classes) if c != i]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:

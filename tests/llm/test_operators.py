@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -334,3 +335,27 @@ def test_toxicity(spark, odd):
     assert kept.columns == docs.columns and kept.where("doc_id >= 1000").count() == 300
     assert toxicity.toxicity_scores(empty(spark), marks).count() == 0
     assert toxicity.toxicity_scores(odd, marks.where("false")).count() == 9
+
+
+def test_line_links_connect_what_brute_force_connects():
+    rng = random.Random(7)
+    for count in (1, 2, 9, linededup.FEW, linededup.FEW + 1, 60):
+        for length in (4, 12, 70):
+            base = [rng.choice("abc ") for _ in range(length)]
+            texts = set()
+            for _ in range(count):
+                line = list(base)
+                for _ in range(rng.randint(0, 2)):
+                    line[rng.randrange(length)] = rng.choice("xyz")
+                texts.add("".join(line))
+            items = [(b"%04d" % i, line) for i, line in enumerate(sorted(texts))]
+            sets = [linededup.shingles(line) for _, line in items]
+            expected = list(range(len(items)))
+            for i in range(len(items)):
+                for j in range(i):
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        low, high = sorted((expected[i], expected[j]))
+                        expected = [low if c == high else c for c in expected]
+            found = linededup.line_links(items, 0.8)
+            assert sorted(found) == sorted(
+                (items[c][0], items[i][0]) for i, c in enumerate(expected) if c != i)

@@ -33,11 +33,16 @@ RESUMED = "\x01"
 # or mark inside another token is thus never taken for a start of its own.
 PY_TOKENS = r'''(?d)"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*'|#[^\n]*'''
 BRACE_TOKENS = r"""(?d)`[^`]*`|"[^"\n]*"|'[^'\n]*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"""
-# A regex literal comes where a value is expected; a slash in a class does not end it.
+# A regex literal comes where a value is expected: after a mark or word, and any white space and
+# comments.  The token begins with that mark or word.  A slash in a class does not end it.
 JS_TOKENS = BRACE_TOKENS + (
-    r"|(?<=[=(,:;!&|?{}\[][ \t]{0,3}|\breturn[ \t]{1,3})"
-    r"/[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+){0,50}+/"
+    r"|(?:[=(,:;!&|?{}\[]|(?<==)>|(?<!\+)\+|(?=[acdeiortvy])(?<![\w$.])(?:return|typeof|case|in|of"
+    r"|void|delete|throw|else|do|await|yield|instanceof)(?![\w$]))"
+    r"(?:\s|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z))*+"
+    r"/(?![/*])[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+)*+/"
 )
+# What such a token begins with.
+BEFORE_LITERAL = r"^(?:[a-z]+|[^a-z\"'/`#])"
 
 
 def _blank_token(token: Column) -> Column:
@@ -52,7 +57,8 @@ def _blank_token(token: Column) -> Column:
         F.when(several, F.concat(F.lit('""'), newlines, F.lit(RESUMED)))
         .when(token.startswith("#") | token.startswith("//"), F.lit(""))
         .when(token.startswith("/*"), newlines)
-        .otherwise(F.lit('""'))
+        .otherwise(F.concat(
+            F.regexp_extract(token, BEFORE_LITERAL, 0), newlines, F.lit('""')))
     )
 
 
@@ -67,8 +73,11 @@ def _blank_tokens(content: Column, tokens: str) -> Column:
 
 
 def _mask(content: Column, language: str) -> Column:
-    return _blank_tokens(content, {"python": PY_TOKENS, "javascript": JS_TOKENS}.get(
-        language, BRACE_TOKENS))
+    if language == "javascript":
+        # A file begins like a statement.
+        masked = _blank_tokens(F.concat(F.lit(";"), content), JS_TOKENS)
+        return masked.substr(2, 2 ** 31 - 1)
+    return _blank_tokens(content, PY_TOKENS if language == "python" else BRACE_TOKENS)
 
 
 def mask(content: Column, language: Column) -> Column:

@@ -267,3 +267,37 @@ def test_long_tokens_need_no_deep_stack(make_files):
     text = f'/* {body} */\nfunction f(a) {{\n  const s = "{body}", r = /{body}/, t = `{body}`;\n}}\n'
     got = S.functions(make_files({"a.js": text}))
     assert rows(got, "name", "start_line", "end_line") == [("f", 2, 4)]
+
+
+LITERALS_JS = r"""
+/[`]/.test(name);
+const R = [
+  /[/*]/,
+      /`/,  // a mark: `
+  // one's own line
+  /["']/,
+  /* and */ /[{/]/
+];
+function a(x) {
+  return x.replace(
+    /`/g,
+    "",
+  ).match(y => /[/*]/.test(y)) ||
+                                                                                /[`{]/.exec(x);
+}
+const n = x++ / 2 / 3, t = total /* all
+function hidden() { */ / count, u = w / "/*".length;
+function b() {
+  return typeof/[{`]/ + /["]/.source;
+}
+"""
+
+
+def test_regex_literals_on_their_own_lines_open_nothing(make_files):
+    many = "const all = /" + "[/*`]" * 60 + "/;\nfunction c() {\n}\n"
+    far = "const far =" + " \n" * 300 + "/[/*`]/;\nfunction d() {\n}\n"
+    start = "/[`]/.test(name);\nfunction e() {\n}\n"
+    got = S.functions(make_files({
+        "a.js": LITERALS_JS, "c.js": many, "d.js": far, "e.js": start}))
+    assert rows(got, "name", "start_line", "end_line") == [
+        ("<anonymous>", 14, 14), ("a", 10, 16), ("b", 19, 21), ("c", 2, 3), ("d", 302, 303), ("e", 2, 3)]

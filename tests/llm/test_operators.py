@@ -359,3 +359,16 @@ def test_line_links_connect_what_brute_force_connects():
             found = linededup.line_links(items, 0.8)
             assert sorted(found) == sorted(
                 (items[c][0], items[i][0]) for i, c in enumerate(expected) if c != i)
+
+
+def test_anchors_and_class_words_of_an_article_are_no_asides():
+    page = """<body><div class="has-sidebar"><article><h1>A</h1>
+<section id="discussion"><h2 id="side-effects">B</h2><p class="share-price">C</p></section>
+<section id="related-work"><p id="cookies">D</p></section><div class="section" id="comments">E</div>
+<div class="cookie-cutter">F</div><p class="banner-year">G</p><h2 id="ad">H</h2>
+<div class="card ad">no</div><div id="newsletter">no</div><ul class="comments"><li>no</ul></article>
+</div></body>"""
+    assert wrapper.main_text(page) == "\n".join("ABCDEFGH")
+    page = """<body><div class="sidebar">no</div><div id="footer">no</div><h1 id="menu">A</h1>
+<p id="navigation">B</p><div id="discussion">C</div></body>"""
+    assert wrapper.main_text(page) == "A\nB\nC"

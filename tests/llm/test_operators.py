@@ -372,3 +372,25 @@ def test_anchors_and_class_words_of_an_article_are_no_asides():
     page = """<body><div class="sidebar">no</div><div id="footer">no</div><h1 id="menu">A</h1>
 <p id="navigation">B</p><div id="discussion">C</div></body>"""
     assert wrapper.main_text(page) == "A\nB\nC"
+
+
+COPIED = ("<body><article><h1>%s</h1><p>%s</p><p>%s</p><p>seen %d times</p>"
+          "<p>Written by the desk of this paper</p></article></body>")
+
+
+def test_copies_of_an_article_do_not_make_it_a_template(spark):
+    def words(i):
+        return [f"{name} of article {i} " + f"{name}{i} " * 30 for name in ("title", "one", "two")]
+
+    pages = [COPIED % (*words(0), i) for i in range(200)]
+    few = pages + [COPIED % (*words(i), i) for i in (1, 2)]
+    many = pages + [COPIED % (*words(i), i) for i in range(1, 15)]
+    rows = [(i, f"http://few/{i}", p) for i, p in enumerate(few)] + [
+        (1000 + i, f"http://many/{i}", p) for i, p in enumerate(many)]
+    got = {r["page_id"]: r["text"].split("\n") for r in wrapper.extract(spark.createDataFrame(
+        rows, "page_id long, url string, html string")).collect()}
+    for i in (0, 7, 199):
+        article = [t.strip() for t in words(0)] + [f"seen {i} times"]
+        assert got[i] == article + ["Written by the desk of this paper"]
+        assert got[1000 + i] == article
+    assert got[1201] == [t.strip() for t in words(2)] + ["seen 2 times"]

@@ -394,3 +394,34 @@ def test_copies_of_an_article_do_not_make_it_a_template(spark):
         assert got[i] == article + ["Written by the desk of this paper"]
         assert got[1000 + i] == article
     assert got[1201] == [t.strip() for t in words(2)] + ["seen 2 times"]
+
+
+def test_deep_and_wide_pages_are_aligned(spark):
+    def deep(n, word):
+        return "<body><article>" + "<span><b>x</b>" * n + f"{word}</article>"
+
+    def wide(shift):
+        return "<body><article>" + "".join(
+            f"<div>{'<i>z</i>' * ((i * 7 + shift) % 61)}<b>{'<u>t</u>' * ((i + shift) % 97)}</b></div>"
+            for i in range(3000)) + f"end {shift}</article>"
+
+    rows = [(1, "http://d/1", deep(3000, "one")), (2, "http://d/2", deep(2500, "two")),
+            (3, "http://w/1", wide(0)), (4, "http://w/2", wide(5))]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(
+        rows, "page_id long, url string, html string")).collect()}
+    assert got[1].endswith("one") and got[2].endswith("two")
+    assert got[3].endswith("end 0") and got[4].endswith("end 5")
+
+
+def test_split_lists_pair_what_is_equal(monkeypatch):
+    rng = random.Random(7)
+    items = [f"<li>{'<b></b>' * rng.randrange(30)}<i>{'<u></u>' * rng.randrange(30)}</i></li>"
+             for _ in range(120)]
+    left = wrapper.parse("<ol>" + "".join(items) + "</ol>")
+    right = wrapper.parse("<ol>" + "".join(items[5:60] + items[:4] + items[66:]) + "</ol>")
+    whole = wrapper.align(left, right)
+    monkeypatch.setattr(wrapper, "CELLS", 64)
+    split = wrapper.align(left, right)
+    assert all(a.tag == b.tag for a, b in split)
+    assert len(whole) >= len(split) >= 0.95 * len(whole)
+    assert len({a.number for a, _ in split}) == len({b.number for _, b in split}) == len(split)

@@ -12,43 +12,68 @@ from pyspark.sql import functions as F
 from .common import append_columns, fresh, held_out, stash
 
 ORDERS = (4, 5, 6)
+STEP = 1 << 20
+# Bytes of a text whose n-grams are made distinct at one time when a model is fitted.
+PIECE = 1 << 23
+# Slots of the table that tells most n-grams from those of a model.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-STEP = 1 << 20
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted slots of the byte n-grams that occur in the lower-cased text."""
+def grams(text: str | None) -> Iterator[np.ndarray]:
+    """The byte n-grams of the lower-cased text, some at a time and repeated ones too.
+
+    An n-gram is its length and its bytes, packed into an integer; different ones never meet.
+    """
     data = b" " + " ".join((text or "").lower().split()).encode() + b" "
-    present = np.zeros(SLOTS, bool)
     for start in range(0, len(data), STEP):
         part = np.frombuffer(data, np.uint8, min(STEP + max(ORDERS), len(data) - start), start)
-        part = part.astype(np.uint32)
-        rolled = np.zeros(len(part), np.uint32)
+        part = part.astype(np.int64)
+        rolled = np.zeros(len(part), np.int64)
         for n in range(1, max(ORDERS) + 1):
             size = len(part) - n + 1
             if size <= 0:
                 break
-            rolled = rolled[:size] * np.uint32(0x01000193) + part[n - 1:] + np.uint32(1)
+            rolled = (rolled[:size] << 8) | part[n - 1:]
             if n in ORDERS:
-                mixed = (rolled ^ (rolled >> 15)) * np.uint32(0x2C1B3C6D)
-                present[mixed >> np.uint32(32 - SLOT_BITS)] = True
-    return np.flatnonzero(present).astype(np.int32)
+                yield rolled | (n << 48)
+
+
+def _mixed(slots: np.ndarray) -> np.ndarray:
+    return (slots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """The distinct n-grams of a text, sorted; those of a long one in several disjoint parts."""
+    parts = -(-len(text or "") // PIECE) or 1
+    for i in range(parts):
+        seen = np.zeros(0, np.int64)
+        for some in grams(text):
+            some = some if parts == 1 else some[_mixed(some) % np.uint64(parts) == i]
+            seen = np.union1d(seen, some)
+        yield seen
 
 
 class Model:
-    """Slots with their log-count ratios and coefficients, and an intercept."""
+    """N-grams (sorted) with their log-count ratios and coefficients, and an intercept."""
 
     def __init__(self, slots: np.ndarray, ratio: np.ndarray, coef: np.ndarray, bias: float):
         self.bias = bias
-        self.weight = np.zeros(SLOTS, np.float32)
-        self.square = np.zeros(SLOTS, np.float32)
-        self.weight[slots] = coef * ratio
-        self.square[slots] = ratio ** 2
-
-    def score(self, present: np.ndarray) -> float:
-        length = float(self.square[present].sum(dtype=np.float64)) ** 0.5
-        margin = float(self.weight[present].sum(dtype=np.float64)) / max(length, 1e-6)
+        self.slots = np.asarray(slots, np.int64)
+        self.weight = np.asarray(coef * ratio, np.float64)
+        self.square = np.asarray(ratio, np.float64) ** 2
+        self.maybe = np.zeros(SLOTS, bool)
+        self.maybe[_mixed(self.slots)] = True
+
+    def score(self, text: str | None) -> float:
+        present = np.zeros(len(self.slots), bool)
+        for some in grams(text):
+            some = some[self.maybe[_mixed(some)]]
+            if len(some):
+                place = np.minimum(np.searchsorted(self.slots, some), len(self.slots) - 1)
+                present[place[self.slots[place] == some]] = True
+        length = float(self.square[present].sum()) ** 0.5
+        margin = float(self.weight[present].sum()) / max(length, 1e-6)
         return float(1 / (1 + np.exp(-(margin + self.bias))))
 
 
@@ -112,9 +137,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
         docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     )
-    found = stash(append_columns(texts, "slots array<int>", lambda: lambda part: [
-        [features(t) for t in part]]).select("doc_id", "slots", "toxic"), "toxicity")
-    size = found.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, toxic, text in zip(*(
+                    batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
+                for i, slots in enumerate(features(text)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id], pa.int64()), pa.array([toxic], pa.int32()),
+                         pa.array([i], pa.int32()), pa.array([slots], pa.list_(pa.int64()))],
+                        names=["doc_id", "toxic", "part", "slots"])
+
+    found = stash(texts.mapInArrow(
+        split, "doc_id long, toxic int, part int, slots array<long>"), "toxicity")
+    size = found.where("part = 0").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     toxic, clean = size["toxic"] or 0, size["n"] - (size["toxic"] or 0)
     hit, miss = F.col("hit") + 1, F.col("n") - F.col("hit") + 1
     kept = (
@@ -128,19 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
     slots, ratio = kept["slot"].to_numpy(), kept["ratio"].to_numpy()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(SLOTS, -1, np.int32)
-        place[slots] = np.arange(len(slots))
         for batch in batches:
-            rows = [place[np.array(r, np.int64)] for r in batch.column("slots").to_pylist()]
+            rows = [np.flatnonzero(np.isin(slots, np.array(r, np.int64), assume_unique=True))
+                    for r in batch.column("slots").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"),
-                 pa.array([r[r >= 0] for r in rows], pa.list_(pa.int32()))],
+                 pa.array(rows, pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "places"])
 
     rows = found.mapInArrow(keep, "doc_id long, toxic int, places array<int>").toPandas()
-    rows = rows.sort_values("doc_id")
-    return fit([np.asarray(r, np.int64) for r in rows["places"]],
-               rows["toxic"].to_numpy().astype(float), slots, ratio)
+    marked: dict[int, int] = {}
+    held: dict[int, list] = {}
+    for doc_id, mark, places in rows.sort_values("doc_id").itertuples(index=False):
+        marked[doc_id] = mark
+        held.setdefault(doc_id, []).append(np.asarray(places, np.int64))
+    return fit([np.sort(np.concatenate(r)) for r in held.values()],
+               np.array([*marked.values()], float), slots, ratio)
 
 
 def rate(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
@@ -152,7 +192,7 @@ def rate(docs: DataFrame, model: Model, column: str = "score", text: str = "text
 
     def setup():
         model = shared.value
-        return lambda texts: [[model.score(features(t)) for t in texts]]
+        return lambda texts: [[model.score(t) for t in texts]]
 
     return append_columns(docs, f"{column} double", setup, text)
 

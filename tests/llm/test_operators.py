@@ -425,3 +425,27 @@ def test_split_lists_pair_what_is_equal(monkeypatch):
     assert all(a.tag == b.tag for a, b in split)
     assert len(whole) >= len(split) >= 0.95 * len(whole)
     assert len({a.number for a, _ in split}) == len({b.number for _, b in split}) == len(split)
+
+
+def test_other_ngrams_leave_a_long_text_its_score(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 20))
+             + (" vile scum" if i % 4 == 0 else " kind soul"), "en", "a") for i in range(200)]
+    greek = [chr(c) for c in range(0x3B1, 0x3C9)]
+    long = "".join(rng.choice(greek, 300_000))
+    rows += [(901, long, "el", "a"), (902, "\u03b1", "el", "a"), (903, long + " vile scum ", "el", "a"),
+             (904, " vile scum ", "el", "a")]
+    marks = spark.createDataFrame(
+        [(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(
+        documents(spark, rows), marks).collect()}
+    assert got[901] == got[902] < got[903] == got[904]
+
+
+def test_long_texts_give_their_ngrams_in_parts(monkeypatch):
+    text = "some words, some more words, and some more"
+    (whole,) = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "PIECE", 5)
+    parts = list(toxicity.features(text))
+    assert len(parts) == 9 and sorted(np.concatenate(parts)) == whole.tolist()

@@ -216,13 +216,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, dimensions: int = DIMENSIO
         return run
 
     visit = "query_id long, embedding array<double>, place array<double>, reach double, leaf long"
-    starts = queries.withColumn("reach", F.lit(4.0))
+    # While fewer than k rows are known, none is too far.
+    starts = queries.withColumn("reach", F.lit(float("inf")))
     near = stash(_best(_visit(
         rows, starts.mapInPandas(route(True), visit), k, bound), k).drop("rank"), "near")
     reached = near.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n"))
     again = queries.join(reached, "query_id", "left").select(
         "query_id", "embedding", "place",
-        F.when(F.col("n") >= k, F.lit(2.0) - 2 * F.col("last")).otherwise(4.0).alias("reach"))
+        F.when(F.col("n") >= k, F.lit(2.0) - 2 * F.col("last"))
+        .otherwise(float("inf")).alias("reach"))
     far = _visit(rows, again.mapInPandas(route(False), visit), k, bound)
     return _best(near.unionByName(far), k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

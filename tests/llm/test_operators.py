@@ -449,3 +449,13 @@ def test_long_texts_give_their_ngrams_in_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 5)
     parts = list(toxicity.features(text))
     assert len(parts) == 9 and sorted(np.concatenate(parts)) == whole.tolist()
+
+
+def test_few_candidates_are_all_neighbours(spark):
+    # Along its longest axis the projection stretches a vector most.
+    axis = np.linalg.svd(neighbours._projection(24, neighbours.DIMENSIONS))[0][:, 0]
+    table = spark.createDataFrame(
+        [(0, axis.tolist()), (1, (-axis).tolist()), (2, (-2 * axis).tolist())],
+        "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, "vec_id = 0").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2)]

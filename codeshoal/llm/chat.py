@@ -330,16 +330,22 @@ def compile_template(template: str = TEMPLATE) -> Callable[[list[dict]], tuple[s
     return render
 
 
+class _Alone:
+    """The key of a turn without a conversation; equal to no other."""
+
+
 def format_chats(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans), one row per conversation.
 
     ``rows`` has conv_id, turn, role and text.  Turns follow their number (null last), then role and
-    text; repeated turns stay.  A null text or role is empty, a null conv_id is a
-    conversation of its own.  Spans are in code points of ``formatted``.  Rows are dealt by
-    conversation and read in order, so a task holds one conversation at a time.
+    text; repeated turns stay.  A null text or role is empty, each row with a null
+    conv_id is a conversation of one turn.  Spans are in code points of ``formatted``.  Rows are
+    dealt by conversation and read in order, so a task holds one conversation at a time; those with a
+    null conv_id are not dealt.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("conv_id", "turn", "role", "text").repartition(
+    columns = rows.select("conv_id", "turn", "role", "text")
+    ordered = columns.where("conv_id IS NOT NULL").repartition(
         parts, "conv_id").sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
@@ -352,7 +358,9 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
         held: list[tuple] = []
         size = 0
-        for conv_id, group in groupby(turns(), key=lambda t: t[0]):
+        for conv_id, group in groupby(turns(), key=lambda t: _Alone() if t[0] is None else t[0]):
+            if isinstance(conv_id, _Alone):
+                conv_id = None
             messages = [{"role": r or "", "text": t or ""} for _, r, t in group]
             text, spans = render(messages)
             held.append((conv_id, len(messages), text,
@@ -363,9 +371,10 @@ def format_chats(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
                 held, size = [], 0
         yield _batch(held)
 
-    return ordered.mapInArrow(
-        run, "conv_id long, n_turns long, formatted string, "
-             "loss_spans array<struct<start:long,end:long>>")
+    schema = ("conv_id long, n_turns long, formatted string, "
+              "loss_spans array<struct<start:long,end:long>>")
+    return ordered.mapInArrow(run, schema).unionByName(
+        columns.where("conv_id IS NULL").mapInArrow(run, schema))
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -459,3 +459,13 @@ def test_few_candidates_are_all_neighbours(spark):
         "vec_id long, embedding array<double>")
     got = neighbours.nearest(table, "vec_id = 0").collect()
     assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2)]
+
+
+def test_turns_without_a_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 0, "user", "a"),
+            (None, None, None, None), (7, 0, "user", "c"), (7, 1, "assistant", "d")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(table).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"]) for r in got) == [(0, 1)] * 4 + [(7, 2)]
+    assert sorted(chat.read_back(r["formatted"])[0] for r in got if r["conv_id"] is None) == [
+        ("", ""), ("assistant", "b"), ("user", "a"), ("user", "a")]

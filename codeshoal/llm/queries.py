@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, langid, linededup, mixing, neighbours, pieces, simhash, toxicity, wrapper
+from . import (
+    chat, digest, divergence, langid, linededup, mixing, negatives, neighbours, pieces, quality,
+    simhash, toxicity, wrapper)
 
 # A conversation whose texts are nothing but control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
@@ -65,6 +67,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_verdicts(docs).drop("rejected_by")
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_mixing": (op2_mixing, mixing.ORACLE),
@@ -76,4 +93,7 @@ QUERIES = {
     "op8_html_extraction": (op8_html_extraction, None),
     "op9_chat_formatting": (op9_chat_formatting, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_divergence": (op11_divergence, divergence.ORACLE),
+    "op12_hard_negatives": (op12_hard_negatives, negatives.ORACLE),
+    "op13_quality_rules": (op13_quality_rules, quality.ORACLE),
 }

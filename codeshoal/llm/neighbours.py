@@ -9,6 +9,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,40 +68,59 @@ class Tree:
         return (gap ** 2).sum(axis=1)
 
 
+ROW = "uid long, vec_id long, width long, embedding array<double>, place array<double>"
+
+
 def _projection(width: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng(42).standard_normal((width, dimensions))
 
 
+def _scaled(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Vectors laid end to end, each divided by a power of two so that no square overflows.
+
+    That changes no cosine: only exponents change.
+    """
+    if not len(flat):
+        return flat
+    largest = np.maximum.reduceat(np.abs(flat), ends - np.diff(ends, prepend=0))
+    return np.ldexp(flat, -np.repeat(np.frexp(largest)[1], np.diff(ends, prepend=0)))
+
+
 def _usable(vectors: DataFrame, dimensions: int) -> tuple[DataFrame, int]:
-    """(vec_id, embedding, place) of the rows that take part, and how many there are."""
+    """(uid, vec_id, width, embedding, place) of the rows that take part, and how many there are.
+
+    ``uid`` tells rows of equal vec_id apart.
+    """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall("embedding", lambda x: F.coalesce(
             ~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
         & F.exists("embedding", lambda x: x != 0))
-    sized = good.groupBy(F.size("embedding").alias("width")).count()
-    widths = sized.orderBy(F.desc("count"), "width").limit(1).collect()
-    if not widths:
-        return good.withColumn("place", F.array().cast("array<double>")), 0
-    width = widths[0]["width"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = _projection(width, dimensions)
         for batch in batches:
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            unit = flat.reshape(-1, width)
-            unit = unit / np.sqrt((unit ** 2).sum(axis=1))[:, None]
-            place = unit @ matrix
+            widths = pc.list_value_length(batch.column("embedding")).to_numpy().astype(np.int64)
+            ends = np.cumsum(widths)
+            flat = _scaled(flat, ends)
+            place = np.zeros((len(widths), dimensions))
+            for width in np.unique(widths):
+                own = np.flatnonzero(widths == width)
+                unit = flat[(ends[own] - width)[:, None] + np.arange(width)]
+                unit = unit / np.sqrt((unit ** 2).sum(axis=1))[:, None]
+                place[own] = unit @ _projection(width, dimensions)
+            starts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"),
+                [batch.column("uid"), batch.column("vec_id"), pa.array(widths),
+                 pa.ListArray.from_arrays(starts, pa.array(flat)),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.ravel()))],
-                names=["vec_id", "embedding", "place"])
+                names=["uid", "vec_id", "width", "embedding", "place"])
 
-    placed = good.where(F.size("embedding") == width).mapInArrow(
-        project, "vec_id long, embedding array<double>, place array<double>")
-    return stash(placed, "vectors"), widths[0]["count"]
+    placed = stash(good.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
+        project, ROW), "vectors")
+    return placed, placed.count()
 
 
 def _search(k: int, bound: float):
@@ -109,16 +129,16 @@ def _search(k: int, bound: float):
     def run(_: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(rows) and len(queries):
-            ids = rows["vec_id"].to_numpy()
+            ids, uids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy()
             vectors = np.array(rows["embedding"].tolist())
             places = np.array(rows["place"].tolist())
             norms = np.sqrt((vectors ** 2).sum(axis=1))
-            for query_id, embedding, place, reach in queries[
-                    ["query_id", "embedding", "place", "reach"]].itertuples(index=False):
+            for asked, embedding, place, reach in queries[
+                    ["query", "embedding", "place", "reach"]].itertuples(index=False):
                 query = np.asarray(embedding)
                 norm = np.sqrt((query ** 2).sum())
                 far = ((places - np.asarray(place)) ** 2).sum(axis=1)
-                seen = np.flatnonzero((far <= bound * reach) & (ids != query_id))
+                seen = np.flatnonzero((far <= bound * reach) & (uids != asked))
                 seen = seen[np.argsort(far[seen], kind="stable")]
                 best_id, best = np.zeros(0, np.int64), np.zeros(0)
                 for start in range(0, len(seen), STEP):
@@ -133,33 +153,35 @@ def _search(k: int, bound: float):
                     best_id, best = best_id[order], best[order]
                     if len(best) == k:
                         reach = min(reach, 2 - 2 * best[-1] + 1e-12)
-                found.extend((query_id, i, s) for i, s in zip(best_id, best))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                found.extend((asked, i, s) for i, s in zip(best_id, best))
+        return pd.DataFrame(found, columns=["query", "vec_id", "score"])
 
     return run
 
 
 def _visit(rows: DataFrame, visits: DataFrame, k: int, bound: float) -> DataFrame:
     """Best ``k`` of each query in each leaf piece that it visits."""
-    # One row per leaf, so at most SAMPLE / 16.
+    # One row per leaf and vector length, so at most SAMPLE / 16 for each length.
     pieces = F.broadcast(
-        rows.groupBy("leaf").agg(F.ceil(F.count("*") / ROW_PIECE).alias("row_pieces"))
-        .join(visits.groupBy("leaf").agg(
-            F.ceil(F.count("*") / QUERY_PIECE).alias("query_pieces")), "leaf"))
-    left = rows.join(pieces, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), "row_pieces").alias("i"),
+        rows.groupBy("width", "leaf").agg(F.ceil(F.count("*") / ROW_PIECE).alias("row_pieces"))
+        .join(visits.groupBy("width", "leaf").agg(
+            F.ceil(F.count("*") / QUERY_PIECE).alias("query_pieces")), ["width", "leaf"]))
+    left = rows.join(pieces, ["width", "leaf"]).select(
+        "width", "leaf", F.pmod(F.xxhash64("uid"), "row_pieces").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_pieces") - 1)).alias("j"),
-        "vec_id", "embedding", "place")
-    right = visits.join(pieces, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_pieces") - 1)).alias("i"),
-        F.pmod(F.xxhash64("query_id"), "query_pieces").alias("j"),
-        "query_id", "embedding", "place", "reach")
-    return left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInPandas(
-        _search(k, bound), "query_id long, vec_id long, score double")
+        "uid", "vec_id", "embedding", "place")
+    right = visits.join(pieces, ["width", "leaf"]).select(
+        "width", "leaf",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_pieces") - 1)).alias("i"),
+        F.pmod(F.xxhash64("query"), "query_pieces").alias("j"),
+        "query", "embedding", "place", "reach")
+    by = ["width", "leaf", "i", "j"]
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(
+        _search(k, bound), "query long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -167,20 +189,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, dimensions: int = DIMENSIO
             confidence: float = CONFIDENCE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest cosine for each query row.
 
-    ``is_query`` is a condition on vec_id.  Vectors (embeddings of the most frequent length; those
-    with a null id, or null, zero or with null or non-finite components take no part) are
+    ``is_query`` is a condition on vec_id.  Vectors (those with a null id, or null, zero or with
+    null or non-finite components take no part; others meet vectors of their own length) are
     scaled to length one and projected by fixed normal variables.  A kd-tree, fitted on a
     bounded sample of the projections, gives every row a leaf.  A query first searches
     the nearest leaves; then all others whose box could hold a projection within the
     chi-square bound of the distance found.  In a leaf rows are verified in
     order of projected distance until that bound is passed.  Scores are cosines of the original
-    vectors in double precision, ties go to the smaller vec_id.  Repeated ids are
-    candidates as often as they occur; fewer candidates than ``k`` give fewer rows.
+    vectors in double precision, ties go to the smaller vec_id.  Rows of a repeated
+    id are rows of their own: each is searched, and is a candidate of the others.  Fewer
+    candidates than ``k`` give fewer rows.
     """
     placed, total = _usable(vectors, dimensions)
     bound = chi_square_bound(confidence, dimensions)
     share = min(1.0, SAMPLE / max(total, 1))
-    part = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 20)) / F.lit(1 << 20)
+    part = F.pmod(F.xxhash64("uid", F.lit("tree")), F.lit(1 << 20)) / F.lit(1 << 20)
     sample = placed.where(part < share).select("place").toPandas()["place"].tolist()
     points = np.array(sample) if sample else np.zeros((0, dimensions))
     wanted = min(max(1, total // LEAF_ROWS), max(1, len(points) // 16))
@@ -193,10 +216,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, dimensions: int = DIMENSIO
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(leaf, pa.int64())], names=[*batch.schema.names, "leaf"])
 
-    columns = "vec_id long, embedding array<double>, place array<double>"
-    rows = placed.mapInArrow(locate, f"{columns}, leaf long")
-    queries = placed.where(is_query).withColumnRenamed("vec_id", "query_id").dropDuplicates(
-        ["query_id"])
+    rows = placed.mapInArrow(locate, f"{ROW}, leaf long")
+    queries = placed.where(is_query).select(
+        F.col("uid").alias("query"), "width", "embedding", "place")
 
     def route(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,16 +237,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, dimensions: int = DIMENSIO
                 yield out
         return run
 
-    visit = "query_id long, embedding array<double>, place array<double>, reach double, leaf long"
+    visit = "query long, width long, embedding array<double>, place array<double>, reach double, leaf long"
     # While fewer than k rows are known, none is too far.
     starts = queries.withColumn("reach", F.lit(float("inf")))
     near = stash(_best(_visit(
         rows, starts.mapInPandas(route(True), visit), k, bound), k).drop("rank"), "near")
-    reached = near.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n"))
-    again = queries.join(reached, "query_id", "left").select(
-        "query_id", "embedding", "place",
+    reached = near.groupBy("query").agg(F.min("score").alias("last"), F.count("*").alias("n"))
+    again = queries.join(reached, "query", "left").select(
+        "query", "width", "embedding", "place",
         F.when(F.col("n") >= k, F.lit(2.0) - 2 * F.col("last"))
         .otherwise(float("inf")).alias("reach"))
     far = _visit(rows, again.mapInPandas(route(False), visit), k, bound)
-    return _best(near.unionByName(far), k).select(
+    ids = placed.where(is_query).select(
+        F.col("uid").alias("query"), F.col("vec_id").alias("query_id"))
+    return _best(near.unionByName(far), k).join(ids, "query").select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

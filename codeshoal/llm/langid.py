@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, islice
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,27 @@ from pyspark.sql import functions as F
 from .common import append_columns, held_out, stash
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str, most: int) -> str:
+    """Characters whose Unicode category begins with one of ``kinds``, for a pattern's brackets."""
+    found = [c for c in range(most + 1) if category(chr(c))[0] in kinds]
+    cuts = [i for i in range(1, len(found)) if found[i] != found[i - 1] + 1]
+    runs = zip([0, *cuts], [*cuts, len(found)])
+    return "".join(f"\\U{found[a]:08x}-\\U{found[b - 1]:08x}" for a, b in runs)
+
+
+# A word is a letter with the letters and combining marks after it.  Most texts stay below
+# 65,536, where a set of characters is one table look-up.
+NARROW, WIDE = (
+    re.compile(f"[{_ranges('L', most)}][{_ranges('LM', most)}]*") for most in (0xFFFF, sys.maxunicode))
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def words_of(text: str) -> Iterator[str]:
+    """The words of a text in lower case."""
+    text = text.lower()
+    return (m.group() for m in (WIDE if BEYOND.search(text) else NARROW).finditer(text))
 # Words looked up at a time in a long text.
 STEP = 100_000
 # Scores of words met in a task are kept up to this many.
@@ -56,15 +78,14 @@ class Model:
 
 
 class _Memo(dict):
-    """Row numbers of word scores; a word that is missing is scored and added."""
+    """Scores of words; a word that is missing is scored and added."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, []
+        self.model = model
 
-    def __missing__(self, word: str) -> int:
-        self[word] = row = len(self.rows)
-        self.rows.append(self.model.word(word))
-        return row
+    def __missing__(self, word: str) -> tuple[float, ...]:
+        self[word] = scores = self.model.word(word)
+        return scores
 
 
 def scorer(model: Model):
@@ -74,14 +95,13 @@ def scorer(model: Model):
     def one(text: str | None) -> tuple[str, float]:
         nonlocal memo
         total, seen = np.zeros(len(model.languages)), False
-        words = (m.group() for m in LETTERS.finditer((text or "").lower()))
+        words = words_of(text or "")
         while part := list(islice(words, STEP)):
             seen = True
             if len(memo) > MEMO:
                 memo = _Memo(model)
-            counts = np.bincount([memo[w] for w in part])
-            used = np.flatnonzero(counts)
-            total += counts[used] @ np.array([memo.rows[i] for i in used])
+            counts = Counter(part)
+            total += np.fromiter(counts.values(), float) @ np.array([memo[w] for w in counts])
         if not seen or not model.languages:
             return UNKNOWN, 0.0
         best = int(np.argmax(total))
@@ -98,7 +118,7 @@ def _count(orders: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                words = Counter(chain.from_iterable(LETTERS.findall(t.lower()) for t in texts))
+                words = Counter(chain.from_iterable(map(words_of, texts)))
                 if not words:
                     continue
                 yield _frame(lang, 0, words)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.flatnonzero(np.isin(slots, np.array(r, np.int64), assume_unique=True))
-                    for r in batch.column("slots").to_pylist()]
+            flat = batch.column("slots").flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(batch.column("slots")).to_numpy())
+            rows = [np.flatnonzero(np.isin(slots, r, assume_unique=True))
+                    for r in np.split(flat, ends[:-1])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"),
                  pa.array(rows, pa.list_(pa.int32()))],

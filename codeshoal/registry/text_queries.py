@@ -9,6 +9,7 @@ from ..functions import languages as L
 from ..functions import prompts as P
 from ..functions import text as X
 from ..operators import corpus, inference, structure
+from ..session import scratch_dir
 from ..sources import files as SRC
 from .base import code_files, sql_text, table, with_files
 
@@ -529,6 +530,52 @@ WHERE NOT list_bool_or(list_transform(string_split(path, '/'),
     OR regexp_matches(path, '(^|/)lib/[^/]*/f1[^/][.][^/]*$'))"""
 
 
+TREE_PATH = (f"concat(CASE doc_id % 9 WHEN 0 THEN 'node_modules/p' WHEN 1 THEN '.git/' "
+             f"WHEN 2 THEN 'src/__pycache__/' ELSE 'src/' END, source, '/_f', {_ID}, "
+             f"CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.txt' ELSE '' END)")
+
+
+def _written_tree(spark, sf):
+    """The documents as files in a folder of their own: some binary, some in skipped folders."""
+    root = scratch_dir(spark, "tree")
+    SRC.write_tree(table(spark, sf, "documents").select(
+        F.expr(TREE_PATH).alias("path"),
+        F.when(F.col("doc_id") % 11 == 5, F.concat(F.lit("\0"), F.coalesce("text", F.lit(""))))
+        .otherwise(F.coalesce("text", F.lit(""))).alias("content")), root)
+    return root
+
+
+def a1_scan(spark, sf):
+    """The files of a folder that path rules and a size filter choose, read back."""
+    found = SRC.read_tree(spark, _written_tree(spark, sf), "r", ["*.py", "*.js", "src/*/_f1*"])
+    return found.where("size_bytes > 300").select(
+        "path", F.coalesce("language", F.lit("-")).alias("language"), "size_bytes",
+        F.coalesce("hash", F.lit("-")).alias("hash"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+_TREE = f"""tree AS (SELECT path, size_bytes, text,
+    CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN 'javascript' ELSE '-' END
+      AS language, CASE WHEN doc_id % 11 = 5 THEN 'binary file' ELSE '-' END AS error
+  FROM (SELECT doc_id, coalesce(text, '') AS text, {TREE_PATH} AS path,
+          strlen(coalesce(text, '')) + (doc_id % 11 = 5)::BIGINT AS size_bytes FROM documents))"""
+A1_SCAN_SQL = f"""WITH {_TREE} SELECT path, language, size_bytes, error,
+  CASE error WHEN '-' THEN md5(text) ELSE '-' END AS hash FROM tree
+WHERE size_bytes > 300
+  AND NOT regexp_matches(path, '(^|/)([.][^/]*|node_modules|__pycache__)/')
+  AND (path LIKE '%.py' OR path LIKE '%.js' OR regexp_matches(path, '(^|/)src/[^/]*/_f1[^/]*$'))"""
+
+
+def a2_scan(spark, sf):
+    """Every file of a folder without rules, with errors as rows."""
+    return SRC.read_tree(spark, _written_tree(spark, sf), "r", skip_rules=False).select(
+        "path", F.coalesce("language", F.lit("-")).alias("language"), "size_bytes",
+        F.coalesce("hash", F.lit("-")).alias("hash"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+A2_SCAN_SQL = f"""WITH {_TREE} SELECT path, language, size_bytes, error,
+  CASE error WHEN '-' THEN md5(text) ELSE '-' END AS hash FROM tree"""
+
+
 def a3(spark, sf):
     """Bytes with a broken one in the middle decode to the text without it."""
     broken = F.unhex(F.concat(F.hex(F.encode("text", "UTF-8")), F.lit("FF41")))
@@ -567,6 +614,8 @@ WHERE rn <= 50""")
 
 QUERIES = {
     "a1_path_rules": (a1, A1_SQL),
+    "a1_scan_directory": (a1_scan, A1_SCAN_SQL),
+    "a2_scan_unfiltered": (a2_scan, A2_SCAN_SQL),
     "a3_decode_text": (a3, A3_SQL),
     "a4_binary_detection": (a4, A4_SQL),
     "a5_file_caps": (a5, A5_SQL),

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
 
-import pandas as pd
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import catalogs as C
 from ..functions.languages import detect_language
 from ..operators.findings import glob_regex
+from . import tree
 
 
 def included(path: Column, patterns: Sequence[str] | None) -> Column:
@@ -25,8 +24,7 @@ def included(path: Column, patterns: Sequence[str] | None) -> Column:
 
 def skipped(path: Column) -> Column:
     """Hidden parts and dependency or cache folders anywhere in the path."""
-    names = "|".join(C.SKIPPED_DIRECTORIES)
-    return F.rlike(path, F.lit(rf"(?:^|/)(?:\.[^/]*|{names})(?:/|$)"))
+    return F.rlike(path, F.lit(tree.SKIPPED))
 
 
 def is_binary(content: Column) -> Column:
@@ -41,97 +39,75 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
-ENTRY = "rel string, is_dir boolean, length bigint, modified bigint"
+def _load(reader, root: str, include_patterns: Sequence[str] | None, skip_rules: bool,
+          split_bytes: int, content: bool) -> DataFrame:
+    return reader.format(tree.FORMAT).option("include", json.dumps(list(include_patterns or ()))
+        ).option("skipRules", str(skip_rules)).option("splitBytes", split_bytes
+        ).option("content", str(content)).load(tree.base_uri(root))
 
 
-def _expand(base: str, recursive: bool):
-    """Replace directory rows by what they hold; file rows pass."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, top = pafs.FileSystem.from_uri(base)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if not row.is_dir:
-                    yield _rows([(row.rel, False, row.length, row.modified)])
-                    continue
-                found = fs.get_file_info(pafs.FileSelector(f"{top}/{row.rel}", recursive=recursive))
-                kept = [i for i in found if not (recursive and i.type == pafs.FileType.Directory)]
-                for at in range(0, len(kept), 10_000):
-                    yield _rows([_described(i, top) for i in kept[at:at + 10_000]])
-    return run
+def list_tree(spark: SparkSession, root: str, skip_rules: bool = True,
+              include_patterns: Sequence[str] | None = None) -> DataFrame:
+    """(path, size_bytes, modified) of every file below a folder; none is opened."""
+    tree.register(spark)
+    return _load(spark.read, root, include_patterns, skip_rules, tree.SPLIT_BYTES, False)
 
 
-def _described(info: pafs.FileInfo, top: str) -> tuple:
-    is_dir = info.type == pafs.FileType.Directory
-    rel = info.path[len(top.rstrip("/")) + 1:]
-    return rel, is_dir, info.size or 0, (info.mtime_ns or 0) // 1000
-
-
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["rel", "is_dir", "length", "modified"])
-
-
-def list_tree(spark: SparkSession, root: str, skip_rules: bool = True) -> DataFrame:
-    """(rel, length, modified) of every file below a folder.
+def read_tree(
+    spark: SparkSession,
+    root: str,
+    repo_id: str | None = None,
+    include_patterns: Sequence[str] | None = None,
+    skip_rules: bool = True,
+    catalog: str = "scanner",
+    split_bytes: int = tree.SPLIT_BYTES,
+) -> DataFrame:
+    """Files below a folder: one row per file with text, or an error.
 
-    Spark's own file listing leaves out names that start with '_' or '.', so
-    it would lose files like __init__.py.  Only the top level is listed here;
-    the next level and then the subtrees are listed by tasks.
+    Path rules, and filters on path or size, choose files before any is opened;
+    ``skip_rules=False`` walks everything.  Files are dealt to tasks by bytes, so a large folder is
+    many tasks.
     """
-    base = root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
-    fs, top = pafs.FileSystem.from_uri(base)
-    first = [_described(i, top) for i in fs.get_file_info(pafs.FileSelector(top))]
-    entries = spark.createDataFrame(first, ENTRY)
-    keep = ~skipped(F.col("rel")) if skip_rules else F.lit(True)
-    for recursive in (False, True):
-        spread = entries.filter(keep).repartition(spark.sparkContext.defaultParallelism)
-        entries = spread.mapInPandas(_expand(base, recursive), ENTRY)
-    return entries.filter(keep & ~F.col("is_dir")).drop("is_dir")
-
-
-def _read_files(base: str):
-    """Add the bytes of each file, one file at a time; errors become text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, top = pafs.FileSystem.from_uri(base)
-        for batch in batches:
-            for at in range(len(batch)):
-                row = batch.iloc[at:at + 1]
-                try:
-                    with fs.open_input_stream(f"{top}/{row['rel'].iloc[0]}") as stream:
-                        yield row.assign(content=[stream.read()], error=[None])
-                except OSError as problem:
-                    yield row.assign(content=[None], error=[str(problem)])
-    return run
+    tree.register(spark)
+    raw = _load(spark.read, root, include_patterns, skip_rules, split_bytes, True)
+    return _described(raw, repo_id or tree.base_uri(root).rsplit("/", 1)[-1], catalog)
 
 
-def read_tree(
+def read_tree_stream(
     spark: SparkSession,
     root: str,
     repo_id: str | None = None,
     include_patterns: Sequence[str] | None = None,
     skip_rules: bool = True,
     catalog: str = "scanner",
+    split_bytes: int = tree.SPLIT_BYTES,
 ) -> DataFrame:
-    """Files below a folder: one row per file with text, or an error.
+    """The same rows as a stream: files that are new or changed since the last micro-batch.
 
-    Path rules filter the listing, so excluded files are never opened.
-    ``skip_rules=False`` walks everything.
+    A file counts as new by its modification time, so one that is moved in with an old
+    time is not seen.
     """
-    base = root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
-    listed = list_tree(spark, root, skip_rules).filter(included(F.col("rel"), include_patterns))
-    # By hash of the path: files of a large folder are read by many tasks.
-    spread = listed.repartition(F.col("rel"))
-    raw = spread.mapInPandas(
-        _read_files(base), "rel string, length bigint, modified bigint, content binary, error string"
-    )
+    tree.register(spark)
+    raw = _load(spark.readStream, root, include_patterns, skip_rules, split_bytes, True)
+    return _described(raw, repo_id or tree.base_uri(root).rsplit("/", 1)[-1], catalog)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write ``content`` (text or bytes) of each row to the file ``path`` below a folder."""
+    tree.register(files.sparkSession)
+    files.select("path", "content").write.format(tree.FORMAT).mode("append").save(
+        tree.base_uri(root))
+
+
+def _described(raw: DataFrame, name: str, catalog: str) -> DataFrame:
     binary = is_binary(F.col("content"))
-    name = repo_id or base.rsplit("/", 1)[-1]
     return raw.select(
-        F.xxhash64(F.lit(name), F.col("rel")).alias("file_id"),
+        F.xxhash64(F.lit(name), F.col("path")).alias("file_id"),
         F.lit(name).alias("repo_id"),
-        F.col("rel").alias("path"),
-        detect_language(F.col("rel"), catalog).alias("language"),
+        "path",
+        detect_language(F.col("path"), catalog).alias("language"),
         F.when(~binary, decode_text(F.col("content"))).alias("content"),
-        F.col("length").alias("size_bytes"),
+        "size_bytes",
         F.timestamp_micros("modified").alias("last_modified"),
         F.coalesce("error", F.when(binary, F.lit("binary file"))).alias("error"),
     ).withColumn("hash", F.md5(F.col("content")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import search_nodes
+from .text_index import build_index, search
 from .upserts import latest_by
 
 RESULT = ("id", "type", "name", "file_path", "language", "score", "source")
@@ -22,6 +23,22 @@ def combine(hits: DataFrame, limit: int) -> DataFrame:
     return top_hits(latest_by(present, ["id"], F.desc("score"), F.asc("source")), limit)
 
 
+def semantic_hits(snippets: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None
+                  ) -> DataFrame:
+    """The snippets nearest to a text, as hits of ``hybrid_search``.
+
+    ``index`` holds the postings of their contents (see ``text_index.build_index``); without
+    one it is built.
+    """
+    asked = snippets.sparkSession.range(1).select(
+        F.col("id").alias("query_id"), F.lit(query).alias("text"))
+    index = build_index(snippets, text="content") if index is None else index
+    found = search(index, asked, limit).select("id", "score")
+    return snippets.join(found, "id").select(
+        "id", F.lit("Snippet").alias("type"), F.col("function_name").alias("name"),
+        F.col("path").alias("file_path"), "language", "score")
+
+
 def hybrid_search(
     nodes: DataFrame,
     query: str,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import search as SE
 from ..operators import structure as S
+from ..operators import text_index as TI
 from ..operators import upserts as U
 from ..operators import vectors as V
 from ..session import scratch_dir
@@ -164,31 +165,41 @@ B32_SQL = with_files("""SELECT type, CAST(score AS DOUBLE) AS score, count(*) AS
   min(name) AS first_name FROM hits GROUP BY ALL""", *INDEX_CTES, _SEARCH.format(q="1"))
 
 
-def _semantic(spark, sf):
-    """Function snippets scored by length, standing in for an encoder's scores."""
-    snippets = G.function_snippets(code_files(spark, sf))
-    return snippets.select(
-        "id", F.lit("Snippet").alias("type"), F.col("function_name").alias("name"),
-        F.col("path").alias("file_path"), "language",
-        F.round(F.lit(1.0) / (F.lit(1) + F.col("end_line") - F.col("start_line")), 6).alias("score"),
-    )
-
-
 def h3(spark, sf):
+    """Names that hold a word, and functions whose source is nearest to it."""
     nodes, _ = _index(spark, sf)
-    hits = SE.hybrid_search(nodes, "load", _semantic(spark, sf), "hybrid", limit=50)
+    snippets = G.function_snippets(code_files(spark, sf))
+    hits = SE.hybrid_search(
+        nodes, "load", SE.semantic_hits(snippets, "load", limit=50), "hybrid", limit=50)
     return hits.select("id", "type", "name", F.round("score", 6).alias("score"), "source")
 
 
+# Cosines of hashed word counts; both engines divide the same whole numbers.
+_TERMS = """{name} AS (
+  SELECT id, bucket, count(*) AS tf FROM (
+    SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 1048576 AS bucket FROM (
+      SELECT id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM ({texts})))
+  GROUP BY ALL)"""
+_SCORES = """scored AS (
+  SELECT q.id AS query_id, d.id, sum(q.tf * d.tf)::DOUBLE / sqrt(any_value(qn)::DOUBLE * any_value(dn)::DOUBLE) AS score
+  FROM asked q JOIN found d USING (bucket)
+  JOIN (SELECT id, sum(tf * tf) AS qn FROM asked GROUP BY id) a ON a.id = q.id
+  JOIN (SELECT id, sum(tf * tf) AS dn FROM found GROUP BY id) b ON b.id = d.id
+  GROUP BY q.id, d.id)"""
 H3_SQL = with_files("""SELECT id, type, name, score, source FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, source) AS rn FROM (
     (SELECT id, type, name, round(CAST(score AS DOUBLE), 6) AS score, 'graph' AS source FROM hits
       ORDER BY score DESC, id LIMIT 50)
     UNION ALL
-    (SELECT md5(concat(repo_id, ':', path, ':', name)) AS id, 'Snippet', name,
-        round(1.0 / (1 + end_line - start_line), 6) AS score, 'semantic' FROM last_functions
-      ORDER BY score DESC, id LIMIT 50))) WHERE rn = 1 ORDER BY score DESC, id LIMIT 50""",
-                    *INDEX_CTES, _SEARCH.format(q="load"))
+    (SELECT id, 'Snippet', name, round(s.score, 6) AS score, 'semantic'
+      FROM scored s JOIN snippets USING (id) ORDER BY s.score DESC, id LIMIT 50)))
+WHERE rn = 1 ORDER BY score DESC, id LIMIT 50""",
+                    *INDEX_CTES, _SEARCH.format(q="load"),
+                    """snippets AS (SELECT md5(concat(f.repo_id, ':', f.path, ':', f.name)) AS id, f.name,
+  array_to_string(string_split(c.content, chr(10))[f.start_line:f.end_line], chr(10)) AS text
+  FROM last_functions f JOIN code_files c USING (repo_id, path))""",
+                    _TERMS.format(name="found", texts="SELECT id, text FROM snippets"),
+                    _TERMS.format(name="asked", texts="SELECT 0 AS id, 'load' AS text"), _SCORES)
 
 
 def f2(spark, sf):
@@ -501,13 +512,19 @@ B27_SQL = f"""SELECT label, round(max(s), 6) AS best, round(min(s), 6) AS worst
 
 
 def d16(spark, sf):
-    """Benchmark texts as queries against embedded documents."""
+    """Benchmark texts as queries against all documents."""
     documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.nearest(
-        V.hashing_embeddings(queries, max_chars=None).select("query_id", "embedding"),
-        V.hashing_embeddings(documents, max_chars=None).select("id", "embedding"), k=3,
-    ).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return TI.search(TI.build_index(documents), queries, k=3).select(
+        "query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+D16_SQL = "WITH " + ",\n".join([
+    _TERMS.format(name="found", texts="SELECT doc_id AS id, text FROM documents"),
+    _TERMS.format(name="asked", texts="SELECT item_id AS id, text FROM benchmark"), _SCORES,
+]) + """ SELECT query_id, id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM scored
+QUALIFY rank <= 3"""
 
 
 QUERIES = {
@@ -525,7 +542,7 @@ QUERIES = {
     "d14_reachable_edges": (d14_edges, f"""WITH {LINKS}, {HOPS} SELECT DISTINCT src, dst, type FROM links
   WHERE src IN (SELECT id FROM hops WHERE hop < 2)"""),
     "d15_nearest_vectors": (d15, D15_SQL),
-    "d16_semantic_search": (d16, None),
+    "d16_semantic_search": (d16, D16_SQL),
     "d17_existence_join": (d17, D17_SQL),
     "e3_repository_statistics": (e3, E3_SQL),
     "e3_language_statistics": (e3_languages, E3_LANGUAGES_SQL),

@@ -32,14 +32,41 @@ RESUMED = "\x01"
 # Tokens that hold no code, tried at each place from left to right once escapes are gone.  A quote
 # or mark inside another token is thus never taken for a start of its own.
 PY_TOKENS = r'''(?d)"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*'|#[^\n]*'''
-BRACE_TOKENS = r"""(?d)`[^`]*`|"[^"\n]*"|'[^'\n]*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"""
+STRING = r"""(?:"[^"\n]*"|'[^'\n]*')"""
+
+
+def _within(opening: str, closing: str, other: str, inside: str) -> str:
+    """A pattern of ``opening``, runs without the characters ``other``, ``inside`` ones, ``closing``."""
+    return rf"{opening}[^{other}]*+(?:{inside}[^{other}]*+)*+{closing}"
+
+
+def _template(inner: str) -> str:
+    """A template whose ``${...}`` parts may hold strings, braces and templates like ``inner``."""
+    value = _within(r"\$\{", r"\}", "`{}\"'", rf"(?:{STRING}|{inner}|\{{[^{{}}`]*+\}}|[\"'])")
+    return _within("`", "`", "`$", rf"(?:{value}|\$(?!\{{))")
+
+
+def _parentheses(levels: int) -> str:
+    """Balanced parentheses, nested so deep, that may hold strings and templates."""
+    inside = rf"{STRING}|`[^`]*+`"
+    if levels:
+        inside += "|" + _parentheses(levels - 1)
+    return _within(r"\(", r"\)", "()`\"'", f"(?:{inside})")
+
+
+# A template in a value of a template in a value of one; others end at the next back quote.
+BRACE_TOKENS = "(?d)" + _template(_template("`[^`$]*+`")) + (
+    r"""|`[^`]*`|"[^"\n]*"|'[^'\n]*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)""")
+GAP = r"(?:\s|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z))*+"
+LITERAL = r"/(?![/*])[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+)*+/"
+# What a slash after a bracket means is told by the word before the matching one.
+CONTROL = r"(?:if|while|for|with)\s*" + _parentheses(4)
 # A regex literal comes where a value is expected: after a mark or word, and any white space and
 # comments.  The token begins with that mark or word.  A slash in a class does not end it.
 JS_TOKENS = BRACE_TOKENS + (
     r"|(?:[=(,:;!&|?{}\[]|(?<==)>|(?<!\+)\+|(?=[acdeiortvy])(?<![\w$.])(?:return|typeof|case|in|of"
-    r"|void|delete|throw|else|do|await|yield|instanceof)(?![\w$]))"
-    r"(?:\s|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z))*+"
-    r"/(?![/*])[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+)*+/"
+    r"|void|delete|throw|else|do|await|yield|instanceof)(?![\w$])"
+    rf"|(?=[fiw])(?<![\w$.]){CONTROL}){GAP}{LITERAL}"
 )
 # What such a token begins with.
 BEFORE_LITERAL = r"^(?:[a-z]+|[^a-z\"'/`#])"
@@ -53,10 +80,16 @@ def _blank_token(token: Column) -> Column:
     """
     newlines = F.regexp_replace(token, r"[^\n]+", "")
     several = token.startswith("`") | F.rlike(token, F.lit(r"""^(?:"{3}|'{3})"""))
+    # Strings in a control head become empty ones; the rest of it is code.
+    head = F.regexp_replace(
+        F.regexp_extract(token, f"^{CONTROL}", 0), rf"{STRING}|`[^`]*+`", '""')
     return (
         F.when(several, F.concat(F.lit('""'), newlines, F.lit(RESUMED)))
         .when(token.startswith("#") | token.startswith("//"), F.lit(""))
         .when(token.startswith("/*"), newlines)
+        .when(F.rlike(token, F.lit(f"^{CONTROL}")), F.concat(
+            head, F.regexp_replace(F.regexp_replace(token, f"^{CONTROL}", ""), r"[^\n]+", ""),
+            F.lit('""')))
         .otherwise(F.concat(
             F.regexp_extract(token, BEFORE_LITERAL, 0), newlines, F.lit('""')))
     )
@@ -180,14 +213,19 @@ def definitions(line: Column, language: str) -> Column:
     )
 
 
-# Lines folded at a time.
+# A statement of a line with braces: up to a brace or semicolon outside parentheses that the line
+# closes.  The brace before the ``while`` of a ``do`` stays with it.
+STATEMENT = (rf"(?:[^{{}};()]++|{_parentheses(3)}|[()])*+(?:[{{;]|\}}(?!\s*while\b))"
+             r"|.+$")
+# Statements folded at a time (lines, for Python).
 BLOCK_LINES = 200
 
 # --- the fold -------------------------------------------------------------------
 
 ENTRY = (
     "struct<start:int,kind:string,name:string,stop:int,level:int,complexity:int,"
-    "header_end:int,balance:int,decorated:boolean,opened:boolean,parent:int,parent_kind:string>"
+    "header_end:int,balance:int,decorated:boolean,opened:boolean,parent:int,parent_kind:string,"
+    "head:string>"
 )
 
 def _marks(masked: Column, language: str) -> Column:
@@ -208,6 +246,7 @@ def _marks(masked: Column, language: str) -> Column:
             defs=definitions(line, language),
             decorator=first == "@" if python else no,
             ends_statement=no if python else F.rtrim(body).endswith(";"),
+            head=F.lit("") if python else F.regexp_extract(line, r"(?s)^[^)]*+\)?", 0),
         )
 
     def mark(line: Column, i: Column) -> Column:
@@ -217,7 +256,16 @@ def _marks(masked: Column, language: str) -> Column:
             lambda body: F.when(F.length(body) > 0, describe(line, body, i + 1)),
         )
 
-    return F.array_compact(F.transform(X.split_lines(masked), mark))
+    def parts(line: Column, i: Column) -> Column:
+        """The marks of a line's statements."""
+        return F.when(
+            F.rlike(line, F.lit(r"[{};]\s*[^\s{};]")),
+            F.transform(F.regexp_extract_all(line, F.lit(STATEMENT), 0), lambda s: mark(s, i)),
+        ).otherwise(F.array(mark(line, i)))
+
+    lines = X.split_lines(masked)
+    return F.array_compact(
+        F.transform(lines, mark) if python else F.flatten(F.transform(lines, parts)))
 
 
 def _opened_entries(mark: Column, state: Column, level: Column, braces: bool) -> Column:
@@ -239,6 +287,7 @@ def _opened_entries(mark: Column, state: Column, level: Column, braces: bool) ->
             opened=F.lit(False),
             parent=F.coalesce(top["start"], F.lit(0)),
             parent_kind=F.coalesce(top["kind"], F.lit("")),
+            head=mark["head"],
         ).cast(ENTRY),
     )
 
@@ -422,8 +471,9 @@ def _return_type() -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """Files with an ``entries`` array: functions and classes with their headers.
 
-    ``header`` holds the raw definition lines; texts are sliced here, once per
-    file, so that exploding entries later does not copy whole files.
+    ``header`` holds the raw definition lines, with braces the masked statement up to its first
+    closing bracket; texts are sliced here, once per file, so that exploding entries later does
+    not copy whole files.
     """
     parsed = files.filter(F.col("language").isin("python", *BRACE_LANGUAGES))
     return parsed.withColumn("entries", _entries_with_header())
@@ -437,13 +487,13 @@ def _entries_with_header() -> Column:
             entries(F.col("content"), F.col("language")),
             lambda e: e.withField(
                 "header",
-                F.array_join(
+                F.when(F.col("language") == "python", F.array_join(
                     F.slice(
                         lines, e["start"],
                         F.greatest(e["header_end"], e["start"]) - e["start"] + 1,
                     ),
                     "\n",
-                ),
+                )).otherwise(e["head"]),
             ),
         ),
     )

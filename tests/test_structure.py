@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import ast
 
 from pyspark.sql import functions as F
@@ -301,3 +302,49 @@ def test_regex_literals_on_their_own_lines_open_nothing(make_files):
         "a.js": LITERALS_JS, "c.js": many, "d.js": far, "e.js": start}))
     assert rows(got, "name", "start_line", "end_line") == [
         ("<anonymous>", 14, 14), ("a", 10, 16), ("b", 19, 21), ("c", 2, 3), ("d", 302, 303), ("e", 2, 3)]
+
+
+SEVERAL = {
+    "a.js": "function one() {}\nif (x) /[/*]/.test(y);\nfunction two() {}\n",
+    "b.js": "foo(a) / 2 /* c */; function five() {}\n",
+    "c.js": "class A { m() { return 1; } n(b) { if (b) { return 2; } } } function f({a, b} = {}) "
+            "{ return a; } const g = (x) => { return x; };\n",
+    "d.js": 'const t = `a ${ `b ${ c } /*` } {`;\nfunction k() { return `x`; }\n'
+            'while (a(")")) /`/.test(b);\nfunction z() {\n  do { x(); } while (y);\n}\n',
+    "e.js": "x = a / b; function q() { return c / d; }\n"
+            "if (p) { r(); } else if (s) { t(); } else { u(); }\n"
+            "for (var i = 0; i < n; i++) { v(function() { w(); }); }\n"
+            "try { a(); } catch (e) { b(); }\nfunction h() {\n}\n",
+    "f.java": "class C { int a(int x) { return x; } abstract void b(); "
+              "String c() { for (int i = 0; i < 3; i++) { } return s; } }\n",
+    "g.go": "func A() int { return 1 }\nfunc B(x int) (int, error) {\n"
+            "  if x > 0 { return 1, nil }\n  return 0, nil\n}\n",
+    "h.js": "with (o) /'/.test(p); function v() {}\nfor (const k of `}`) /\"/.test(k);\n"
+            "function w() {}\n",
+}
+
+
+def test_several_definitions_and_control_heads_on_a_line(make_files):
+    files = make_files(SEVERAL)
+    got = sorted((r.path, r.start_line, r.end_line, r.name, tuple(r.parameters), r.complexity)
+                 for r in S.functions(files).collect())
+    assert got == sorted([
+        ("a.js", 1, 1, "one", (), 1), ("a.js", 3, 3, "two", (), 1), ("b.js", 1, 1, "five", (), 1),
+        ("c.js", 1, 1, "m", (), 1), ("c.js", 1, 1, "n", ("b",), 2), ("c.js", 1, 1, "f", (), 1),
+        ("c.js", 1, 1, "<anonymous>", ("x",), 1), ("d.js", 2, 2, "k", (), 1),
+        ("d.js", 4, 6, "z", (), 1), ("e.js", 1, 1, "q", (), 1), ("e.js", 3, 3, "<anonymous>", (), 1),
+        ("e.js", 5, 6, "h", (), 1), ("f.java", 1, 1, "a", ("int x",), 1),
+        ("f.java", 1, 1, "b", (), 1), ("f.java", 1, 1, "c", (), 1), ("g.go", 1, 1, "A", (), 1),
+        ("g.go", 2, 5, "B", (), 1), ("h.js", 1, 1, "v", (), 1), ("h.js", 3, 3, "w", (), 1)])
+    classes = {r.name: [m.name for m in r.methods] for r in S.classes(files).collect()}
+    assert classes["A"] == ["m", "n"]
+
+
+def test_long_lines_stay_linear(make_files):
+    minified = "!function(e){" + "function a(b,c){return b?c(b,(d,e)):{x:1}};" * 20_000 + "}(this);"
+    files = make_files({
+        "min.js": minified, "open.js": "f(" * 30_000 + "\nfunction g() {}\n",
+        "ticks.js": "x = `${`" * 20_000 + "\n", "ifs.js": "if (a) b / c; " * 30_000})
+    began = time.perf_counter()
+    counted = {r.path: r["count"] for r in S.functions(files).groupBy("path").count().collect()}
+    assert counted["min.js"] > 0 and time.perf_counter() - began < 60

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .. import catalogs as C
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators import resolve as RS
 from ..operators import rules as R
 from ..operators import structure as S
 from ..operators import taint as T
 from ..sources import files as SRC
-from .base import code_files, sql_text, with_files
+from .base import code_files, sql_text, table, with_files
 
 WS = sql_text(C.WHITESPACE)
 
@@ -297,6 +298,47 @@ def p5(spark, sf):
     return S.call_edges(code_files(spark, sf))
 
 
+# Packages of up to 50 modules that all define the same name; callers take one by its package, through
+# a re-export every third time, or leave it open.
+def _packages(spark, sf):
+    doc = F.col("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source").where("doc_id IS NOT NULL")
+    package = F.concat(F.lit("pkg"), F.floor(doc / 50).cast("string"))
+    module = F.concat(F.lit("m"), doc.cast("string"))
+    caller = F.concat(
+        F.when(doc % 3 == 0, F.concat(F.lit("from "), package, F.lit(" import make"), doc, F.lit(" as got\n")))
+        .when(doc % 3 == 1, F.concat(F.lit("import "), package, F.lit("."), module, F.lit(" as lib\n")))
+        .otherwise(F.lit("")),
+        F.lit("def call"), doc, F.lit("():\n    "),
+        F.when(doc % 3 == 0, F.lit("got()")).when(doc % 3 == 1, F.lit("lib.make()"))
+        .otherwise(F.lit("x.make()")), F.lit("\n"))
+    files = [
+        (F.concat(package, F.lit("/"), module, F.lit(".py")),
+         F.lit("def make():\n    return 1\n")),
+        (F.concat(F.lit("use/c"), doc, F.lit(".py")), caller)]
+    written = docs.select(F.explode(F.array(*(
+        F.struct(p.alias("path"), t.alias("content")) for p, t in files))).alias("f")).select("f.*")
+    # One more file for each package: it re-exports its modules' functions.
+    exports = docs.groupBy(package.alias("p")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(
+        F.lit("from ."), module, F.lit(" import make as make"), doc))), "\n").alias("content")).select(
+        F.concat("p", F.lit("/__init__.py")).alias("path"), "content")
+    return written.unionByName(exports).select(
+        F.lit(0).cast("long").alias("file_id"), F.lit("r").alias("repo_id"), "path",
+        F.lit("python").alias("language"), "content")
+
+
+def p5_resolved(spark, sf):
+    return RS.resolved_calls(_packages(spark, sf)).select(
+        "path", "name", "call", "target_path", "target_name", "how")
+
+
+P5_RESOLVED_SQL = """SELECT concat('use/c', doc_id, '.py') AS path, concat('call', doc_id) AS name,
+  CASE doc_id % 3 WHEN 0 THEN 'got' WHEN 1 THEN 'lib.make' ELSE 'x.make' END AS call,
+  CASE doc_id % 3 WHEN 2 THEN (SELECT min(concat('pkg', doc_id // 50, '/m', doc_id, '.py')) FROM documents)
+    ELSE concat('pkg', doc_id // 50, '/m', doc_id, '.py') END AS target_path,
+  'make' AS target_name, CASE doc_id % 3 WHEN 2 THEN 'guess' ELSE 'import' END AS how
+FROM documents WHERE doc_id IS NOT NULL"""
+
 CALLS = r"""names AS (SELECT DISTINCT repo_id, path, name FROM measured WHERE kind = 'function'),
 called AS (SELECT DISTINCT m.repo_id, m.path, m.name, unnest(regexp_extract_all(
     CASE WHEN l.line_no = m.start_line THEN regexp_replace(l.line, '^[^(]*\(', '')
@@ -572,6 +614,7 @@ QUERIES = {
     "p3_imports": (p3, P3_SQL),
     "p4_complexity": (p4, P4_SQL),
     "p5_call_edges": (p5, P5_SQL),
+    "p5_resolved_calls": (p5_resolved, P5_RESOLVED_SQL),
     "d2_dangerous_definitions": (d2, D2_SQL),
     "d4_import_in_function": (d4, D4_SQL),
     "d5_covering_span": (d5, _with_lines(D5_SQL)),

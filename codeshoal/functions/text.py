@@ -52,7 +52,7 @@ def normalize_code(content: Column, language: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-# Import patterns, one entry per group of a language.
+# Import patterns that must match as they stand.
 PYTHON_IMPORT = r"^\s*(?:from\s+(\S+)\s+)?import\s+(.+)$"
 ES_IMPORT = r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]"""
 REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""

@@ -135,6 +135,13 @@ def finding_constraints() -> dict[str, Column]:
     }
 
 
+def vulnerability_constraints() -> dict[str, Column]:
+    """A score may be missing, but not out of range."""
+    return finding_constraints() | {
+        "cvss": F.col("cvss").isNull() | F.col("cvss").between(0, 10),
+    }
+
+
 def snippet_constraints() -> dict[str, Column]:
     return {
         "code": F.length("code").between(1, 100000),

@@ -210,6 +210,16 @@ def language_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def language_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, lines): a map of language to lines; files of no known language are left out.
+
+    One entry for each language of the catalog at most.
+    """
+    known = language_statistics(nodes, edges).where("language IS NOT NULL")
+    return known.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(
+        F.collect_list(F.struct("language", "lines")))).alias("lines"))
+
+
 def search_nodes(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes whose name or path contains the text, name hits scoring higher."""
     in_name = F.coalesce(F.col("name").contains(query), F.lit(False))

@@ -24,12 +24,15 @@ def upsert(
 ) -> DataFrame:
     """Merge rows by key, the incoming side replacing all properties.
 
-    Several incoming rows for a key: the highest ``seq`` wins.
+    Several incoming rows for a key: the highest ``seq`` wins, then (or without one) the row whose
+    values hash highest, so that reruns keep the same row.
     """
     marked = existing.withColumn("__new", F.lit(0)).unionByName(
         incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True
     )
-    order = [F.desc("__new")] + ([F.desc_nulls_last(seq)] if seq else [])
+    hashed = [name for name, kind in marked.dtypes if "map<" not in kind and kind != "variant"]
+    order = [F.desc("__new")] + ([F.desc_nulls_last(seq)] if seq else []) + [
+        F.desc(F.xxhash64(*hashed))]
     return latest_by(marked, keys, *order).drop("__new")
 
 

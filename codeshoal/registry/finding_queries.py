@@ -294,6 +294,44 @@ def c13(spark, sf):
     )
 
 
+def c13_bounds(spark, sf):
+    """Documents read as vulnerabilities, snippets and generation requests, by what fails."""
+    n = F.col("n_chars")
+    rows = table(spark, sf, "documents").select(
+        (n % 110 / 100).alias("confidence"),
+        F.when(n % 5 == 0, "urgent").otherwise("low").alias("severity"),
+        F.when(n % 7 > 0, n % 120 / 10).alias("cvss"), F.col("text").alias("code"), "source",
+        F.when(n % 4 > 0, F.col("lang")).alias("language"), F.col("text").alias("prompt"),
+        (n % 5000).alias("max_tokens"), (n % 23 / 10).alias("temperature"),
+        (n % 12 / 10).alias("top_p"), (n % 1010).alias("top_k"),
+        (n % 13 / 5).alias("repetition_penalty"),
+    )
+    found = None
+    for kind, rules in (("vulnerability", FN.vulnerability_constraints()),
+                        ("snippet", FN.snippet_constraints()),
+                        ("generation", FN.generation_constraints())):
+        _, rejected = FN.validate(rows, rules)
+        part = rejected.select(F.lit(kind).alias("kind"), F.explode("failed").alias("failed"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("kind", "failed").agg(F.count(F.lit(1)).alias("n"))
+
+
+C13_BOUNDS_SQL = """WITH checks AS (SELECT unnest([
+  {'kind': 'vulnerability', 'failed': 'confidence', 'ok': n_chars % 110 <= 100},
+  {'kind': 'vulnerability', 'failed': 'severity', 'ok': n_chars % 5 <> 0},
+  {'kind': 'vulnerability', 'failed': 'cvss', 'ok': n_chars % 7 = 0 OR n_chars % 120 <= 100},
+  {'kind': 'snippet', 'failed': 'code', 'ok': length(text) BETWEEN 1 AND 100000},
+  {'kind': 'snippet', 'failed': 'language', 'ok': n_chars % 4 > 0 AND lang IS NOT NULL},
+  {'kind': 'generation', 'failed': 'prompt', 'ok': length(text) >= 1},
+  {'kind': 'generation', 'failed': 'max_tokens', 'ok': n_chars % 5000 BETWEEN 1 AND 4096},
+  {'kind': 'generation', 'failed': 'temperature', 'ok': n_chars % 23 <= 20},
+  {'kind': 'generation', 'failed': 'top_p', 'ok': n_chars % 12 <= 10},
+  {'kind': 'generation', 'failed': 'top_k', 'ok': n_chars % 1010 BETWEEN 1 AND 1000},
+  {'kind': 'generation', 'failed': 'repetition_penalty', 'ok': n_chars % 13 BETWEEN 5 AND 10}]) AS c
+  FROM documents)
+SELECT c.kind AS kind, c.failed AS failed, count(*) AS n FROM checks
+WHERE NOT coalesce(c.ok, false) GROUP BY ALL"""
+
 C13_SQL = """SELECT failed, count(*) AS n FROM (SELECT CASE
     WHEN bad_c AND bad_s THEN 'confidence+severity' WHEN bad_c THEN 'confidence'
     WHEN bad_s THEN 'severity' ELSE 'accepted' END AS failed
@@ -440,6 +478,7 @@ QUERIES = {
     "c10_analysis_selection": (c10, C10_SQL),
     "c12_point_lookup": (c12, C12_SQL),
     "c13_validation": (c13, C13_SQL),
+    "c13_record_bounds": (c13_bounds, C13_BOUNDS_SQL),
     "e1_finding_summary": (e1, E1_SQL),
     "e1_summary_maps": (e1_maps, E1_MAPS_SQL),
     "e2_scan_summary": (e2, E2_SQL),

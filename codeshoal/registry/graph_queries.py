@@ -139,6 +139,27 @@ FROM nodes n LEFT JOIN (SELECT concat('repo', user_id % 5) AS repo_id,
 GROUP BY n.repo_id""", *INDEX_CTES)
 
 
+def e4_lines(spark, sf):
+    """Lines by language, the map written out."""
+    found = G.language_lines(*_index(spark, sf))
+    return found.select("repo_id", F.array_join(F.transform(
+        F.map_entries("lines"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("lines"))
+
+
+E4_LINES_SQL = with_files("""SELECT repo_id, string_agg(concat(language, '=', n), ',' ORDER BY language) AS lines
+FROM (SELECT repo_id, language, sum(len(string_split(content, chr(10)))) AS n FROM code_files
+  WHERE language IS NOT NULL GROUP BY ALL) GROUP BY repo_id""")
+
+
+def d13_neighbours(spark, sf):
+    return G.function_neighbours(_index(spark, sf)[1])
+
+
+D13_NEIGHBOURS_SQL = with_files("""
+SELECT DISTINCT src AS id, 'calls' AS direction, dst AS neighbour FROM edges WHERE rel = 'CALLS'
+UNION ALL SELECT DISTINCT dst, 'called_by', src FROM edges WHERE rel = 'CALLS'""", *INDEX_CTES)
+
+
 def c6(spark, sf):
     nodes, _ = _index(spark, sf)
     return G.search_nodes(nodes, "load").select(
@@ -547,6 +568,8 @@ QUERIES = {
     "e3_repository_statistics": (e3, E3_SQL),
     "e3_language_statistics": (e3_languages, E3_LANGUAGES_SQL),
     "e4_extended_statistics": (e4, E4_SQL),
+    "e4_language_lines": (e4_lines, E4_LINES_SQL),
+    "d13_neighbours": (d13_neighbours, D13_NEIGHBOURS_SQL),
     "e6_vector_count": (
         lambda spark, sf: _vectors(spark, sf).agg(F.count(F.lit(1)).alias("total_vectors")),
         "SELECT count(*) AS total_vectors FROM embeddings"),

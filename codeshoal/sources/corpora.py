@@ -32,12 +32,19 @@ def read_json(spark: SparkSession, path: str, schema: Any = None) -> DataFrame:
     reader = spark.read.option("multiLine", "true")
     df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    # A dict of columns reads as one row of arrays only.
-    if arrays and len(arrays) == len(df.schema.fields) and _one_row(df):
+    # A dict of columns reads as one row of arrays only, and so does a list of one such object.
+    if arrays and len(arrays) == len(df.schema.fields) and _one_row(df) and not _listed(spark, path):
         return df.select(F.inline(F.arrays_zip(*[F.col(a) for a in arrays])))
     return df
 
 
+def _listed(spark: SparkSession, path: str) -> bool:
+    """Whether the JSON text is a list."""
+    opening = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("value", r"^\s*(\S)", 1).alias("c")).first()
+    return opening is not None and opening["c"] == "["
+
+
 def _one_row(df: DataFrame) -> bool:
     return len(df.select(F.lit(1)).take(2)) == 1
 

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-# Bytes of query vectors shipped with one pass over the vectors.
-QUERY_BYTES = 16 * 1024 * 1024
+# Queries and vectors of one block; a pair of blocks is one group.
+QUERY_BLOCK, VECTOR_BLOCK = 1_024, 16_384
 # Queries scored against a batch at a time.
 QUERY_SLICE = 256
 # Ranking ignores noise below this many digits; ids break ties.
@@ -109,36 +111,67 @@ def find_similar(
     return found.drop("q").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def _block_top(k: int, schema: pa.Schema):
+    """The k best vectors of each query, for one block of each."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        right = right.sort_by("id")
+        rows = _unit(_matrix(right["embedding"].combine_chunks()))
+        units = _unit(_matrix(left["embedding"].combine_chunks()))
+        asked, found, scored = [], [], []
+        # Queries in slices: the scores in memory stay a few megabytes.
+        for at in range(0, len(units), QUERY_SLICE):
+            scores = np.round(rows @ units[at:at + QUERY_SLICE].T, DIGITS)
+            for q in range(scores.shape[1]):
+                order = _top(scores[:, q], k)
+                asked.append(np.full(len(order), at + q))
+                found.append(order)
+                scored.append(scores[order, q])
+        return pa.table([
+            left["query_id"].take(pa.array(np.concatenate(asked))),
+            right["id"].take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scored)),
+        ], schema=schema)
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank): k nearest vectors of every query.
 
-    Queries travel to the tasks as one matrix.  More of them than fit in
-    QUERY_BYTES are handled in further passes over the vectors, cut by a hash
-    of the query id, so any number works.
+    Both sides are cut into blocks by hash, by length of the vectors; one task takes a block
+    of queries and one of vectors and keeps the k best of each query.  Any number of queries
+    is one plan, and none passes through the driver.  Vectors that are null or hold a null
+    take no part; a query finds vectors of its own length.  Ids break ties.
     """
-    first = queries.select(F.size("embedding").alias("d"), F.col("embedding")).first()
-    if first is None:
-        raise ValueError("no queries")
-    per_pass = max(1, QUERY_BYTES // (8 * max(1, first["d"])))
-    passes = -(-queries.count() // per_pass)
-    result = None
-    for number in range(passes):
-        part = queries
-        if passes > 1:
-            slot = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-            part = queries.filter(slot == number)
-        rows = part.select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = [r["query_id"] for r in rows]
-        names = vectors.sparkSession.createDataFrame(
-            list(enumerate(ids)), f"q int, query_id {dict(queries.dtypes)['query_id']}"
-        )
-        matrix = np.asarray([r["embedding"] for r in rows], dtype=np.float64)
-        found = _scored(vectors, ids, matrix, k).join(F.broadcast(names), "q").drop("q")
-        result = found if result is None else result.unionByName(found)
+    def usable(df: DataFrame, key: str) -> DataFrame:
+        whole = F.forall("embedding", lambda x: x.isNotNull())
+        # New columns: both sides may come from the same rows.
+        return df.where(F.col("embedding").isNotNull() & whole).select(
+            F.size("embedding").alias("d"), F.col(key).alias(key),
+            F.col("embedding").alias("embedding"))
+
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+
+    asked, stored = usable(queries, "query_id"), usable(vectors, "id")
+    # One row for each length of vectors.
+    sizes = parts(asked, QUERY_BLOCK, "is").join(parts(stored, VECTOR_BLOCK, "js"), "d")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, "d").select(
+        "d", "query_id", "embedding", own("query_id", "is").alias("i"), every("js").alias("j"))
+    right = stored.join(sizes, "d").select(
+        F.col("d").alias("d"), "id", "embedding", own("id", "js").alias("j"), every("is").alias("i"))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    schema = StructType.fromDDL(f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    by = ["d", "i", "j"]
+    found = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(
+        _block_top(k, to_arrow_schema(schema)), schema)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return result.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def with_vectors(similar: DataFrame, snippets: DataFrame) -> DataFrame:

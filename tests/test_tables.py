@@ -198,8 +198,9 @@ def test_nearest_agrees_with_numpy(spark, monkeypatch):
     want = sorted(
         (q, i, rank) for q in range(7)
         for rank, i in enumerate(sorted(range(60), key=lambda i: (-scores[q, i], i))[:4], 1))
-    for budget in (V.QUERY_BYTES, 100):  # 100 bytes: several passes
-        monkeypatch.setattr(V, "QUERY_BYTES", budget)
+    for block in (V.QUERY_BLOCK, 3):  # three rows a block: many pairs of blocks
+        monkeypatch.setattr(V, "QUERY_BLOCK", block)
+        monkeypatch.setattr(V, "VECTOR_BLOCK", 4 * block)
         got = V.nearest(queries, df, 4).select("query_id", "id", "rank").collect()
         assert sorted(tuple(r) for r in got) == want
 
@@ -244,3 +245,16 @@ def test_jobs(spark):
     assert [r["id"] for r in J.by_priority(df).collect()] == [2, 3, 1]
     asked = spark.createDataFrame([(1,), (9,)], "id int")
     assert {r["id"]: r["found"] for r in J.lookup(df, asked).collect()} == {1: True, 9: False}
+
+
+def test_nearest_of_odd_vectors(spark):
+    stored = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0]), (6, [2.0, 0.0])],
+        "id long, embedding array<double>")
+    asked = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [3.0]), ("c", None), ("d", [1.0, 0.0, 0.0])],
+        "query_id string, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in V.nearest(asked, stored, 2).collect())
+    assert got == [("a", 1, 1, 1.0), ("a", 2, 6, 1.0), ("b", 1, 4, 1.0)]
+    assert V.nearest(asked.limit(0), stored).count() == 0
+    assert V.nearest(asked, stored.limit(0)).count() == 0

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .common import fresh, stash
 from .components import components
 
@@ -322,8 +323,11 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
         F.upper(F.md5(F.coalesce("text", F.lit(""))))))
     joined = keyed.join(lost, key, "left")
-    left = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # array_except hashes the numbers, so a text of many lines stays linear.
+    left = let(F.split("text", "\n", -1), lambda parts: F.array_join(
+        F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)),
+            lambda i: F.get(parts, i)), "\n"))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
     result = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from codeshoal.llm import common, langid, neighbours, pieces, toxicity
+from codeshoal.llm import common, langid, linededup, neighbours, pieces, toxicity, wrapper
 
 
 def test_words_are_letters_with_their_marks():
@@ -95,3 +96,27 @@ def test_ties_go_to_the_smaller_id(spark):
         found = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         same = [i for i in range(0, 300, 2) if i != q][:5]
         assert [x[1] for x in found] == same and all(x[2] == pytest.approx(1.0) for x in found)
+
+
+def test_pages_of_unclosed_tags_are_read_in_linear_time():
+    for part in ("<font>", "<a '", "<a b", "<!", "<font></x>", "<li><b>", "<a \"x\" '"):
+        start = time.perf_counter()
+        root = wrapper.parse(part * 100_000)
+        assert time.perf_counter() - start < 30 and root.count > 1, part
+    assert wrapper.main_text("<font>" * 100_000 + "<hr>" * 100_000 + "<p>end</p>").endswith("end")
+
+
+def test_tags_end_outside_quotes():
+    assert wrapper.main_text("<p title='a>b'>one</p><p x=\"'>\">two") == "one\ntwo"
+    assert wrapper.main_text("<p>a <b 'c</p>") == "a <b 'c"
+    assert wrapper.main_text("<p>1 < 2 <3</p><!-- <p>no</p> --><p>four") == "1 < 2 <3\nfour"
+    assert wrapper.main_text("<ul><li>a<li><b>c<ul><li>d</ul>e</b><li>f</ul>") == "a\nc\nd\ne\nf"
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    lines = [f"{i} {i * 7919 % 100_003} {i * i % 99_991} line" for i in range(20_000)]
+    docs = spark.createDataFrame(
+        [(1, "\n".join(lines + ["", *lines])), (2, "one\n" + lines[5] + "\n"), (3, None)],
+        "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, 1.0).collect()}
+    assert got == {1: "\n".join(lines + [""]), 2: "one\n", 3: None}

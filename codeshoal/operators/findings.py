@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -314,8 +314,7 @@ def page(
     offset+limit runs as a top-k; the total is a separate count, so no window
     pulls the table into one task.
     """
-    if number < 1 or not 1 <= size <= 100:
-        raise ValueError("page starts at 1 and holds 1 to 100 rows")
+    _check_page(number, size)
     total = df.groupBy().agg(F.count(F.lit(1)).alias("total"))
     return (
         df.orderBy(*order)
@@ -325,6 +324,36 @@ def page(
     )
 
 
+def page_at_once(
+    df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
+) -> DataFrame:
+    """Like page, but runs at once and computes ``df`` a single time.
+
+    The total is observed in the pass that finds the page's rows, of which at most 100 come
+    to the driver.
+    """
+    _check_page(number, size)
+    seen = Observation()
+    # After an explode the row count is unknown when planning: a limit that looked needless would
+    # go, and the range sort in its place reads (and counts) the rows once more for its bounds.
+    rows = (
+        df.withColumn("__one", F.explode(F.array(F.lit(True))))
+        .drop("__one")
+        .observe(seen, F.count(F.lit(1)).alias("total"))
+        .orderBy(*order)
+        .offset((number - 1) * size)
+        .limit(size)
+    )
+    found = rows.collect()
+    return df.sparkSession.createDataFrame(found, rows.schema).withColumn(
+        "total", F.lit(seen.get["total"] if found else 0).cast("bigint"))
+
+
+def _check_page(number: int, size: int) -> None:
+    if number < 1 or not 1 <= size <= 100:
+        raise ValueError("page starts at 1 and holds 1 to 100 rows")
+
+
 # --- external reports -----------------------------------------------------------
 
 PATTERN_REPORT = (

@@ -28,8 +28,8 @@ def without_exempt(requests: DataFrame, prefixes: Sequence[str] = C.EXEMPT_PATHS
     return requests.filter(~hit)
 
 
-def _bucketed(requests: DataFrame, window_us: int) -> DataFrame:
-    """Requests with (us, bucket, own): own rows plus a copy in the next bucket."""
+def _bucketed(requests: DataFrame, window_us: int, ahead: int = 1) -> DataFrame:
+    """Requests with (us, bucket, own): own rows plus a copy in each of the next buckets."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     home = F.floor(F.col("us") / F.lit(window_us)).cast("bigint")
     return (
@@ -37,10 +37,10 @@ def _bucketed(requests: DataFrame, window_us: int) -> DataFrame:
         .withColumn(
             "__copy",
             F.explode(
-                F.array(
-                    F.struct(home.alias("bucket"), F.lit(True).alias("own")),
-                    F.struct((home + 1).alias("bucket"), F.lit(False).alias("own")),
-                )
+                F.array(*[
+                    F.struct((home + i).alias("bucket"), F.lit(i == 0).alias("own"))
+                    for i in range(ahead + 1)
+                ])
             ),
         )
         .select("*", "__copy.bucket", "__copy.own")
@@ -82,36 +82,53 @@ def sliding_rate_limit(
     )
 
 
-def _sessions(requests: DataFrame, window_us: int) -> DataFrame:
-    """Add ``session``: start of the run of requests without a window-long gap.
+def _pieces(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Cut each client's requests where the state of its window is known.
 
-    Nothing before a gap can still occupy the window, so runs are independent.
+    A request is accepted for certain if no more than ``limit`` requests, itself and those of
+    the same instant included, lie in the window that ends with it.  Where that holds for all
+    requests of one whole window, just these occupy it, so what follows can be decided
+    without anything before.  Each bucket is cut at most once, at its first such place.
+    Rows are (..., us, piece, own): a piece has its own requests and, with ``own`` false, those
+    that occupy the window where it begins.
     """
-    frame = (
-        W.partitionBy("client", "bucket").orderBy("us").rangeBetween(-(window_us - 1), -1)
-    )
-    upto = (
-        W.partitionBy("client", "bucket").orderBy("us")
-        .rangeBetween(W.unboundedPreceding, W.currentRow)
-    )
+    part = W.partitionBy("client", "bucket").orderBy("us")
+    crowded = F.count(F.lit(1)).over(part.rangeBetween(-(window_us - 1), 0)) > limit
+    doubt = F.max("__crowded").over(part.rangeBetween(-(window_us - 1), -1))
+    # Two buckets back: one for the requests before, one for the window of each of them.
     own = (
-        _bucketed(requests, window_us)
-        .withColumn("__start", F.when(F.count(F.lit(1)).over(frame) == 0, F.col("us")))
+        _bucketed(requests, window_us, 2)
+        .withColumn("__crowded", crowded)
+        .withColumn("__known", ~F.coalesce(doubt, F.lit(False)))
         .filter("own")
-        .withColumn("__local", F.max("__start").over(upto))
+        .drop("own", "__crowded")
     )
-    earlier = W.partitionBy("client").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # One row per client and bucket: bounded by the time span, not by requests.
-    per_bucket = (
-        own.groupBy("client", "bucket")
-        .agg(F.max("__start").alias("__max"))
-        .withColumn("__before", F.max("__max").over(earlier))
-        .drop("__max")
+    by_bucket = W.partitionBy("__client").orderBy("__bucket")
+    cuts = (
+        own.groupBy(F.col("client").alias("__client"), F.col("bucket").alias("__bucket"))
+        .agg(F.min(F.when(F.col("__known"), F.col("us"))).alias("__cut"))
+        .withColumn("__before", F.max("__cut").over(
+            by_bucket.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("__next", F.max("__cut").over(by_bucket.rangeBetween(1, 1)))
     )
+    us, cut, following = F.col("us"), F.col("__cut"), F.col("__next")
+
+    def member(piece: Column, own: bool) -> Column:
+        return F.struct(piece.alias("piece"), F.lit(own).alias("own"))
+
+    members = F.array_compact(F.array(
+        member(F.coalesce(F.when(cut <= us, cut), F.col("__before")), True),
+        F.when(us < cut, member(cut, False)),
+        F.when(us > following - window_us, member(following, False)),
+    ))
     return (
-        own.join(per_bucket, ["client", "bucket"])
-        .withColumn("session", F.coalesce("__local", "__before"))
-        .drop("bucket", "own", "__start", "__local", "__before")
+        own.join(cuts, F.col("client").eqNullSafe(F.col("__client"))
+                 & (F.col("bucket") == F.col("__bucket")))
+        .withColumn("__member", F.explode(members))
+        .select("*", "__member.piece", "__member.own")
+        .drop("bucket", "__known", "__client", "__bucket", "__cut", "__before", "__next",
+              "__member")
     )
 
 
@@ -123,36 +140,40 @@ def accepted_rate_limit(
 ) -> DataFrame:
     """In-memory limit: only accepted requests occupy the window.
 
-    Each decision depends on the ones before it, so runs are read in order,
-    streamed batch by batch; the state is at most ``limit`` timestamps.
+    Each decision depends on the ones before it, so the pieces of a client (see _pieces) are
+    read in order, each by itself and streamed batch by batch; the state is at most
+    ``limit`` timestamps.  A client that never stays below the limit for a whole window is
+    one piece.  Requests without a time are left out.
     """
     window_us = window_seconds * 1_000_000
-    runs = _sessions(requests, window_us).select("client", "session", tie, "us")
-    ordered = runs.repartition("client", "session").sortWithinPartitions(
-        "client", "session", "us", tie
+    pieces = _pieces(requests, limit, window_us).select("client", "piece", tie, "us", "own")
+    ordered = pieces.repartition("client", "piece").sortWithinPartitions(
+        "client", "piece", "us", tie
     )
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = None
+        piece = None
         accepted: deque[int] = deque()
         for batch in batches:
             verdicts, waits = [], []
-            for client, session, us in zip(batch["client"], batch["session"], batch["us"]):
-                if (client, session) != run:
-                    run = (client, session)
+            for client, start, us, own in zip(
+                    batch["client"], batch["piece"], batch["us"], batch["own"]):
+                if (client, start) != piece:
+                    piece = (client, start)
                     accepted.clear()
                 while accepted and us - accepted[0] >= window_us:
                     accepted.popleft()
-                ok = len(accepted) < limit
+                ok = not own or len(accepted) < limit
                 verdicts.append(ok)
                 waits.append(0 if ok else max(0, (accepted[0] + window_us - us) // 1_000_000))
                 if ok:
                     accepted.append(us)
-            yield batch.assign(allowed=verdicts, retry_after=waits)
+            decided = batch.assign(allowed=verdicts, retry_after=waits)
+            yield decided[batch["own"]].drop(columns="own")
 
-    types = dict(runs.dtypes)
+    types = dict(pieces.dtypes)
     schema = (
-        f"client {types['client']}, session bigint, {tie} {types[tie]}, us bigint, "
+        f"client {types['client']}, piece bigint, {tie} {types[tie]}, us bigint, "
         "allowed boolean, retry_after bigint"
     )
     return ordered.mapInPandas(decide, schema)

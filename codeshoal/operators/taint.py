@@ -139,12 +139,12 @@ def _sanitizers_on(line: Column, language: Column, whole: bool) -> Column:
 
 
 @built_once
-def _followed(whole: bool, paths: bool) -> Column:
+def _followed(whole: bool, paths: bool, reached: bool = False) -> Column:
     """Array of sources with a variable, each with the sinks it flows to.
 
-    With ``paths``: all later sinks, and the lines that mention the variable.
-    Without: only the sinks reached before any sanitizer, which takes the
-    first sanitized line of each source and no list per flow.
+    Each source has all its later sinks.  With ``paths`` it also has the lines that mention the
+    variable; without, only the first of them with a sanitizer (``safe_after``), so there is no
+    list per flow.  With ``reached`` just the sinks before a sanitizer are kept.
     """
     language = F.col("language")
 
@@ -184,9 +184,9 @@ def _followed(whole: bool, paths: bool) -> Column:
                     safe_after,
                     lambda last: struct_of(
                         source=s,
-                        sinks=F.filter(
-                            sinks, lambda k: (k["line"] > s["line"]) & (k["line"] <= last)
-                        ),
+                        sinks=F.filter(sinks, lambda k: (k["line"] > s["line"]) & (
+                            (k["line"] <= last) if reached else F.lit(True))),
+                        safe_after=last,
                     ),
                 )
             return struct_of(
@@ -238,16 +238,23 @@ def _flow_columns() -> list[Column]:
 
 
 def taint_flows(
-    files: DataFrame, word_boundary: bool = False, check_level: bool = False
+    files: DataFrame, word_boundary: bool = False, check_level: bool = False, paths: bool = True
 ) -> DataFrame:
-    """One row per source and later sink of a file, with its path.
+    """One row per source and later sink of a file, with its path if ``paths``.
 
     The path lists the lines from the source up to the sink that mention the
     variable; a sanitizer on any of them makes the flow safe.  With
     ``check_level`` a flow also needs a source at least as tainted as the sink
-    requires.
+    requires.  Without paths a flow holds no list: the first sanitized line of its source
+    decides, and flow_steps has the lines of the paths once for each variable.
     """
     keys = _keys(files)
+    if not paths:
+        flows = _unlisted_flows(files, word_boundary, False)
+        tainted = F.col("sink.line") <= F.col("safe_after")
+        if check_level:
+            tainted = tainted & _level_reaches()
+        return flows.select(*keys, *_flow_columns(), tainted.alias("is_vulnerable"))
     # Files without any assignment never build the arrays.
     per_sink = (
         _tracked(files)
@@ -274,20 +281,65 @@ def taint_flows(
     )
 
 
+def _unlisted_flows(files: DataFrame, word_boundary: bool, reached: bool) -> DataFrame:
+    """(keys, source, safe_after, sink): flows without a list, all or those not made safe."""
+    keys = _keys(files)
+    return (
+        _tracked(files)
+        .filter(F.col("content").contains("="))
+        .select(*keys, F.explode(_followed(word_boundary, False, reached)).alias("f"))
+        .select(*keys, "f.source", "f.safe_after", F.explode("f.sinks").alias("sink"))
+    )
+
+
 def vulnerable_flows(
     files: DataFrame, word_boundary: bool = False, check_level: bool = False
 ) -> DataFrame:
     """The vulnerable rows of taint_flows without their paths, at a fraction of the work."""
+    flows = _unlisted_flows(files, word_boundary, True)
+    if check_level:
+        flows = flows.filter(_level_reaches())
+    return flows.select(*_keys(files), *_flow_columns(), F.lit(True).alias("is_vulnerable"))
+
+
+def flow_steps(files: DataFrame, word_boundary: bool = False) -> DataFrame:
+    """One row per tainted variable and line that mentions it, with the sanitizers there.
+
+    The path of a flow is its source, the steps of its variable from the source's line to
+    before the sink's, and its sink: path_of joins them by position where paths are asked for.
+    """
     keys = _keys(files)
-    flows = (
+    lines, variable = X.split_lines(F.col("content")), F.col("variable")
+    return (
         _tracked(files)
         .filter(F.col("content").contains("="))
-        .select(*keys, F.explode(_followed(word_boundary, False)).alias("f"))
-        .select(*keys, "f.source", F.explode("f.sinks").alias("sink"))
+        .select(*keys, "language", lines.alias("__lines"),
+                F.array_distinct(F.transform(_sources(word_boundary), lambda s: s["variable"]))
+                .alias("__variables"))
+        .select(*keys, "language", "__lines", F.explode("__variables").alias("variable"))
+        .filter(variable.isNotNull())
+        .select(*keys, "language", "variable",
+                F.posexplode("__lines").alias("__at", "__line"))
+        .filter(F.col("__line").contains(variable))
+        .select(*keys, "variable", (F.col("__at") + 1).alias("line"),
+                F.instr(F.col("__line"), variable).alias("col"),
+                _sanitizers_on(F.col("__line"), F.col("language"), word_boundary)
+                .alias("sanitizers"))
+    )
+
+
+def path_of(flows: DataFrame, steps: DataFrame) -> DataFrame:
+    """(flow columns, line, col, sanitizers): the steps between the ends of some flows.
+
+    A join by file and variable with a range of lines; ``flows`` are the few whose paths are
+    wanted, and a flow without steps in between has no row.
+    """
+    keys = [c for c in KEYS if c in flows.columns]
+    step = steps.select(*keys, "variable", *[
+        F.col(c).alias(f"step_{c}") for c in ("line", "col", "sanitizers")])
+    return flows.join(step, [*keys, "variable"]).filter(
+        (F.col("step_line") >= F.col("source_line")) & (F.col("step_line") < F.col("sink_line"))
     )
-    if check_level:
-        flows = flows.filter(_level_reaches())
-    return flows.select(*keys, *_flow_columns(), F.lit(True).alias("is_vulnerable"))
 
 
 def _of_sink(index: int) -> Column:

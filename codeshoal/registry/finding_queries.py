@@ -251,7 +251,7 @@ def g3(spark, sf):
     rows = _security(spark, sf).select("file_id", "line_start", "rule_id", "column_start")
     order = [F.col("file_id"), F.col("line_start"), F.col("rule_id"),
              F.col("column_start").asc_nulls_first()]
-    return FN.page(rows, order, number=3, size=20).select("file_id", "line_start", "rule_id", "total")
+    return FN.page_at_once(rows, order, number=3, size=20).select("file_id", "line_start", "rule_id", "total")
 
 
 G3_SQL = with_files("""SELECT file_id, line_start, rule_id,
@@ -457,7 +457,7 @@ FROM jobs GROUP BY repo_id"""
 
 def g4(spark, sf):
     order = [F.desc("created_at"), F.asc("id")]
-    return FN.page(_jobs(spark, sf), order, number=2, size=50).select("id", "status", "total")
+    return FN.page_at_once(_jobs(spark, sf), order, number=2, size=50).select("id", "status", "total")
 
 
 def g5(spark, sf):

@@ -560,7 +560,7 @@ def d8(spark, sf):
 
 
 def d7(spark, sf):
-    return T.taint_flows(code_files(spark, sf)).select(
+    return T.taint_flows(code_files(spark, sf), paths=False).select(
         "file_id", "source_name", "source_line", "variable", "sink_name", "sink_line", "sink_type"
     )
 

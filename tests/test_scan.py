@@ -181,3 +181,29 @@ def test_vulnerable_flows_agree_with_full_flows(make_files):
         lean = T.vulnerable_flows(files, **options).select(columns)
         assert full.count() > 0
         assert full.exceptAll(lean).count() == 0 and lean.exceptAll(full).count() == 0
+
+
+def test_flows_without_paths_and_their_steps(make_files):
+    text = "\n".join(
+        ["a = input()", "b = sys.argv", "os.system(a)", "b = float(b)", "eval(b)", "exec(a)",
+         "a = input()", "open(a)"] * 3)
+    files = make_files({"a.py": text, "b.js": "var q = prompt();\nel.innerHTML = q;"})
+    ends = ["path", "source_name", "source_line", "variable", "sink_name", "sink_line"]
+    for options in ({}, {"word_boundary": True}, {"check_level": True}):
+        full = T.taint_flows(files, **options)
+        lean = T.taint_flows(files, paths=False, **options)
+        columns = [*ends, "is_vulnerable"]
+        assert lean.count() == full.count() > 0
+        assert full.select(columns).exceptAll(lean.select(columns)).count() == 0
+    steps = T.path_of(T.taint_flows(files, paths=False), T.flow_steps(files))
+    got = {}
+    for r in steps.orderBy("step_line").collect():
+        got.setdefault(tuple(r[c] for c in ends), []).append((r["step_line"], r["step_col"]))
+    expected = {tuple(r[c] for c in ends): [tuple(p) for p in r["flow_path"]][1:-1]
+                for r in T.taint_flows(files).collect()}
+    assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_many_sources_and_sinks_in_a_file(make_files):
+    text = "\n".join(["a = input()"] * 1500 + ["eval(a)"] * 1500)
+    assert T.taint_flows(make_files({"a.py": text}), paths=False).count() == 1500 * 1500

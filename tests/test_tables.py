@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeshoal.operators import corpus as CO
+from codeshoal.operators import findings as FN
 from codeshoal.operators import graph as G
 from codeshoal.operators import inference as I
 from codeshoal.operators import jobs as J
@@ -57,6 +58,49 @@ def test_rate_limits(spark, requests, limit, window):
     assert accepted == brute_force(requests, limit, window, True)
 
 
+def test_a_hot_client_is_decided_in_many_pieces(spark):
+    """Never a pause of a window, yet cut wherever a whole window stayed below the limit."""
+    rng = random.Random(11)
+    rows, at = [], 0.0
+    for i in range(6000):
+        at += rng.choice([0, 0.01, 0.5]) if i % 300 < 100 else rng.uniform(0.5, 4)
+        rows.append((i, "hot" if i % 50 else None, START + timedelta(microseconds=int(at * 1e6))))
+    df = spark.createDataFrame(rows, "request_id bigint, client string, ts timestamp")
+    got = {r["request_id"]: r["allowed"]
+           for r in RQ.accepted_rate_limit(df, 30, 20).collect()}
+    expected = brute_force(rows, 30, 20, True)
+    assert got == expected and 500 < sum(not ok for ok in expected.values()) < 5000
+    pieces = RQ._pieces(df, 30, 20_000_000).filter("client = 'hot'").groupBy("piece").agg(
+        F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("before")).collect()
+    assert len(pieces) > 100 and max(p["own"] for p in pieces) < 400
+    assert max(p["before"] for p in pieces) <= 30
+    # Always above the limit: a single piece, with the same rows.
+    busy = [(i, "x", START + timedelta(milliseconds=100 * i)) for i in range(2000)]
+    df = spark.createDataFrame(busy, "request_id bigint, client string, ts timestamp")
+    got = {r["request_id"]: r["allowed"] for r in RQ.accepted_rate_limit(df, 5, 10).collect()}
+    assert got == brute_force(busy, 5, 10, True)
+
+
+def test_page_and_total_come_from_one_pass(spark):
+    df = spark.range(1000).withColumn("seen", F.col("id") % 7)
+    order = [F.desc("seen"), F.asc("id")]
+    for number in (1, 3, 50, 51):
+        once = FN.page_at_once(df, order, number, 20)
+        assert [tuple(r) for r in once.collect()] == [
+            tuple(r) for r in FN.page(df, order, number, 20).collect()]
+    assert FN.page_at_once(df, order, 2, 5).dtypes == FN.page(df, order, 2, 5).dtypes
+    assert FN.page_at_once(df.filter("id < 0"), order).count() == 0
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(len(batch))
+            yield batch
+
+    FN.page_at_once(spark.range(500).mapInPandas(counted, "id long"), [F.asc("id")]).collect()
+    assert passes.value == 500
+
+
 def test_latency_quantile_with_ties(spark):
     rng = random.Random(3)
     values = {

@@ -2,8 +2,9 @@
 
 Sources, sinks, and the lines that mention a tainted variable are arrays in
 the file's row, so no join and no shuffle is needed.  Flows leave the row
-through two explodes, source by source and then sink by sink: memory holds one
-source's sinks at a time, never all pairs of a file.
+through two explodes, source by source and then sink by sink: the sinks of a
+source are references to the file's, and the pairs of a file are never all
+rows at once.
 """
 
 from __future__ import annotations

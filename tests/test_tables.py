@@ -114,6 +114,34 @@ def test_latency_quantile_with_ties(spark):
         assert got == {k: sorted(v)[int(len(v) * q)] for k, v in values.items()}
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_latency_quantile_of_a_hot_key(spark, kind):
+    """Each cut of the sketch may also be a value that many rows have."""
+    df = spark.range(120_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("k"),
+        F.when(F.col("id") % 5 == 0, F.col("id") % 50).otherwise(
+            F.pmod(F.xxhash64("id"), F.lit(10**12))).cast(kind).alias("v"))
+    rows: dict = {}
+    for r in df.collect():
+        rows.setdefault(r["k"], []).append(r["v"])
+    for q in (0.0, 0.1, 0.95, 0.9999):
+        got = {r["k"]: r["quantile_value"] for r in RQ.latency_stats(df, "k", "v", q).collect()}
+        assert got == {k: sorted(v)[int(len(v) * q)] for k, v in rows.items()}
+
+
+def test_latency_quantile_ranks_a_short_slice(spark, monkeypatch):
+    """The window sees the values between two cuts, not a band of the group."""
+    seen = spark.sparkContext.accumulator(0)
+    ranked = F.udf(lambda v: (seen.add(1), v)[1], "double").asNondeterministic()
+    df = spark.range(200_000, numPartitions=4).select(
+        F.lit("hot").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("double").alias("v"))
+    partition = RQ.W.partitionBy
+    monkeypatch.setattr(RQ.W, "partitionBy", lambda key: partition(ranked(F.lit(0.0)), key))
+    value = RQ.latency_stats(df, "k", "v").first()["quantile_value"]
+    assert value == sorted(r["v"] for r in df.collect())[190_000]
+    assert 0 < seen.value <= 40
+
+
 def test_error_rate_of_nothing(spark):
     empty = spark.createDataFrame([], "status string")
     row = RQ.error_rate(empty, F.col("status") == "failure").first()

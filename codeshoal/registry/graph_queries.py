@@ -11,6 +11,7 @@ from ..operators import text_index as TI
 from ..operators import upserts as U
 from ..operators import vectors as V
 from ..session import scratch_dir
+from ..sources.stores import read_store, upsert_store, write_store
 from .base import code_files, table, with_files
 from .scan_queries import CALLS, FUNCTIONS
 
@@ -355,6 +356,29 @@ A11_SQL = """SELECT id, name, parent_id, score FROM (SELECT *, row_number() OVER
     FROM orders WHERE o_custkey % 30 IN (SELECT n_nationkey FROM nation))) WHERE rn = 1"""
 
 
+def a11_stored(spark, sf):
+    """Stored customers updated from open, then partly shipped, then finished orders."""
+    path = scratch_dir(spark, "customers")
+    write_store(_customers(spark, sf), path, ["id"], 16)
+    for status in ("O", "P", "F"):
+        updates = table(spark, sf, "orders").where(F.col("o_orderstatus") == status).select(
+            F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("name"),
+            (F.col("o_custkey") % 30).alias("parent_id"), F.col("o_totalprice").alias("score"),
+            F.struct("o_orderdate", "o_orderkey").alias("seq"),
+        )
+        upsert_store(spark, path, updates, ["id"], "seq", 16)
+    return read_store(spark, path)
+
+
+A11_STORED_SQL = """SELECT id, name, parent_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC, d DESC, k DESC) AS rn FROM (
+    SELECT c_custkey AS id, c_name AS name, c_nationkey AS parent_id, c_acctbal AS score, 0 AS step,
+      NULL AS d, NULL AS k FROM customer
+    UNION ALL SELECT o_custkey, o_orderpriority, o_custkey % 30, o_totalprice,
+      CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END, o_orderdate, o_orderkey
+      FROM orders WHERE o_orderstatus IN ('O', 'P', 'F'))) WHERE rn = 1"""
+
+
 def a12(spark, sf):
     links = _links(spark, sf).withColumn("rel", F.lit("CALLS"))
     nodes = table(spark, sf, "part").filter(F.col("p_size") > 10).select(F.col("p_partkey").alias("id"))
@@ -550,6 +574,7 @@ QUALIFY rank <= 3"""
 
 QUERIES = {
     "a11_node_upsert": (a11, A11_SQL),
+    "a11_stored_upsert": (a11_stored, A11_STORED_SQL),
     "a12_edge_upsert": (a12, A12_SQL),
     "a13_vector_upsert": (a13, A13_SQL),
     "a14_incremental_reindex": (a14, A14_SQL),

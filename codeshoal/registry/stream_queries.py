@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as S
 from ..session import scratch_dir
+from ..sources.stores import read_store, write_store
 from ..streaming import pipelines as P
 from ..streaming import state as ST
 from ..streaming import windows as SW
-from .base import PATH, REPO, CONTENT, with_files
+from .base import PATH, REPO, CONTENT, code_files, table, with_files
 from .finding_queries import SECURITY_CTES
 from .request_queries import F5_SQL, F7_SQL, LIMIT, WINDOW
 from .scan_queries import FUNCTIONS, PERFORMANCE
@@ -80,6 +81,39 @@ J3_SQL = with_files("SELECT file_id, name, start_line FROM measured WHERE kind =
                     *FUNCTIONS)
 
 
+def j3_buckets(spark, sf):
+    """Functions of files kept in buckets by a stream of three batches, one emptying files."""
+    files = code_files(spark, sf).withColumn("version", F.lit(1))
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "file_id")
+    toxic = files.join(labels.where("toxic = 1"), "file_id", "left_semi")
+    batches = [
+        files,
+        files.join(labels, "file_id", "left_semi").withColumn("version", F.lit(2)),
+        toxic.withColumn("content", F.lit("")).withColumn("version", F.lit(3)),
+    ]
+    source, store, checkpoint = (scratch_dir(spark, n) for n in ("changes", "store", "checkpoint"))
+
+    def functions(batch):
+        return S.functions(batch).join(batch.select("file_id", "version"), "file_id").select(
+            "file_id", F.concat("name", F.lit("_v"), F.col("version")).alias("name"), "start_line")
+
+    write_store(functions(files.limit(0)), store, ["file_id"], 16)
+    for batch in batches:
+        # The stream goes on from its checkpoint: what has arrived since is one micro-batch.
+        batch.write.mode("append").parquet(source)
+        P.store_changes(
+            spark.readStream.schema(files.schema).parquet(source), store, checkpoint, functions,
+            buckets=16,
+        ).awaitTermination()
+    return read_store(spark, store)
+
+
+J3_BUCKETS_SQL = with_files("""
+SELECT file_id, concat(name, '_v', CASE WHEN file_id IN (SELECT doc_id FROM labels)
+  THEN 2 ELSE 1 END) AS name, start_line FROM measured WHERE kind = 'function'
+  AND file_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""", *FUNCTIONS)
+
+
 def j4(spark, sf):
     counts = SW.task_counts(_events(spark, sf)).select(
         F.unix_micros("window_start").alias("window_start"), "task_type", "status", "n"
@@ -192,6 +226,7 @@ QUERIES = {
         _limited(True), f"SELECT request_id, client, allowed FROM ({F7_SQL})"),
     "j2_scan_stream": (j2, J2_SQL),
     "j3_index_stream": (j3, J3_SQL),
+    "j3_index_buckets": (j3_buckets, J3_BUCKETS_SQL),
     "j4_task_counts_stream": (j4, J4_SQL),
     "j5_task_durations_stream": (j5, J5_SQL),
     "j6_debounce_stream": (j6, J6_SQL),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..catalogs import PERFORMANCE_RULES, SECURITY_RULES
 from ..operators.rules import scan
-from ..session import DEFAULTS
+from ..session import DEFAULTS, scratch_dir
+from ..sources.stores import BUCKETS, replace_store
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -80,6 +81,34 @@ def touched_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_keys_path(path))
 
 
+def store_changes(stream: DataFrame, path: str, checkpoint: str, derive: Callable | None = None,
+                  key: str = "file_id", buckets: int = BUCKETS):
+    """Keep a bucketed store (``write_store``, with the same key and buckets) up to date.
+
+    Every micro-batch gives its keys the rows that ``derive`` makes of it (none: the batch
+    itself) and rewrites the buckets of these keys only; a key without rows loses what it had.
+    Repeating a batch leaves the same store, so one that was lost half way is safe.  The batch
+    is read and derived once.  A key that comes several times in a batch keeps all its rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        beside = scratch_dir(spark, f"batch-{batch_id}")
+        batch.write.parquet(f"{beside}/batch")
+        arrived = spark.read.schema(batch.schema).parquet(f"{beside}/batch")
+        rows = derive(arrived) if derive else arrived
+        if derive:
+            rows.write.parquet(f"{beside}/rows")
+            rows = spark.read.schema(rows.schema).parquet(f"{beside}/rows")
+        replace_store(spark, path, rows, arrived.select(key), key, buckets)
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def current_rows(log: DataFrame, key: str = "file_id", touched: DataFrame | None = None
                  ) -> DataFrame:
     """Rows of the last batch that touched each key: older ones are gone.

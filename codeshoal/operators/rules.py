@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from ..functions import text as X
 from ..functions.bind import built_once
 
 KEYS = ("file_id", "repo_id", "path", "language")
+# Rules of one expression; more of them go through an automaton, and those that cannot are tried
+# in groups of so many in the same row.
+RULE_GROUP = 200
 
 
 def explode_lines(files: DataFrame, lookahead: int = 0, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -119,17 +123,24 @@ def _spans(rules: tuple[C.LineRule, ...]) -> Column:
         between = F.split(F.col("line"), _regex(rule), -1)
         pieces = F.when(cond, found) if pieces is None else pieces.when(cond, found)
         gaps = F.when(cond, between) if gaps is None else gaps.when(cond, between)
-    span_type = "array<struct<begin:int,end:int>>"
-    once = F.array(F.struct(F.lit(None).alias("begin"), F.lit(None).alias("end"))).cast(span_type)
     if pieces is None:
-        return once
+        return F.array(F.struct(F.lit(None).alias("begin"), F.lit(None).alias("end"))).cast(SPANS)
+    return _fold_spans(pieces, gaps)
+
+
+SPANS = "array<struct<begin:int,end:int>>"
+
+
+def _fold_spans(pieces: Column, gaps: Column) -> Column:
+    """Spans of matches from the matches and the texts between; one empty span for no pieces."""
+    once = F.array(F.struct(F.lit(None).alias("begin"), F.lit(None).alias("end"))).cast(SPANS)
     lengths = F.zip_with(
         gaps, pieces,
         lambda gap, hit: F.struct(
             F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(-1)).alias("hit")
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(state: Column, item: Column) -> Column:
         begin = state["at"] + item["gap"]
@@ -145,8 +156,15 @@ def _spans(rules: tuple[C.LineRule, ...]) -> Column:
 
 
 def scan(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
-    """Findings of any mix of line rules, in one pass over the files."""
+    """Findings of any mix of line rules, in one pass over the files.
+
+    More than RULE_GROUP rules go through an automaton (``scan_many``), with the same rows.
+    """
     rules = tuple(rules)
+    return scan_many(files, rules) if len(rules) > RULE_GROUP else _scan_unrolled(files, rules)
+
+
+def _scan_unrolled(files: DataFrame, rules: tuple[C.LineRule, ...]) -> DataFrame:
     constant = lambda field: _constant(rules, field)
     return (
         matching_lines(files, rules)
@@ -171,6 +189,149 @@ def scan(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
     )
 
 
+# --- thousands of rules ---------------------------------------------------------
+
+# Escapes that stand for a class, a place or a control character, and nothing else.
+_CLASS_ESCAPES = frozenset("wWdDsSbBAzZGRhHvVntrfea")
+# The letters outside ASCII that equal one of a to z when case is ignored, and those.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+LEAST_LITERAL = 3
+
+
+def required_literal(pattern: str) -> str:
+    """Longest text, in lower case, that is in every match of a pattern; "" if none is certain.
+
+    Only ASCII text outside groups and classes counts.  Anything unusual (alternatives,
+    flags, quoted parts, numbered characters, nested classes) gives "", which is always right.
+    """
+    runs, run, at = [], "", 0
+
+    def skip_class(at: int) -> int | None:
+        end = at + 1 + pattern.startswith("^", at + 1)
+        if pattern.startswith("]", end):
+            return None
+        while end < len(pattern) and pattern[end] != "]":
+            if pattern[end] == "[" or pattern.startswith("&&", end) or pattern.startswith("\\Q", end):
+                return None
+            end += 1 + (pattern[end] == "\\")
+        return end if end < len(pattern) else None
+
+    depth = 0
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            escaped = pattern[at + 1:at + 2]
+            if escaped.isalnum() and escaped not in _CLASS_ESCAPES or not escaped.isascii():
+                return ""
+            at += 1
+            char = "" if escaped.isalnum() else escaped
+        elif char == "[":
+            end = skip_class(at)
+            if end is None:
+                return ""
+            at, char = end, ""
+        elif char == "(":
+            if pattern.startswith("(?", at) and pattern[at + 2:at + 3] not in tuple(":=!<>"):
+                return ""
+            # Of "(?:", only the mark itself is left out; the group's own text does not count.
+            at += 1 if pattern.startswith("(?", at) else 0
+            depth, char = depth + 1, ""
+        elif char == ")":
+            depth, char = depth - 1, ""
+        elif char == "|":
+            if depth == 0:
+                return ""
+            char = ""
+        elif char in "?*{":
+            # The character before may be missing; the text before it stays.
+            runs.append(run[:-1])
+            run, char = "", ""
+            if pattern[at] == "{":
+                end = pattern.find("}", at)
+                if end < 0:
+                    return ""
+                at = end
+        elif char in ".^$+" or not char.isascii() or not char.isprintable():
+            char = ""
+        if char and depth == 0:
+            run += char
+        elif not char:
+            runs.append(run)
+            run = ""
+        at += 1
+    return max([*runs, run], key=len).lower() if depth == 0 else ""
+
+
+def _literals_in(literals: tuple[str, ...]):
+    """Column function: numbers of the literals that a text contains, each once."""
+    held: list = []
+
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series) -> pd.Series:
+        if not held:
+            import ahocorasick
+
+            numbers: dict[str, list[int]] = {}
+            for number, literal in enumerate(literals):
+                numbers.setdefault(literal, []).append(number)
+            machine = ahocorasick.Automaton()
+            for literal, own in numbers.items():
+                machine.add_word(literal, own)
+            machine.make_automaton()
+            held.append(machine)
+        return texts.map(
+            lambda text: sorted({n for _, own in held[0].iter(text) for n in own}) if text else [])
+
+    return find
+
+
+def scan_many(files: DataFrame, rules: Sequence[C.LineRule]) -> DataFrame:
+    """Findings of thousands of rules: an automaton proposes, the regex engine decides.
+
+    One automaton over the text that each rule's match must hold, built once per Python worker,
+    passes over a line once, however many rules there are; only rules it proposes try
+    their pattern, which then is a column.  The plan does not grow with the rules.  Rules
+    without such a text, of several lines or of once-per-line kind are unrolled as in ``scan``.
+    """
+    literals = [required_literal(rule.pattern) for rule in rules]
+    fit = [rule.kind == "security" and rule.window == 1 and len(literal) >= LEAST_LITERAL
+           for rule, literal in zip(rules, literals)]
+    rest = _scan_unrolled(files, tuple(rule for rule, ok in zip(rules, fit) if not ok))
+    chosen = [(rule, literal) for rule, literal, ok in zip(rules, literals, fit) if ok]
+    if not chosen:
+        return rest
+    table = files.sparkSession.createDataFrame(
+        [(i, r.rule_id, _regex(r), r.gate, list(r.languages), r.kind, r.name, r.severity, r.confidence,
+          r.message, r.remediation, r.cwe_id) for i, (r, _) in enumerate(chosen)],
+        "__no int, rule_id string, __regex string, __gate string, __languages array<string>, "
+        "finding_type string, rule_name string, severity string, confidence string, message string, "
+        "suggestion string, cwe_id string")
+    folded = F.lower(F.translate("line", *FOLDED))
+    line, regex = F.col("line"), F.col("__regex")
+    everywhere = F.array_contains("__languages", "*")
+    hits = (
+        explode_lines(files.filter(F.col("language").isNotNull()))
+        .withColumn("__no", F.explode(_literals_in(tuple(text for _, text in chosen))(folded)))
+        .join(table, "__no")
+        .where(everywhere | F.array_contains("__languages", F.col("language")))
+        .where(line.contains(F.col("__gate")) & F.rlike(line, regex))
+        .withColumn("__span", F.explode(_fold_spans(
+            F.regexp_extract_all(line, regex, 0), F.split(line, regex, -1))))
+    )
+    found = hits.select(
+        "finding_type", "rule_id", "rule_name", "severity", "confidence", "message",
+        *[c for c in KEYS if c in files.columns],
+        F.col("line_no").alias("line_start"),
+        F.col("line_no").alias("line_end"),
+        F.col("__span.begin").alias("column_start"),
+        F.col("__span.end").alias("column_end"),
+        X.strip(line).alias("code_snippet"),
+        "suggestion", "cwe_id",
+        owasp_of(F.col("cwe_id")).alias("owasp_category"),
+    )
+    return found.unionByName(rest)
+
+
 def security_scan(
     files: DataFrame, rules: Sequence[C.LineRule] = C.SECURITY_RULES
 ) -> DataFrame:
@@ -215,8 +376,6 @@ RULE_SCHEMA = (
     "rule_id string, name string, pattern string, severity string, confidence string, "
     "message string, remediation string, cwe_id string, languages array<string>, enabled boolean"
 )
-# Rules of one expression; longer tables are tried in groups of so many in the same row.
-RULE_GROUP = 200
 
 
 def validate_rules(rules: DataFrame) -> tuple[list[C.LineRule], DataFrame]:

@@ -292,6 +292,26 @@ def k1(spark, sf):
     )
 
 
+def k1_many(spark, sf):
+    """A thousand user rules: names that end in one number each, followed by a bracket."""
+    from ..operators import rules as R
+
+    user = spark.createDataFrame(
+        [(f"N{i}", f"number {i}", rf"[a-z]{i}\(", "low", "low", "m", "s", None, ["*"], True)
+         for i in range(10, 1010)],
+        R.RULE_SCHEMA,
+    )
+    good, _ = R.validate_rules(user)
+    return R.security_scan(code_files(spark, sf), good).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+K1_MANY_SQL = with_files("""SELECT concat('N', number) AS rule_id, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(line, '[A-Za-z]([0-9]+)\\(', 1)) AS number FROM lines
+  WHERE language IS NOT NULL)
+WHERE number IN (SELECT CAST(range AS VARCHAR) FROM range(10, 1010)) GROUP BY number""", lines=True)
+
+
 K1_SQL = with_files("""SELECT 'U1' AS rule_id,
   CAST(sum(len(regexp_extract_all(line, '(?i)return\\s+\\w+'))) AS BIGINT) AS n
   FROM lines WHERE language = 'python'
@@ -316,6 +336,7 @@ QUERIES = {
     "a8_parquet_source": (a8, A8_SQL),
     "a9_source_dispatch": (a9, A9_SQL),
     "k1_user_rules": (k1, K1_SQL),
+    "k1_many_rules": (k1_many, K1_MANY_SQL),
     "k2_analyzer_plugin": (k2, K2_SQL),
     "k3_batch_embedding": (k3, K3_SQL),
     "k4_batch_generation": (k4, K4_SQL),

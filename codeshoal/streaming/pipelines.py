@@ -17,14 +17,11 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream, with its own schema."""
+    """A parquet table of a folder as a stream, with its own schema; one file, or a folder of them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    # A stream takes a plain path for a folder; a pattern, which may find a file as well, it lists.
+    return spark.readStream.schema(schema).parquet(os.path.join(folder, f"{name}.parque[t]"))
 
 
 def run_available(stream: DataFrame, out: str) -> DataFrame:

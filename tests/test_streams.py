@@ -97,3 +97,16 @@ def test_index_log_forgets_rows_of_an_emptied_file(spark, tmp_path):
         ).awaitTermination()
     now = P.current_rows(spark.read.parquet(log), touched=P.touched_keys(spark, log))
     assert [tuple(r) for r in now.collect()] == [("b", "z")]
+
+
+def test_table_streams_read_files_and_folders(spark, tmp_path):
+    rows = [(i, f"t{i}") for i in range(20)]
+    table = spark.createDataFrame(rows, "id bigint, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    part.rename(tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        stream = P.read_table_stream(spark, str(tmp_path), name)
+        out = P.run_available(stream, str(tmp_path / f"out-{name}"))
+        assert sorted(map(tuple, out.collect())) == rows

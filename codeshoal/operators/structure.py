@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import catalogs as C
 from ..functions import text as X
 from ..functions.bind import built_once, let, removed, struct_of, tally
+from ..session import scratch_dir
 from .rules import KEYS
 
 BRACE_LANGUAGES = ("javascript", "java", "go")
@@ -386,8 +387,11 @@ def _brace_step(state: Column, mark: Column) -> Column:
     ).otherwise(state.withField("last", mark["ln"]).withField("depth", depth))
 
 
-def entries(content: Column, language: Column) -> Column:
-    """Array of all functions and classes of a file, in order of appearance."""
+def entries(content: Column, language: Column, masked: Column | None = None) -> Column:
+    """Array of all functions and classes of a file, in order of appearance.
+
+    ``masked`` is the file's masked text, where the caller has it already.
+    """
     none = F.array().cast(f"array<{ENTRY}>")
     start = struct_of(
         open=none, done=none, last=F.lit(0), depth=F.lit(0), decorator=F.lit(False)
@@ -397,7 +401,7 @@ def entries(content: Column, language: Column) -> Column:
         return F.array_sort(F.concat(state["done"], _close(state["open"], state["last"])))
 
     def fold(name: str) -> Column:
-        masked = _mask(content, name)
+        own = _mask(content, name) if masked is None else masked
         step = _python_step if name == "python" else _brace_step
 
         def block_step(state: Column, block: Column) -> Column:
@@ -409,7 +413,7 @@ def entries(content: Column, language: Column) -> Column:
         # A fold copies its state at every step.  Folding block by block keeps
         # the finished entries of a long file out of the inner, per-line state.
         blocks = let(
-            _marks(masked, name),
+            _marks(own, name),
             lambda marks: F.transform(
                 F.sequence(F.lit(0), F.floor(F.size(marks) / BLOCK_LINES).cast("int")),
                 lambda i: F.slice(marks, i * BLOCK_LINES + 1, BLOCK_LINES),
@@ -481,10 +485,14 @@ def parse(files: DataFrame) -> DataFrame:
 
 @built_once
 def _entries_with_header() -> Column:
+    return _with_header(None)
+
+
+def _with_header(masked: Column | None) -> Column:
     return let(
         X.split_lines(F.col("content")),
         lambda lines: F.transform(
-            entries(F.col("content"), F.col("language")),
+            entries(F.col("content"), F.col("language"), masked),
             lambda e: e.withField(
                 "header",
                 F.when(F.col("language") == "python", F.array_join(
@@ -508,7 +516,7 @@ def _full_entries() -> Column:
     """Entries with header, text and distinct called names, from one parse."""
     def complete(texts: Column) -> Column:
         return F.transform(
-            _entries_with_header(),
+            _with_header(texts["whole"]),
             lambda e: e.withField(
                 "snippet",
                 F.array_join(
@@ -517,9 +525,12 @@ def _full_entries() -> Column:
             ).withField("callees", _callees(texts["masked"], e)),
         )
 
-    masked = F.coalesce(mask(F.col("content"), F.col("language")), F.lit(""))
+    # Masked once, for the entries and for the names called in them.
     return let(
-        struct_of(raw=X.split_lines(F.col("content")), masked=X.split_lines(masked)), complete
+        mask(F.col("content"), F.col("language")),
+        lambda masked: let(
+            struct_of(raw=X.split_lines(F.col("content")), whole=masked,
+                      masked=X.split_lines(F.coalesce(masked, F.lit("")))), complete),
     )
 
 
@@ -857,7 +868,14 @@ def called_names_of(extracted: DataFrame) -> DataFrame:
 
 
 def call_edges(files: DataFrame) -> DataFrame:
-    return call_edges_of(extract(files))
+    """Call edges of files; functions and their calls are written once, as all branches read them."""
+    named = extract(files).select("repo_id", "path", F.transform(
+        F.filter("entries", lambda e: e["kind"] == "function"),
+        lambda e: struct_of(kind=e["kind"], name=e["name"], callees=e["callees"]),
+    ).alias("entries"))
+    store = scratch_dir(files.sparkSession, "calls")
+    named.write.parquet(store)
+    return call_edges_of(files.sparkSession.read.schema(named.schema).parquet(store))
 
 
 def call_edges_of(extracted: DataFrame) -> DataFrame:

@@ -65,3 +65,18 @@ def test_weighting_needs_no_global_limit(spark):
     text = plan(CO.take_fraction(spark.range(1000).withColumnRenamed("id", "k"), "k", 0.5))
     assert "GlobalLimit" not in text and "CollectLimit" not in text and "Cartesian" not in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_call_edges_parse_each_file_once(make_files):
+    files = make_files({"a.py": "def f():\n    g()\n", "b.py": "def g():\n    f()\n"})
+    edges = S.call_edges(files)
+    # What is joined comes from files; no branch masks a text again.
+    assert "regexp" not in edges._jdf.queryExecution().toString()
+    assert edges.count() == 2
+
+
+def test_masked_once_for_entries_and_calls(make_files):
+    files = make_files({"a.py": "def f():\n    g()\n"})
+    parsed = S.extract(files)._jdf.queryExecution().optimizedPlan().toString()
+    # Each language's text is masked in one place.
+    assert parsed.count(r"(?d)\\.") == len(S.BRACE_LANGUAGES) + 1

@@ -1,18 +1,24 @@
 """Batch inference over tables with user callables.
 
 Spark partitions the rows; a callable sees one batch of texts at a time, is
-built once per task, and a failing row comes back with its error.
+built once per task, and a failing row comes back with its error.  An Arrow batch is
+taken apart by its bytes: only about SLICE of them are Python objects at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BATCH = 4
+# Bytes of texts that become Python objects at a time.
+SLICE = 1 << 20
 Model = Callable[[list[str]], list[str]]
 
 
@@ -23,6 +29,19 @@ def _as_many(answers: Sequence, n: int) -> Sequence:
     return answers
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, about SLICE bytes of the texts ``source`` at a time (a larger one alone)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_numpy()
+        ends = np.cumsum(sizes.astype(np.int64) + 16)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def generate(
     prompts: DataFrame,
     load: Callable[[str], Model],
@@ -38,7 +57,7 @@ def generate(
     """
     key_type = dict(prompts.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[str, tuple[str, Model]] = {}
 
         def resolve(name: str | None) -> tuple[str, Model]:
@@ -52,27 +71,35 @@ def generate(
                     models[wanted] = models[default_model]
             return models[wanted]
 
-        for pdf in batches:
+        for part in _sliced(batches, "prompt"):
+            prompts_of: dict[str | None, list[int]] = {}
+            for i, name in enumerate(part.column("model").to_pylist()):
+                prompts_of.setdefault(name or None, []).append(i)
+            given = part.column("prompt").to_pylist()
             rows: list[tuple] = []
-            for name, group in pdf.groupby(pdf["model"].fillna(""), sort=False):
-                used, model = resolve(name or None)
-                for at in range(0, len(group), max_batch_size):
-                    part = group.iloc[at:at + max_batch_size]
-                    ids, texts = part[key].tolist(), part["prompt"].tolist()
+            for name, places in prompts_of.items():
+                used, model = resolve(name)
+                for at in range(0, len(places), max_batch_size):
+                    own = places[at:at + max_batch_size]
+                    texts = [given[i] for i in own]
                     try:
                         answers = _as_many(model(texts), len(texts))
-                        rows += [(i, t, used, None) for i, t in zip(ids, answers)]
+                        rows += [(i, t, used, None) for i, t in zip(own, answers)]
                     except Exception:  # noqa: BLE001
-                        for i, text in zip(ids, texts):
+                        for i, text in zip(own, texts):
                             try:
                                 rows.append((i, _as_many(model([text]), 1)[0], used, None))
                             except Exception as error:  # noqa: BLE001
                                 rows.append((i, None, used, str(error)))
-            yield pd.DataFrame(rows, columns=[key, "text", "model_used", "error"])
+            place, *columns = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(key).take(pa.array(place, pa.int64()))]
+                + [pa.array(c, pa.string()) for c in columns],
+                names=[key, "text", "model_used", "error"])
 
     columns = [key, "prompt"]
     model = F.col("model") if "model" in prompts.columns else F.lit(None).cast("string")
-    return prompts.select(*columns, model.alias("model")).mapInPandas(
+    return prompts.select(*columns, model.alias("model")).mapInArrow(
         run, f"{key} {key_type}, text string, model_used string, error string"
     )
 
@@ -85,25 +112,27 @@ def embed(
     batch: int = 100,
     max_chars: int | None = None,
 ) -> DataFrame:
-    """(key, embedding): vectors of texts, 100 per call, encoder loaded per task.
+    """(key, embedding): vectors of texts, at most ``batch`` per call, encoder loaded per task.
 
     Whole texts are encoded.  ``max_chars`` cuts them, for an encoder that takes no more
     and a caller who does not pass chunks.
     """
     key_type = dict(texts.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
-        for pdf in batches:
-            vectors: list[list[float]] = []
-            for at in range(0, len(pdf), batch):
-                part = pdf[text].iloc[at:at + batch].tolist()
-                found = _as_many(encode(part), len(part))
-                vectors.extend([float(x) for x in v] for v in found)
-            yield pd.DataFrame({key: pdf[key], "embedding": vectors})
+        for rows in _sliced(batches, text):
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                given = part.column(text).to_pylist()
+                found = _as_many(encode(given), len(given))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), pa.array(
+                        [[float(x) for x in v] for v in found], pa.list_(pa.float32()))],
+                    names=[key, "embedding"])
 
     body = F.col(text) if max_chars is None else F.left(F.col(text), F.lit(max_chars))
-    return texts.select(key, body.alias(text)).mapInPandas(
+    return texts.select(key, body.alias(text)).mapInArrow(
         run, f"{key} {key_type}, embedding array<float>"
     )
 
@@ -115,14 +144,16 @@ def score(
     types = dict(pairs.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", reward double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = load()
-        for pdf in batches:
-            rewards = _as_many(rate(pdf["__text"].tolist()), len(pdf))
-            yield pdf[list(keys)].assign(reward=[float(r) for r in rewards])
+        for part in _sliced(batches, "__text"):
+            rewards = _as_many(rate(part.column("__text").to_pylist()), part.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(k) for k in keys]
+                + [pa.array([float(r) for r in rewards], pa.float64())], names=[*keys, "reward"])
 
     text = F.concat(F.col("query"), F.col("response")).alias("__text")
-    return pairs.select(*keys, text).mapInPandas(run, schema)
+    return pairs.select(*keys, text).mapInArrow(run, schema)
 
 
 FINDING_COLUMNS = (
@@ -143,21 +174,27 @@ def run_analyzer(
     names = [c.split()[0] for c in FINDING_COLUMNS.split(", ")]
     key_type = dict(snippets.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for ident, code, language in zip(pdf[key], pdf["code"], pdf["language"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches, "code"):
+            at, rows = [], []
+            for i, (code, language) in enumerate(zip(
+                    part.column("code").to_pylist(), part.column("language").to_pylist())):
                 try:
                     found = analyze(code, language)
                 except Exception as error:  # noqa: BLE001
                     found = [{"finding_type": "error", "message": str(error)}]
                 for item in found:
-                    rows.append([ident] + [item.get(n) for n in names])
-            out = pd.DataFrame(rows, columns=[key, *names])
+                    at.append(i)
+                    rows.append([item.get(n) for n in names])
+            out = pd.DataFrame(rows, columns=names)
             for name in ("line_start", "line_end"):
                 out[name] = out[name].astype("Int32")
-            yield out
+            kinds = [pa.int32() if n.startswith("line_") else pa.string() for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(key).take(pa.array(at, pa.int64()))]
+                + [pa.array(out[n], kind, from_pandas=True) for n, kind in zip(names, kinds)],
+                names=[key, *names])
 
-    return snippets.select(key, "code", "language").mapInPandas(
+    return snippets.select(key, "code", "language").mapInArrow(
         run, f"{key} {key_type}, {FINDING_COLUMNS}"
     )

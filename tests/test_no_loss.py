@@ -101,3 +101,37 @@ def test_scratch_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         scratch_dir(Session(), "x")
+
+
+def test_callables_get_texts_a_slice_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [(i if i else None, "x" * 100 * i, "m" if i % 2 else None) for i in range(40)],
+        "id long, text string, language string").coalesce(1)
+    monkeypatch.setattr(I, "SLICE", 2_000)
+    # The functions travel with what they read; SLICE is a bound of the module there.
+    parts = list(I._sliced(df.toArrow().to_batches(), "text"))
+    assert sum(p.num_rows for p in parts) == 40
+    assert all(p.num_rows == 1 or sum(len(t) for t in p["text"].to_pylist()) <= 2_000 for p in parts)
+    whole = [t for p in parts for t in p["text"].to_pylist()]
+    assert whole == ["x" * 100 * i for i in range(40)]
+
+
+def test_long_texts_reach_callables_in_parts(spark):
+    rows = [(2 ** 60 + i if i else None, "x" * 400_000) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    ids = {i for i, _ in rows}
+    # Twelve texts of 0.4 MB are never given at once, and long keys stay exact.
+    counted = I.embed(df, lambda: lambda texts: [[float(len(texts))] for _ in texts]).collect()
+    assert {r["id"] for r in counted} == ids and max(r["embedding"][0] for r in counted) < 12
+    scored = I.score(df.selectExpr("id", "text AS query", "'' AS response"),
+                     lambda: lambda texts: [len(texts) for _ in texts], "id").collect()
+    assert {r["id"] for r in scored} == ids and max(r["reward"] for r in scored) < 12
+    found = I.run_analyzer(
+        df.selectExpr("id", "text AS code", "'' AS language"),
+        lambda code, language: [{"line_start": len(code), "message": None}]).collect()
+    assert {(r["id"], r["line_start"], r["line_end"], r["message"]) for r in found} == {
+        (i, 400_000, None, None) for i in ids}
+    said = I.generate(
+        df.selectExpr("id", "text AS prompt"), lambda name: lambda texts: [str(len(texts)) for _ in texts],
+        max_batch_size=100).collect()
+    assert {r["id"] for r in said} == ids and max(int(r["text"]) for r in said) < 12

@@ -63,3 +63,9 @@ def test_semantic_hits_are_nearest_sources(spark):
         "id string, function_name string, content string, path string, language string")
     hits = SE.semantic_hits(snippets, "open the file", 5).collect()
     assert [(h.id, h.type, h.name) for h in hits] == [("a", "Snippet", "load")]
+
+
+def test_postings_count_a_text_once(spark):
+    texts = spark.createDataFrame([(1, "a b a")], "id long, text string")
+    counted = TI.postings(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.count("zip_with(") == 1

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import html as markup
+import math
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,11 +54,12 @@ _ATTRIBUTE = re.compile(
 CONSTANT_SHARE, LEAST_PAGES = 0.9, 8
 # A page is a copy of another if no more than this share of its article is not in the other.
 NEAR_SHARE = 0.1
-# Children are aligned by a table of at most so many cells; longer lists are split, if need be into
-# pieces of at most so many children.
-CELLS, SIDE = 1 << 16, 128
-# Sizes of pairs of subtrees that are remembered between child lists.
-MOST_SIZES = 1 << 18
+# Pairs of children up to which a table of all of them is kept; of longer lists some rows are.
+CELLS = 1 << 16
+# What is remembered: sizes of pairs of subtrees; rows of sizes of a long list, and cells of more rows.
+MOST_SIZES, MOST_ROWS, ROW_CELLS = 1 << 18, 64, 1 << 24
+# Cells of paths of tags that bound sizes, and turns in which bounds may decide a long list.
+PATHS, TURNS = 64, 6
 # Bytes of templates that are broadcast at most; more are joined by shuffling.
 BROADCAST_BYTES = 16 << 20
 
@@ -219,35 +222,34 @@ def _number(root: Node) -> None:
 
 Pairs = list[tuple[Node, Node]]
 Lists = tuple[list[Node], list[Node]]
+Sizes = dict[tuple[int, int], int]
+Task = Generator["Task", Any, Any]
 
 
 def align(left: Node, right: Node) -> Pairs:
     """Pairs of nodes that simple tree matching maps to each other.
 
     Roots with the same tag match; their children are aligned in order so that most nodes
-    match.  Equal shapes at both ends of the child lists are paired first, and long lists are split.
+    match.  Equal shapes at both ends of the child lists are paired first: nothing matches more.
     """
     pairs: Pairs = []
     todo = [(left, right)]
-    sizes: dict[tuple[int, int], int] = {}
+    sizes: Sizes = {}
     while todo:
         a, b = todo.pop()
         if a.tag != b.tag:
             continue
         pairs.append((a, b))
         if a.children and b.children:
-            equal, lists = _split(a.children, b.children)
+            equal, part = _split(a.children, b.children)
             todo.extend(equal)
-            for part in lists:
-                _measure([p for p in _open(part) if (p[0].shape, p[1].shape) not in sizes], sizes)
-                todo.extend(_best(part, sizes))
-                if len(sizes) > MOST_SIZES:
-                    sizes.clear()
+            if part[0] and part[1]:
+                todo.extend(_run(_best(part, sizes) if _small(part) else _best_of_long(part, sizes)))
     return pairs
 
 
-def _split(a: list[Node], b: list[Node]) -> tuple[Pairs, list[Lists]]:
-    """Children that are paired for their equal shapes, and the lists left to align, in order."""
+def _split(a: list[Node], b: list[Node]) -> tuple[Pairs, Lists]:
+    """Children at both ends that are paired for their equal shapes, and the lists left to align."""
     most = min(len(a), len(b))
     head = 0
     while head < most and a[head].shape == b[head].shape:
@@ -258,48 +260,24 @@ def _split(a: list[Node], b: list[Node]) -> tuple[Pairs, list[Lists]]:
     equal = list(zip(a[:head], b[:head]))
     if tail:
         equal += list(zip(a[-tail:], b[-tail:]))
-    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
-    if len(a) * len(b) <= CELLS:
-        return equal, [(a, b)] if a and b else []
-    lists: list[Lists] = []
-    i = j = 0
-    for x, y in [*_anchors(a, b), (len(a), len(b))]:
-        # Between anchors nothing has the same shape in the same turn: cut evenly.
-        pieces = 1 if (x - i) * (y - j) <= CELLS else -(-max(x - i, y - j) // SIDE)
-        for k in range(pieces):
-            part = (a[i + (x - i) * k // pieces:i + (x - i) * (k + 1) // pieces],
-                    b[j + (y - j) * k // pieces:j + (y - j) * (k + 1) // pieces])
-            if part[0] and part[1]:
-                lists.append(part)
-        if x < len(a):
-            equal.append((a[x], b[y]))
-        i, j = x + 1, y + 1
-    return equal, lists
-
-
-def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    """Places of equal shapes, rising in both lists: the most of those paired turn by turn."""
-    places: dict[int, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y.shape, []).append(j)
-    turn: dict[int, int] = {}
-    ends: list[int] = []
-    last: list[int] = []
-    found: list[tuple[int, int, int]] = []
-    for i, x in enumerate(a):
-        k = turn.get(x.shape, 0)
-        turn[x.shape] = k + 1
-        if k >= len(places.get(x.shape, ())):
-            continue
-        j = places[x.shape][k]
-        at = bisect_left(ends, j)
-        found.append((i, j, last[at - 1] if at else -1))
-        ends[at:at + 1], last[at:at + 1] = [j], [len(found) - 1]
-    chain, at = [], last[-1] if last else -1
-    while at >= 0:
-        i, j, at = found[at]
-        chain.append((i, j))
-    return chain[::-1]
+    return equal, (a[head:len(a) - tail], b[head:len(b) - tail])
+
+
+def _small(part: Lists) -> bool:
+    return len(part[0]) * len(part[1]) <= CELLS
+
+
+def _run(task: Task):
+    """What a task returns; tasks that it yields are run first, however deep, and sent back to it."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
 
 
 def _open(part: Lists) -> Pairs:
@@ -308,24 +286,31 @@ def _open(part: Lists) -> Pairs:
             if y.children and x.tag == y.tag and x.shape != y.shape]
 
 
-def _measure(pairs: Pairs, sizes: dict) -> None:
-    """Fill in the sizes of some pairs; those of their children come first."""
-    stack: list[tuple] = [(a, b, None, None) for a, b in pairs]
-    while stack:
-        a, b, equal, lists = stack.pop()
-        if (a.shape, b.shape) in sizes:
-            continue
-        if lists is None:
-            equal, lists = _split(a.children, b.children)
-            stack.append((a, b, equal, lists))
-            stack.extend((x, y, None, None) for part in lists for x, y in _open(part)
-                         if (x.shape, y.shape) not in sizes)
-        else:
-            sizes[a.shape, b.shape] = 1 + sum(x.count for x, _ in equal) + sum(
-                _total(part, sizes) for part in lists)
+def _measured(pairs: Pairs, sizes: Sizes) -> Task:
+    """The sizes of some pairs; ``sizes`` remembers them for others and may forget."""
+    own: Sizes = {}
+    for a, b in pairs:
+        key = a.shape, b.shape
+        if key not in own:
+            if key not in sizes:
+                found = yield _below(a, b, sizes)
+                if len(sizes) >= MOST_SIZES:
+                    sizes.clear()
+                sizes[key] = found
+            own[key] = sizes[key]
+    return own
 
 
-def _size(a: Node, b: Node, sizes: dict) -> int:
+def _below(a: Node, b: Node, sizes: Sizes) -> Task:
+    """Number of nodes that match below and with two nodes of one tag."""
+    equal, part = _split(a.children, b.children)
+    found = 1 + sum(x.count for x, _ in equal)
+    if part[0] and part[1]:
+        found += yield (_total if _small(part) else _total_of_long)(part, sizes)
+    return found
+
+
+def _size(a: Node, b: Node, sizes: Sizes) -> int:
     """Number of nodes that match below and with two nodes."""
     if a.tag != b.tag:
         return 0
@@ -336,25 +321,27 @@ def _size(a: Node, b: Node, sizes: dict) -> int:
     return sizes[a.shape, b.shape]
 
 
-def _total(part: Lists, sizes: dict) -> int:
+def _total(part: Lists, sizes: Sizes) -> Task:
     """Number of nodes that match at best between two lists."""
+    own = yield from _measured(_open(part), sizes)
     above = [0] * (len(part[1]) + 1)
     for x in part[0]:
         row = [0]
         for j, y in enumerate(part[1]):
-            row.append(max(above[j + 1], row[j], above[j] + _size(x, y, sizes)))
+            row.append(max(above[j + 1], row[j], above[j] + _size(x, y, own)))
         above = row
     return above[-1]
 
 
-def _best(part: Lists, sizes: dict) -> Pairs:
+def _best(part: Lists, sizes: Sizes) -> Task:
     """The pairs of children with the most matching nodes."""
+    own = yield from _measured(_open(part), sizes)
     a, b = part
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         above, row = best[i], best[i + 1]
         for j, y in enumerate(b):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + _size(x, y, sizes))
+            row[j + 1] = max(above[j + 1], row[j], above[j] + _size(x, y, own))
     i, j = len(a), len(b)
     chosen = []
     while i and j:
@@ -368,6 +355,117 @@ def _best(part: Lists, sizes: dict) -> Pairs:
     return chosen
 
 
+def _profile(node: Node) -> np.ndarray:
+    """How many nodes below and with a node have each path of tags, in PATHS cells by hash.
+
+    Only nodes with equal paths of tags match, so the sum of the lesser cells bounds a size.
+    """
+    cells = np.zeros(PATHS, np.int32)
+    stack = [(node, 0)]
+    while stack:
+        at, path = stack.pop()
+        path = hash((path, at.tag))
+        cells[path % PATHS] += 1
+        stack.extend((c, path) for c in at.children)
+    return cells
+
+
+class _Long:
+    """The table that ``_best`` keeps, for long lists: made row by row, from bounds of sizes at first."""
+
+    def __init__(self, part: Lists, sizes: Sizes):
+        self.a, self.b = part
+        self.sizes, self.whole = sizes, False
+        # A size depends on shapes only.
+        kinds = {y.shape: y for y in self.b}
+        self.place = {shape: i for i, shape in enumerate(kinds)}
+        self.kinds = list(kinds.values())
+        self.index = np.array([self.place[y.shape] for y in self.b])
+        self.profiles = np.stack([_profile(y) for y in self.kinds])
+        self.learned: dict[int, dict[int, int]] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        self.most_rows = max(MOST_ROWS, ROW_CELLS // len(self.kinds))
+
+    def _weights(self, x: Node) -> Task:
+        """For each kind of the second list the size with ``x``, or a bound where it is not known."""
+        if x.shape not in self.rows:
+            if self.whole:
+                own = yield from _measured(_open(([x], self.kinds)), self.sizes)
+                row = np.array([_size(x, y, own) for y in self.kinds], np.int32)
+            else:
+                row = np.minimum(self.profiles, _profile(x)).sum(axis=1, dtype=np.int32)
+                row[[y.tag != x.tag for y in self.kinds]] = 0
+                for kind, size in self.learned.get(x.shape, {}).items():
+                    row[kind] = size
+            if len(self.rows) >= self.most_rows:
+                self.rows.pop(next(iter(self.rows)))
+            self.rows[x.shape] = row
+        return self.rows[x.shape]
+
+    def _after(self, above: np.ndarray, x: Node) -> Task:
+        """The row of ``x`` below the row ``above``."""
+        weights = yield from self._weights(x)
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights[self.index]), out=row[1:])
+        return row
+
+    def _trace(self) -> Task:
+        """The total and the pairs of the table; some rows are kept, and those between made again."""
+        step, above, kept = math.isqrt(len(self.a)) + 1, np.zeros(len(self.b) + 1, np.int64), []
+        for i, x in enumerate(self.a):
+            if i % step == 0:
+                kept.append(above)
+            above = yield from self._after(above, x)
+        total, j, chosen = int(above[-1]), len(self.b), []
+        for turn in range(len(kept) - 1, -1, -1):
+            block = [kept.pop()]
+            for x in self.a[turn * step:(turn + 1) * step]:
+                block.append((yield from self._after(block[-1], x)))
+            i = len(block) - 1
+            while i and j:
+                if block[i][j] == block[i - 1][j]:
+                    i -= 1
+                elif block[i][j] == block[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    chosen.append((self.a[turn * step + i], self.b[j]))
+        return total, chosen
+
+    def best(self) -> Task:
+        """The total and the pairs with the most matching nodes.
+
+        Pairs that are best by bounds, and whose sizes reach these, are best.  Otherwise their
+        sizes take the place of the bounds; after some turns all sizes are measured.
+        """
+        for _ in range(TURNS):
+            total, chosen = yield from self._trace()
+            own = yield from _measured(
+                [p for x, y in chosen for p in _open(([x], [y]))], self.sizes)
+            if sum(_size(x, y, own) for x, y in chosen) == total:
+                return total, chosen
+            for x, y in chosen:
+                kind, size = self.place[y.shape], _size(x, y, own)
+                self.learned.setdefault(x.shape, {})[kind] = size
+                if x.shape in self.rows:
+                    self.rows[x.shape][kind] = size
+        self.whole = True
+        self.rows.clear()
+        return (yield from self._trace())
+
+
+def _total_of_long(part: Lists, sizes: Sizes) -> Task:
+    """``_total``, in memory that grows with one list."""
+    total, _ = yield from _Long(part, sizes).best()
+    return total
+
+
+def _best_of_long(part: Lists, sizes: Sizes) -> Task:
+    """``_best``, in memory that grows with one list."""
+    _, chosen = yield from _Long(part, sizes).best()
+    return chosen
+
+
 def _content(node: Node) -> str:
     return " ".join(node.text.split())
 

@@ -427,6 +427,33 @@ def test_split_lists_pair_what_is_equal(monkeypatch):
     assert len({a.number for a, _ in split}) == len({b.number for _, b in split}) == len(split)
 
 
+@pytest.mark.parametrize("turns", [0, 1, 6])
+def test_long_lists_are_matched_as_well_as_short_ones(monkeypatch, turns):
+    rng = random.Random(5)
+    inner = ["<b>x</b>", "<i>y</i>", "z", "<u><b>x</b></u>", "<u>w<i>y</i></u>"]
+    items = ["<p>x</p>", "<h2>y</h2>", "<br>"]
+
+    def page(n):
+        return wrapper.parse("<body>" + "".join(
+            rng.choice(items) if rng.random() < 0.5 else
+            "<div>" + "".join(rng.choices(inner, k=rng.randrange(9))) + "</div>"
+            for _ in range(n)) + "</body>")
+
+    for n in (5, 40, 70):
+        left, right = page(n), page(n - 3)
+        whole = wrapper.align(left, right)
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "CELLS", 12)
+            m.setattr(wrapper, "TURNS", turns)
+            m.setattr(wrapper, "MOST_SIZES", 3)
+            m.setattr(wrapper, "MOST_ROWS", 2)
+            m.setattr(wrapper, "ROW_CELLS", 1)
+            long = wrapper.align(left, right)
+        assert len(long) == len(whole)
+        assert all(a.tag == b.tag for a, b in long)
+        assert len({a.number for a, _ in long}) == len({b.number for _, b in long}) == len(long)
+
+
 def test_other_ngrams_leave_a_long_text_its_score(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 50)
     rng = np.random.default_rng(9)

@@ -16,6 +16,8 @@ ORDERS = (4, 5, 6)
 STEP = 1 << 20
 # Bytes of a text whose n-grams are made distinct at one time when a model is fitted.
 PIECE = 1 << 23
+# Rows that a step of the fit works on at a time.
+ROWS = 128
 # Slots of the table that tells most n-grams from those of a model.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -85,24 +87,34 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, slots: np.ndarray, ratio: np.
     A feature's value is its ``ratio``.  Rows are scaled to length one, classes weigh the
     same, and the logistic loss with an L2 penalty is minimised by accelerated gradient
     steps.  With one class only, or none, every score is that class's smoothed share.
+    A step goes through the rows ROWS at a time; of all features of all rows only the values are
+    kept besides ``rows``.
     """
     n, positives = len(rows), int(toxic.sum())
     if positives in (0, n):
         share = (positives + 1) / (n + 2)
         return Model(slots[:0], ratio[:0], ratio[:0], float(np.log(share / (1 - share))))
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    length = np.sqrt(np.maximum(np.bincount(owner, ratio[flat] ** 2, n), 1e-12))
-    value = ratio[flat] / length[owner]
+    values = []
+    for start in range(0, n, ROWS):
+        owner, flat = _laid(rows[start:start + ROWS])
+        length = np.sqrt(np.maximum(np.bincount(owner, ratio[flat] ** 2), 1e-12))
+        values.append(ratio[flat] / length[owner])
     weigh = np.where(toxic, 0.5 / positives, 0.5 / (n - positives))
     rate = 1 / (0.5 + penalty)
     coef = ahead = np.zeros(len(slots))
     bias = ahead_bias = 0.0
     pace = 1.0
+    error = np.empty(n)
     for _ in range(steps):
-        margin = np.bincount(owner, ahead[flat] * value, n) + ahead_bias
-        error = weigh * (1 / (1 + np.exp(-margin)) - toxic)
-        slope = np.bincount(flat, error[owner] * value, len(slots)) + penalty * 1e-2 * ahead
+        slope = np.zeros(len(slots))
+        for start, value in zip(range(0, n, ROWS), values):
+            some = slice(start, start + ROWS)
+            owner, flat = _laid(rows[some])
+            margin = np.bincount(owner, ahead[flat] * value, len(rows[some])) + ahead_bias
+            error[some] = weigh[some] * (1 / (1 + np.exp(-margin)) - toxic[some])
+            # Added in the order of the rows, so that ROWS does not change a sum.
+            np.add.at(slope, flat, error[some][owner] * value)
+        slope = slope + penalty * 1e-2 * ahead
         new, new_bias = ahead - rate * slope, ahead_bias - rate * error.sum()
         following = (1 + (1 + 4 * pace ** 2) ** 0.5) / 2
         push = (pace - 1) / following
@@ -111,6 +123,11 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, slots: np.ndarray, ratio: np.
     return Model(slots, ratio, coef, float(bias))
 
 
+def _laid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows end to end: the number of each one's row, and the places."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
           max_features: int = 1 << 15) -> Model:
     """A model from documents and their ``labels(doc_id, toxic)``.
@@ -161,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
         .select("slot", (F.log(hit / (toxic + 2)) - F.log(miss / (clean + 2))).alias("ratio"),
                 F.sqrt(1 / hit + 1 / miss).alias("error"))
         .orderBy((F.abs("ratio") / F.col("error")).desc(), "slot").limit(max_features)
-        .select("slot", "ratio").toPandas().sort_values("slot")
+        .select("slot", "ratio").toArrow().sort_by("slot")
     )
-    slots, ratio = kept["slot"].to_numpy(), kept["ratio"].to_numpy()
+    slots, ratio = kept.column("slot").to_numpy(), kept.column("ratio").to_numpy()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,14 +193,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500,
                  pa.array(rows, pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "places"])
 
-    rows = found.mapInArrow(keep, "doc_id long, toxic int, places array<int>").toPandas()
-    marked: dict[int, int] = {}
+    rows = found.mapInArrow(keep, "doc_id long, toxic int, places array<int>").toArrow()
+    held, marks = _by_document(rows)
+    return fit(held, marks, slots, ratio)
+
+
+def _by_document(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places and the mark of each document of ``rows(doc_id, toxic, places)``, by doc_id.
+
+    A document's rows hold disjoint places, each row sorted ones; a single one is not copied.
+    """
+    flat = pc.list_flatten(rows.column("places")).to_numpy()
+    sizes = pc.list_value_length(rows.column("places")).to_numpy()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    ids, marks = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
     held: dict[int, list] = {}
-    for doc_id, mark, places in rows.sort_values("doc_id").itertuples(index=False):
-        marked[doc_id] = mark
-        held.setdefault(doc_id, []).append(np.asarray(places, np.int64))
-    return fit([np.sort(np.concatenate(r)) for r in held.values()],
-               np.array([*marked.values()], float), slots, ratio)
+    marked: dict[int, int] = {}
+    for i in np.argsort(ids, kind="stable"):
+        held.setdefault(ids[i], []).append(flat[ends[i] - sizes[i]:ends[i]])
+        marked[ids[i]] = marks[i]
+    return ([r[0] if len(r) == 1 else np.sort(np.concatenate(r)) for r in held.values()],
+            np.array([*marked.values()], float))
 
 
 def rate(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:

@@ -26,13 +26,16 @@ NOT_TYPES = r"^(?:return|new|throw|else|case|assert|package|import|class|interfa
 
 # Stands for the end of a multi-line string in masked text.
 RESUMED = "\x01"
+# Set around the tokens of a text while it is masked.
+AROUND = "\x02"
 
 # --- masking ------------------------------------------------------------------
 
 
 # Tokens that hold no code, tried at each place from left to right once escapes are gone.  A quote
-# or mark inside another token is thus never taken for a start of its own.
-PY_TOKENS = r'''(?d)"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*'|#[^\n]*'''
+# or mark inside another token is thus never taken for a start of its own.  The only group is a
+# token that is not a comment up to the end of its line: such a comment leaves nothing.
+PY_TOKENS = r'''(?d)("{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|"[^"\n]*"|'[^'\n]*')|#[^\n]*'''
 STRING = r"""(?:"[^"\n]*"|'[^'\n]*')"""
 
 
@@ -56,18 +59,19 @@ def _parentheses(levels: int) -> str:
 
 
 # A template in a value of a template in a value of one; others end at the next back quote.
-BRACE_TOKENS = "(?d)" + _template(_template("`[^`$]*+`")) + (
-    r"""|`[^`]*`|"[^"\n]*"|'[^'\n]*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)""")
+BRACE_VALUES = _template(_template("`[^`$]*+`")) + (
+    r"""|`[^`]*`|"[^"\n]*"|'[^'\n]*'|/\*[\s\S]*?(?:\*/|\z)""")
+BRACE_TOKENS = rf"(?d)({BRACE_VALUES})|//[^\n]*"
 GAP = r"(?:\s|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z))*+"
 LITERAL = r"/(?![/*])[^/\[\n]*+(?:\[[^\]\n]*+\][^/\[\n]*+)*+/"
 # What a slash after a bracket means is told by the word before the matching one.
 CONTROL = r"(?:if|while|for|with)\s*" + _parentheses(4)
 # A regex literal comes where a value is expected: after a mark or word, and any white space and
 # comments.  The token begins with that mark or word.  A slash in a class does not end it.
-JS_TOKENS = BRACE_TOKENS + (
+JS_TOKENS = rf"(?d)({BRACE_VALUES}" + (
     r"|(?:[=(,:;!&|?{}\[]|(?<==)>|(?<!\+)\+|(?=[acdeiortvy])(?<![\w$.])(?:return|typeof|case|in|of"
     r"|void|delete|throw|else|do|await|yield|instanceof)(?![\w$])"
-    rf"|(?=[fiw])(?<![\w$.]){CONTROL}){GAP}{LITERAL}"
+    rf"|(?=[fiw])(?<![\w$.]){CONTROL}){GAP}{LITERAL})|//[^\n]*"
 )
 # What such a token begins with.
 BEFORE_LITERAL = r"^(?:[a-z]+|[^a-z\"'/`#])"
@@ -97,13 +101,26 @@ def _blank_token(token: Column) -> Column:
 
 
 def _blank_tokens(content: Column, tokens: str) -> Column:
-    def blank(text: Column) -> Column:
+    def marked(text: Column) -> Column:
+        """One search sets every token apart and drops the comments: code and tokens take turns."""
+        pieces = F.split(F.regexp_replace(text, tokens, f"{AROUND}$1{AROUND}"), AROUND, -1)
+        return F.array_join(F.transform(
+            pieces,
+            lambda piece, i: F.when((i % 2 == 1) & (piece != ""), _blank_token(piece))
+            .otherwise(piece),
+        ), "")
+
+    def paired(text: Column) -> Column:
+        """The same for a text that holds the mark itself; the pattern is compiled for each text."""
         return F.array_join(F.zip_with(
             F.split(text, tokens, -1), F.regexp_extract_all(text, F.lit(tokens), 0),
             lambda code, token: F.concat(code, F.coalesce(_blank_token(token), F.lit(""))),
         ), "")
 
-    return let(F.regexp_replace(content, r"(?d)\\.", "_"), blank)
+    unescaped = F.when(
+        content.contains("\\"), F.regexp_replace(content, r"(?d)\\.", "_")).otherwise(content)
+    return let(unescaped, lambda text: F.when(text.contains(AROUND), paired(text)).otherwise(
+        marked(text)))
 
 
 def _mask(content: Column, language: str) -> Column:
@@ -218,6 +235,7 @@ def definitions(line: Column, language: str) -> Column:
 # closes.  The brace before the ``while`` of a ``do`` stays with it.
 STATEMENT = (rf"(?:[^{{}};()]++|{_parentheses(3)}|[()])*+(?:[{{;]|\}}(?!\s*while\b))"
              r"|.+$")
+BLANKS = " \t\r\f"
 # Statements folded at a time (lines, for Python).
 BLOCK_LINES = 200
 
@@ -246,16 +264,16 @@ def _marks(masked: Column, language: str) -> Column:
             hits=decision_hits(line, language),
             defs=definitions(line, language),
             decorator=first == "@" if python else no,
-            ends_statement=no if python else F.rtrim(body).endswith(";"),
+            ends_statement=no if python else F.rtrim(body, F.lit(BLANKS)).endswith(";"),
             head=F.lit("") if python else F.regexp_extract(line, r"(?s)^[^)]*+\)?", 0),
         )
 
     def mark(line: Column, i: Column) -> Column:
         # Only spaces and tabs indent; a blank line has nothing left.
-        return let(
-            F.ltrim(F.translate(line, "\t\r\f", "    ")),
+        return F.when(line != "", let(
+            F.ltrim(line, F.lit(BLANKS)),
             lambda body: F.when(F.length(body) > 0, describe(line, body, i + 1)),
-        )
+        ))
 
     def parts(line: Column, i: Column) -> Column:
         """The marks of a line's statements."""

@@ -85,26 +85,27 @@ def j3_buckets(spark, sf):
     """Functions of files kept in buckets by a stream of three batches, one emptying files."""
     files = code_files(spark, sf).withColumn("version", F.lit(1))
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "file_id")
-    toxic = files.join(labels.where("toxic = 1"), "file_id", "left_semi")
-    batches = [
-        files,
-        files.join(labels, "file_id", "left_semi").withColumn("version", F.lit(2)),
-        toxic.withColumn("content", F.lit("")).withColumn("version", F.lit(3)),
-    ]
     source, store, checkpoint = (scratch_dir(spark, n) for n in ("changes", "store", "checkpoint"))
 
     def functions(batch):
         return S.functions(batch).join(batch.select("file_id", "version"), "file_id").select(
             "file_id", F.concat("name", F.lit("_v"), F.col("version")).alias("name"), "start_line")
 
-    write_store(functions(files.limit(0)), store, ["file_id"], 16)
-    for batch in batches:
+    def arrive(batch):
         # The stream goes on from its checkpoint: what has arrived since is one micro-batch.
         batch.write.mode("append").parquet(source)
         P.store_changes(
             spark.readStream.schema(files.schema).parquet(source), store, checkpoint, functions,
             buckets=16,
         ).awaitTermination()
+
+    write_store(functions(files.limit(0)), store, ["file_id"], 16)
+    arrive(files)
+    # Files are dealt out and made once: the later batches read those of the first, listed here.
+    first = spark.read.schema(files.schema).parquet(source)
+    arrive(first.join(labels, "file_id", "left_semi").withColumn("version", F.lit(2)))
+    arrive(first.join(labels.where("toxic = 1"), "file_id", "left_semi")
+           .withColumn("content", F.lit("")).withColumn("version", F.lit(3)))
     return read_store(spark, store)
 
 

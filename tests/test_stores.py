@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeshoal.operators import upserts as U
+from codeshoal.registry.stream_queries import j3_buckets
 from codeshoal.sources import stores as ST
 from codeshoal.streaming import pipelines as P
 
@@ -106,3 +107,24 @@ def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
     assert ST.read_store(spark, path).count() == 200_000
     hot = rows.where("file_id = -1").limit(1).select(ST.bucket_of(["file_id"], 4)).first()[0]
     assert sum(bucket(f) == hot for f in files_of(path)) > 2
+
+
+def test_later_batches_read_the_files_that_arrived(spark, tmp_path, monkeypatch):
+    """Files are made from the documents once: what becomes of the table later changes nothing."""
+    documents, labels = str(tmp_path / "documents.parquet"), str(tmp_path / "labels.parquet")
+    rows = spark.createDataFrame(
+        [(14, "a"), (14, "a"), (1, "b\nc"), (2, "d"), (9, "e"), (None, "f")],
+        "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    rows.coalesce(1).write.parquet(documents)
+    spark.createDataFrame([(1, 0), (1, 0), (2, 1), (9, 1), (None, 1), (99, 1)],
+                          "doc_id bigint, toxic int").coalesce(1).write.parquet(labels)
+    store = P.store_changes
+
+    def change(*args, **kwargs):
+        rows.where("false").coalesce(1).write.mode("overwrite").parquet(documents)
+        return store(*args, **kwargs)
+
+    monkeypatch.setattr(P, "store_changes", change)
+    got = rows_of(j3_buckets(spark, str(tmp_path)))
+    # Each copy of a file meets both copies' versions.
+    assert got == [(1, "load1_v2", 1)] + [(14, "q14_v1", 2)] * 4

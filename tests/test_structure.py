@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import time
 import ast
+import random
+import re
 
 from pyspark.sql import functions as F
 
+from codeshoal.functions.bind import removed
 from codeshoal.operators import metrics as M
 from codeshoal.operators import structure as S
 
@@ -348,3 +351,43 @@ def test_long_lines_stay_linear(make_files):
     began = time.perf_counter()
     counted = {r.path: r["count"] for r in S.functions(files).groupBy("path").count().collect()}
     assert counted["min.js"] > 0 and time.perf_counter() - began < 60
+
+
+def test_masks_of_random_texts(spark):
+    """As ``re`` finds the tokens, also in a text that holds the mark set around them."""
+    def masked(text, tokens):
+        def blank(found):
+            token = found[0]
+            several = token[:3] in ('"""', "'''")
+            if token[0] == "#" or token[:2] == "//":
+                return ""
+            lines = "\n" * token.count("\n")
+            if token[:2] == "/*":
+                return lines
+            return '""' + lines + (S.RESUMED if several else "")
+
+        return re.sub(tokens, blank, re.sub(r"\\.", "_", text))
+
+    strings = r'''"[^"\n]*"|'[^'\n]*\''''
+    tokens = {
+        "python": r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|" + strings + r"|#[^\n]*",
+        "java": strings + r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)",
+    }
+    rng = random.Random(3)
+    bits = ['"', "'", '"""', "'''", "#", "//", "/*", "*/", "\\", "\n", "\r", "\t", " ", "x(", "{}",
+            "é", "$1", S.AROUND, S.RESUMED]
+    texts = [("".join(rng.choices(bits[:rng.choice([-2, None])], k=rng.randint(0, 30))),)
+             for _ in range(2000)]
+    got = spark.createDataFrame(texts, "text string").select(
+        "text", *(S.mask(F.col("text"), F.lit(name)).alias(name) for name in tokens)).collect()
+    assert sum(S.AROUND in row.text for row in got) > 100
+    for row in got:
+        assert {name: row[name] for name in tokens} == {
+            name: masked(row.text, found) for name, found in tokens.items()}
+
+
+def test_brackets_and_blanks_are_counted(spark):
+    texts = [(t,) for t in ("", "([{", ")]}x(", "é{{}", None)]
+    got = spark.createDataFrame(texts, "t string").select(
+        removed(F.col("t"), "([{"), removed(F.col("t"), "{")).collect()
+    assert [tuple(r) for r in got] == [(0, 0), (3, 1), (1, 0), (2, 2), (None, None)]

@@ -147,12 +147,19 @@ REPO = "concat('repo', cast(doc_id % 5 AS varchar(20)))"
 PATH = f"concat('src/', source, '/f', {_ID}, {EXTENSIONS})"
 
 
-def code_files(spark: SparkSession, sf_dir: str, catalog: str = "scanner") -> DataFrame:
-    """(file_id, repo_id, path, language, content), one row per document."""
+def code_files(spark: SparkSession, sf_dir: str, catalog: str = "scanner",
+               by_key: bool = False) -> DataFrame:
+    """(file_id, repo_id, path, language, content), one row per document.
+
+    ``by_key`` deals the documents by their id, into as many tasks as their size asks for, so
+    that a join on file_id does not deal the texts again.
+    """
+    documents = table(spark, sf_dir, "documents")
+    # A small file is one row group; it is dealt out, as a large one is, at every size.
+    dealt = documents.repartition("doc_id") if by_key else documents.repartition(
+        spark.sparkContext.defaultParallelism)
     return (
-        # A small file is one row group; it is dealt out, as a large one is, at every size.
-        table(spark, sf_dir, "documents")
-        .repartition(spark.sparkContext.defaultParallelism)
+        dealt
         .select(
             F.col("doc_id").alias("file_id"),
             F.expr(REPO).alias("repo_id"),

@@ -83,8 +83,9 @@ J3_SQL = with_files("SELECT file_id, name, start_line FROM measured WHERE kind =
 
 def j3_buckets(spark, sf):
     """Functions of files kept in buckets by a stream of three batches, one emptying files."""
-    files = code_files(spark, sf).withColumn("version", F.lit(1))
-    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "file_id")
+    files = code_files(spark, sf, by_key=True).withColumn("version", F.lit(1))
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("file_id")).agg(
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     source, store, checkpoint = (scratch_dir(spark, n) for n in ("changes", "store", "checkpoint"))
 
     def functions(batch):
@@ -100,12 +101,14 @@ def j3_buckets(spark, sf):
         ).awaitTermination()
 
     write_store(functions(files.limit(0)), store, ["file_id"], 16)
-    arrive(files)
     # Files are dealt out and made once: the later batches read those of the first, listed here.
-    first = spark.read.schema(files.schema).parquet(source)
-    arrive(first.join(labels, "file_id", "left_semi").withColumn("version", F.lit(2)))
-    arrive(first.join(labels.where("toxic = 1"), "file_id", "left_semi")
-           .withColumn("content", F.lit("")).withColumn("version", F.lit(3)))
+    # Its ``toxic``, null without a label, is no column of the stream.
+    marked = files.join(labels, "file_id", "left")
+    arrive(marked)
+    first = spark.read.schema(marked.schema).parquet(source)
+    arrive(first.where("toxic IS NOT NULL").drop("toxic").withColumn("version", F.lit(2)))
+    arrive(first.where("toxic").drop("toxic").withColumn("content", F.lit(""))
+           .withColumn("version", F.lit(3)))
     return read_store(spark, store)
 
 

@@ -13,6 +13,7 @@ from codeshoal.operators import structure as S
 from codeshoal.operators import taint as T
 from codeshoal.operators import upserts as U
 from codeshoal.plans import analysis as A
+from codeshoal.registry.base import code_files
 from codeshoal.sources import files as SRC
 
 
@@ -80,3 +81,21 @@ def test_masked_once_for_entries_and_calls(make_files):
     parsed = S.extract(files)._jdf.queryExecution().optimizedPlan().toString()
     # Each language's text is masked in one place.
     assert parsed.count(r"(?d)\\.") == len(S.BRACE_LANGUAGES) + 1
+
+
+def test_files_dealt_by_key_are_joined_where_they_are(spark, tmp_path):
+    """Texts move once, to be dealt out; a large table of labels comes to them."""
+    rows = spark.createDataFrame([(1, "a", "s"), (None, "b", "s")],
+                                 "doc_id bigint, text string, source string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        labels = spark.createDataFrame([(1, 0), (1, 1)], "file_id bigint, toxic int")
+        labels = labels.groupBy("file_id").agg(F.max("toxic").alias("toxic"))
+        joined = code_files(spark, str(tmp_path), by_key=True).join(labels, "file_id", "left")
+        text = plan(joined)
+        assert text.count("Exchange ") == 2 and "SortMergeJoin" in text
+        assert {(r.file_id, r.toxic) for r in joined.collect()} == {(1, 1), (None, None)}
+    finally:
+        spark.conf.unset(threshold)
